@@ -269,16 +269,20 @@ def accuracy_rows(df: DataFrame, actual: str, forecast: str) -> DataFrame:
     )
 
 
-def accuracy_by(df: DataFrame, keys: Sequence[str], actual: str, forecast: str) -> DataFrame:
+def accuracy_by(df: DataFrame, keys: Sequence[str], actual: str, forecast: str, digits: int = 2) -> DataFrame:
     """Totals and mean errors per product (or over everything with no key)."""
-    rows = accuracy_rows(df.where(F.lit(True) if not keys else F.col(keys[0]).isNotNull()), actual, forecast)
-    return rows.groupBy(*keys).agg(
-        F.round(F.sum(actual), 2).alias("demand"),
-        F.round(F.sum(forecast), 2).alias("forecast"),
-        F.round(F.avg("af_ratio"), 2).alias("af_ratio"),
-        F.round(F.sum("error"), 2).alias("error"),
-        F.round(F.sum("abs_error"), 2).alias("abs_error"),
-        F.round(F.avg("abs_pct_error"), 2).alias("mape"),
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    totals = {
+        "demand": F.sum(actual),
+        "forecast": F.sum(forecast),
+        "af_ratio": F.avg("af_ratio"),
+        "error": F.sum("error"),
+        "abs_error": F.sum("abs_error"),
+        "mape": F.avg("abs_pct_error"),
+    }
+    return accuracy_rows(df, actual, forecast).groupBy(*keys).agg(
+        *[F.round(e, digits).alias(name) for name, e in totals.items()]
     )
 
 

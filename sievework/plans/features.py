@@ -166,17 +166,17 @@ def column_arithmetic(spark, sf_dir):
     """SELECT o_orderkey, year(o_orderdate)::INTEGER AS o_orderdate_year, quarter(o_orderdate)::INTEGER AS o_orderdate_quarter, month(o_orderdate)::INTEGER AS o_orderdate_month,
     day(o_orderdate)::INTEGER AS o_orderdate_day, (dayofweek(o_orderdate) + 1)::INTEGER AS o_orderdate_weekday,
     round(k * k, 6) AS k__k, round(k * t, 6) AS k__t, round(t * t, 6) AS t__t
-    FROM (SELECT o_orderkey, o_orderdate, o_custkey / 1000 AS k, o_totalprice / 1000 AS t FROM orders)""",
+    FROM (SELECT o_orderkey, o_orderdate, ln(o_custkey + 2) AS k, ln(o_totalprice) AS t FROM orders)""",
 )
 def date_polynomial_features(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_custkey") / 1000).alias("k"), (F.col("o_totalprice") / 1000).alias("t"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.ln(F.col("o_custkey") + 2).alias("k"), F.ln("o_totalprice").alias("t"))
     return rounded(transform.polynomial_features(transform.date_features(o, "o_orderdate"), ["k", "t"]).drop("o_orderdate", "k", "t"))
 
 
-@query("x15_formula", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 4) AS charge FROM lineitem")
+@query("x15_formula", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS charge FROM lineitem")
 def formula(spark, sf_dir):
     li = transform.formula(table(spark, sf_dir, "lineitem"), "l_extendedprice * (1 - l_discount) * (1 + l_tax)", "charge")
-    return rounded(li.select("l_orderkey", "l_linenumber", "charge"), 4)
+    return rounded(li.select("l_orderkey", "l_linenumber", "charge"))
 
 
 # --- encoding and binning ----------------------------------------------------------------

@@ -121,7 +121,7 @@ def categorical_stats(spark, sf_dir):
 
 @query(
     "a09_value_counts",
-    _union(f"""(SELECT '{c}' AS "column", {c}::VARCHAR AS value, count(*) AS n_rows FROM part GROUP BY ALL ORDER BY 3 DESC, {c} LIMIT 10)""" for c in ("p_brand", "p_type", "p_size")),
+    _union(f"""(SELECT '{c}' AS "column", {c}::VARCHAR AS value, count(*) AS n_rows FROM part GROUP BY {c} ORDER BY 3 DESC, {c} LIMIT 10)""" for c in ("p_brand", "p_type", "p_size")),
 )
 def value_counts(spark, sf_dir):
     return profile.value_counts(table(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], 10)
