@@ -9,6 +9,7 @@ from sievework.operators import customer as cu
 from sievework.operators import inventory as inv
 from sievework.operators.timeseries import bucket_label, bucket_start
 from sievework.plans.registry import query, rounded, table
+from sievework.session import cut_lineage
 
 # --- customer value ----------------------------------------------------------------------
 
@@ -73,7 +74,9 @@ CUSTOMERS = _customers_sql("customer_id")
 
 
 def _customers(spark, sf_dir, country=None):
-    return cu.customer_table(_transactions(spark, sf_dir), "customer_id", "invoice_date", "quantity", "unit_price", country)
+    """Written once: scores and descriptions read the reduced table several times."""
+    t = cu.customer_table(_transactions(spark, sf_dir), "customer_id", "invoice_date", "quantity", "unit_price", country)
+    return cut_lineage(t)
 
 
 @query(
@@ -335,7 +338,7 @@ def _trios(spark, sf_dir):
         items.groupBy(F.floor(F.col("p_partkey") / 3).alias("trio"))
         .agg(
             *[F.sum(F.when(slot == i, F.col("annual_demand"))).alias(f"d{i}") for i in range(3)],
-            *[F.sum(F.when(slot == i, F.col("price") * 0.01)).alias(f"m{i}") for i in range(3)],
+            *[F.sum(F.when(slot == i, F.col("price") / 97)).alias(f"m{i}") for i in range(3)],
         )
         .na.drop()
     )

@@ -38,33 +38,30 @@ def resample_day(spark, sf_dir):
     return rounded(_daily(spark, sf_dir), 4)
 
 
-def _sparse(spark, sf_dir):
-    """Orders of one status on few days, so that weeks without rows occur."""
-    o = table(spark, sf_dir, "orders")
-    return o.where(F.dayofyear("o_orderdate") % 40 < 3).select("o_orderstatus", "o_orderdate", "o_totalprice")
+def _users(spark, sf_dir):
+    """Events per user: most users have days without any."""
+    return table(spark, sf_dir, "events").select("user_id", "ts", "value")
 
 
-_SPARSE = "(SELECT o_orderstatus, o_orderdate, o_totalprice FROM orders WHERE dayofyear(o_orderdate) % 40 < 3)"
+def _users_sql(grain: str, step: str, agg: str) -> str:
+    return f"""SELECT s.user_id, s.b, a.value FROM (
+    SELECT user_id, unnest(generate_series(min(date_trunc('{grain}', ts)::DATE), max(date_trunc('{grain}', ts)::DATE), INTERVAL {step}))::DATE AS b FROM events GROUP BY 1) s
+    LEFT JOIN (SELECT user_id, date_trunc('{grain}', ts)::DATE AS b, {agg}(value) AS value FROM events GROUP BY ALL) a ON a.user_id = s.user_id AND a.b = s.b"""
 
 
-@query(
-    "f01_resample_week_mean",
-    f"""SELECT s.o_orderstatus, (s.b + 6)::DATE AS ts, round(a.value, 6) AS value FROM (
-    SELECT o_orderstatus, unnest(generate_series(min(date_trunc('week', o_orderdate)::DATE), max(date_trunc('week', o_orderdate)::DATE), INTERVAL 7 DAY))::DATE AS b FROM {_SPARSE} GROUP BY 1) s
-    LEFT JOIN (SELECT o_orderstatus, date_trunc('week', o_orderdate)::DATE AS b, avg(o_totalprice) AS value FROM {_SPARSE} GROUP BY ALL) a ON a.o_orderstatus = s.o_orderstatus AND a.b = s.b""",
-)
-def resample_week(spark, sf_dir):
-    return rounded(ts.resample(_sparse(spark, sf_dir), ["o_orderstatus"], "o_orderdate", "o_totalprice", "W", "mean"))
+@query("f01_resample_day_mean", f"SELECT user_id, b AS ts, round(value, 6) AS value FROM ({_users_sql('day', '1 DAY', 'avg')})")
+def resample_day_mean(spark, sf_dir):
+    return rounded(ts.resample(_users(spark, sf_dir), ["user_id"], "ts", "value", "D", "mean"))
 
 
-@query(
-    "f01_resample_week_count",
-    f"""SELECT s.o_orderstatus, (s.b + 6)::DATE AS ts, coalesce(a.value, 0) AS value FROM (
-    SELECT o_orderstatus, unnest(generate_series(min(date_trunc('week', o_orderdate)::DATE), max(date_trunc('week', o_orderdate)::DATE), INTERVAL 7 DAY))::DATE AS b FROM {_SPARSE} GROUP BY 1) s
-    LEFT JOIN (SELECT o_orderstatus, date_trunc('week', o_orderdate)::DATE AS b, count(o_totalprice) AS value FROM {_SPARSE} GROUP BY ALL) a ON a.o_orderstatus = s.o_orderstatus AND a.b = s.b""",
-)
+@query("f01_resample_day_min", f"SELECT user_id, b AS ts, value FROM ({_users_sql('day', '1 DAY', 'min')})")
+def resample_day_min(spark, sf_dir):
+    return ts.resample(_users(spark, sf_dir), ["user_id"], "ts", "value", "D", "min")
+
+
+@query("f01_resample_week_count", f"SELECT user_id, (b + 6)::DATE AS ts, coalesce(value, 0) AS value FROM ({_users_sql('week', '7 DAY', 'count')})")
 def resample_week_count(spark, sf_dir):
-    return ts.resample(_sparse(spark, sf_dir), ["o_orderstatus"], "o_orderdate", "o_totalprice", "W", "count")
+    return ts.resample(_users(spark, sf_dir), ["user_id"], "ts", "value", "W", "count")
 
 
 @query("f01_resample_month_mean", f"SELECT o_orderpriority, ts, round(value, 6) AS value FROM ({MONTHLY})")
