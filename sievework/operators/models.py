@@ -288,9 +288,7 @@ def fit_boosted(df: DataFrame, x: str = "x", label: str = "label", rounds: int =
         log_weight = F.lit(0.0)
         for s in stumps:
             log_weight = log_weight + F.when(Boosted._vote(F.col("x"), s) != F.col("label"), s[4]).otherwise(0.0)
-        weighted = data.select("x", "label", F.exp(log_weight).alias("w"))
-        total = weighted.agg(F.avg("w")).first()[0]
-        weighted = weighted.withColumn("w", F.col("w") / total).withColumn("features", array_to_vector("x"))
+        weighted = data.select("x", "label", F.exp(log_weight).alias("w"), array_to_vector("x").alias("features"))
         tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + i).fit(weighted)
         slot = int(np.argmax(tree.featureImportances.toArray())) if tree.numNodes == 3 else -1
         text = tree.toDebugString

@@ -45,11 +45,19 @@ def _stack(x: pd.Series) -> np.ndarray:
 class _Pivots:
     """Cells around a bounded number of sample points, with their sizes and radii."""
 
-    def __init__(self, points: DataFrame):
-        n = points.count()
+    def __init__(self, points: DataFrame, n: int):
         wanted = int(min(MAX_PIVOTS, max(1, n // BLOCK)))
-        rows = points.orderBy(F.xxhash64("id")).limit(wanted).select("x").collect()
+        rows = points.orderBy(F.xxhash64("id")).limit(wanted).select("x").distinct().collect()
         self.centres = np.array([r["x"] for r in rows], dtype=float)
+        # Read by the statistics and by each search step: written once.
+        self.members = cut_lineage(self.assign(points))
+        self.size = np.zeros(len(self.centres), dtype=np.int64)
+        self.radius = np.zeros(len(self.centres))
+        for r in self.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("to_centre").alias("r")).collect():
+            self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
+
+    def assign(self, points: DataFrame) -> DataFrame:
+        """Add the nearest centre as ``cell`` and the distance ``to_centre``."""
         centres = self.centres
 
         @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
@@ -58,34 +66,42 @@ class _Pivots:
             cell = d2.argmin(axis=1)
             return pd.DataFrame({"cell": cell.astype("int32"), "dist": np.sqrt(d2[np.arange(len(cell)), cell])})
 
-        self.members = points.withColumn("_c", nearest("x")).select("id", "x", F.col("_c.cell").alias("cell"), F.col("_c.dist").alias("dist"))
-        self.size = np.zeros(len(centres), dtype=np.int64)
-        self.radius = np.zeros(len(centres))
-        for r in self.members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect():
-            self.size[r["cell"]], self.radius[r["cell"]] = r["n"], r["r"]
+        return points.withColumn("_c", nearest("x")).select(
+            *points.columns, F.col("_c.cell").alias("cell"), F.col("_c.dist").alias("to_centre")
+        )
 
-    def reachable(self, k: int | None = None, eps: float | None = None) -> Column:
-        """Cells that can hold one of the k nearest points, or a point within eps."""
+    def reachable(self, cell: str, bound: str) -> Column:
+        """Cells other than the point's own that can hold a point within ``bound`` (NULL: any).
+
+        A cell is out of reach if its ball is, or if the plane half way between its centre and
+        the point's own centre is.
+        """
         centres, radius, size = self.centres, self.radius, self.size
+        apart = np.sqrt(_distances(centres, centres))
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def cells(x: pd.Series) -> pd.Series:
-            d = np.sqrt(_distances(_stack(x), centres))
-            lower = np.where(size > 0, d - radius, np.inf)
-            if eps is not None:
-                bound = np.full(len(d), eps)
-            else:
-                # The farthest point of the closest cells that together hold k points.
-                upper = np.where(size > 0, d + radius, np.inf)
-                order = upper.argsort(axis=1)
-                held = size[order].cumsum(axis=1)
-                enough = (held >= k).argmax(axis=1)
-                enough = np.where(held[:, -1] >= k, enough, (size > 0).sum() - 1)
-                bound = upper[np.arange(len(d)), order[np.arange(len(d)), enough]]
-            keep = lower <= bound[:, None] * (1 + 1e-9) + 1e-12
+        def cells(x: pd.Series, own: pd.Series, limit: pd.Series) -> pd.Series:
+            d2 = _distances(_stack(x), centres)
+            at = own.to_numpy(dtype=int)
+            rows = np.arange(len(at))
+            ball = np.sqrt(d2) - radius
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d2 - d2[rows, at][:, None]) / (2.0 * apart[at])
+            plane[rows, at] = 0.0
+            far = limit.fillna(np.inf).to_numpy(dtype=float)[:, None]
+            keep = (np.maximum(ball, plane) <= far * (1 + 1e-9) + 1e-9) & (size > 0)
+            keep[rows, at] = False
             return pd.Series([np.flatnonzero(row).astype("int32").tolist() for row in keep])
 
-        return cells("x")
+        return cells("x", cell, bound)
+
+
+def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, out: T.StructType) -> DataFrame:
+    """Cogroup with a fixed number of partitions: blocks are small in bytes but heavy to compute,
+    so run-time merging of small partitions would leave most cores idle."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = left.repartition(n, *keys), right.repartition(n, *keys)
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, out)
 
 
 def _splits(counts: dict[int, int], cells: int) -> Column:
@@ -93,38 +109,21 @@ def _splits(counts: dict[int, int], cells: int) -> Column:
     return F.array(*[F.lit(max(1, -(-counts.get(i, 0) // BLOCK))) for i in range(cells)])
 
 
-def nearest_join(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
-    """(query_id, donor_id, dist, rank): the k nearest donors of each query, ties by donor id.
-
-    Both inputs have columns ``id`` and ``x`` (array of doubles).
-    """
-    id_q, id_d = queries.schema["id"].dataType, donors.schema["id"].dataType
-    pivots = _Pivots(donors)
-    cells = len(pivots.centres)
-    out = T.StructType(
-        [T.StructField("query_id", id_q), T.StructField("donor_id", id_d), T.StructField("dist", T.DoubleType())]
-    )
-    if cells == 0:
-        return queries.sparkSession.createDataFrame([], out).withColumn("rank", F.lit(0))
-    sent = queries.select(F.col("id").alias("query_id"), "x", F.explode(pivots.reachable(k=k)).alias("cell"))
-    arrivals = {r["cell"]: r["n"] for r in sent.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    d_split = _splits({i: int(c) for i, c in enumerate(pivots.size)}, cells)
-    q_split = _splits(arrivals, cells)
+def _search_cells(sent: DataFrame, members: DataFrame, k: int, sizes: dict[int, int], arrivals: dict[int, int], cells: int) -> DataFrame:
+    """k nearest members per query and block; crowded cells are cut on both sides."""
+    d_split, q_split = _splits(sizes, cells), _splits(arrivals, cells)
     here = F.col("cell") + 1
-    q = (
-        sent.withColumn("_qs", F.pmod(F.xxhash64("query_id"), F.element_at(q_split, here)).cast("int"))
-        .withColumn("_ds", F.explode(F.sequence(F.lit(0), F.element_at(d_split, here) - 1)))
+    q = sent.withColumn("_qs", F.pmod(F.xxhash64("query_id"), F.element_at(q_split, here)).cast("int")).withColumn(
+        "_ds", F.explode(F.sequence(F.lit(0), F.element_at(d_split, here) - 1))
     )
-    d = (
-        pivots.members.select(F.col("id").alias("donor_id"), "x", "cell")
-        .withColumn("_ds", F.pmod(F.xxhash64("donor_id"), F.element_at(d_split, here)).cast("int"))
-        .withColumn("_qs", F.explode(F.sequence(F.lit(0), F.element_at(q_split, here) - 1)))
+    d = members.withColumn("_ds", F.pmod(F.xxhash64("donor_id"), F.element_at(d_split, here)).cast("int")).withColumn(
+        "_qs", F.explode(F.sequence(F.lit(0), F.element_at(q_split, here) - 1))
     )
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if len(left) == 0 or len(right) == 0:
             return pd.DataFrame({"query_id": left["query_id"][:0], "donor_id": right["donor_id"][:0], "dist": np.zeros(0)})
-        d2 = _distances(_stack(left["x"]), _stack(right["x"]))
+        d2 = _distances(_stack(left["x"]), _stack(right["y"]))
         kk = min(k, d2.shape[1])
         kth = np.partition(d2, kk - 1, axis=1)[:, kk - 1]
         i, j = np.nonzero(d2 <= kth[:, None])
@@ -133,10 +132,52 @@ def nearest_join(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
         ).sort_values(["i", "dist", "donor_id"])
         return found.groupby("i").head(kk)[["query_id", "donor_id", "dist"]]
 
+    out = T.StructType(
+        [
+            T.StructField("query_id", sent.schema["query_id"].dataType),
+            T.StructField("donor_id", members.schema["donor_id"].dataType),
+            T.StructField("dist", T.DoubleType()),
+        ]
+    )
     keys = ["cell", "_ds", "_qs"]
-    near = q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(block, out)
-    best = Window.partitionBy("query_id").orderBy("dist", "donor_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return _cogroup(q, d, keys, block, out)
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy("dist", "donor_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _cell_counts(rows: DataFrame) -> dict[int, int]:
+    return {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def nearest_join(
+    queries: DataFrame, donors: DataFrame, k: int, n_queries: int | None = None, n_donors: int | None = None
+) -> DataFrame:
+    """(query_id, donor_id, dist, rank): the k nearest donors of each query, ties by donor id.
+
+    Both inputs have columns ``id`` and ``x`` (array of doubles).  Each query first searches
+    the cell of its nearest centre; the k-th distance found there bounds how far the second
+    search has to look.
+    """
+    n_donors = donors.count() if n_donors is None else n_donors
+    donor_rows = donors.select(F.col("id").alias("donor_id"), F.col("x").alias("y"))
+    asked = queries.select(F.col("id").alias("query_id"), "x")
+    if n_donors <= BLOCK:
+        n_queries = queries.count() if n_queries is None else n_queries
+        one = F.lit(0)
+        near = _search_cells(asked.withColumn("cell", one), donor_rows.withColumn("cell", one), k, {}, {0: n_queries}, 1)
+        return _best(near, k)
+    pivots = _Pivots(donors, n_donors)
+    cells, sizes = len(pivots.centres), {i: int(c) for i, c in enumerate(pivots.size)}
+    members = pivots.members.select(F.col("id").alias("donor_id"), F.col("x").alias("y"), "cell")
+    own = cut_lineage(pivots.assign(asked).drop("to_centre"))
+    first = cut_lineage(_best(_search_cells(own, members, k, sizes, _cell_counts(own), cells), k))
+    bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("bound"))
+    more = own.join(bound, "query_id", "left").withColumn("cell", F.explode(pivots.reachable("cell", "bound"))).drop("bound")
+    second = _search_cells(more, members, k, sizes, _cell_counts(more), cells)
+    return _best(first.drop("rank").unionByName(second), k)
 
 
 # --- k-nearest-neighbour imputation and classification ------------------------------------
@@ -154,7 +195,8 @@ def fill_nearest(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Da
     if text:
         df = fill_mode(df, text)
     known = F.array(*[F.col(c).isNotNull() for c in cols])
-    patterns = [tuple(r[0]) for r in df.select(known.alias("p")).distinct().collect()]
+    sizes = {tuple(r["p"]): r["n"] for r in df.groupBy(known.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    patterns = list(sizes)
     if all(all(p) for p in patterns):
         return df
     parts = {p: df.where(known == F.array(*[F.lit(v) for v in p])) for p in patterns}
@@ -169,7 +211,9 @@ def fill_nearest(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Da
                 shared = [c for c, a, b in zip(cols, gap, donor) if a and b]
                 if not donor[target] or not shared:
                     continue
-                near = nearest_join(as_points(parts[gap], key, shared), as_points(parts[donor], key, shared), k)
+                near = nearest_join(
+                    as_points(parts[gap], key, shared), as_points(parts[donor], key, shared), k, sizes[gap], sizes[donor]
+                )
                 scale = float(np.sqrt(len(cols) / len(shared)))
                 near = near.select("query_id", "donor_id", (F.col("dist") * scale).alias("dist"))
                 candidates = near if candidates is None else candidates.unionByName(near)
@@ -217,34 +261,52 @@ def classify_nearest(train: DataFrame, test: DataFrame, label: str, k: int = 5,
 # --- density clustering -------------------------------------------------------------------
 
 
-def _grid(points: DataFrame, eps: float, dims: int) -> tuple[DataFrame, DataFrame]:
-    """Members of each grid cell, and visitors sent to all cells within one step."""
-    coords = F.transform("x", lambda v: F.floor(v / eps).cast("bigint"))
-    home = points.withColumn("_at", coords)
-    sent = home
+def _tile_side(points: DataFrame, eps: float, dims: int) -> float:
+    """Side of square tiles: about a block of points each, halved while much of the data
+    sits in crowded tiles, never below two eps."""
+    ends = points.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[e for j in range(dims) for e in (F.min(F.col("x")[j]).alias(f"lo{j}"), F.max(F.col("x")[j]).alias(f"hi{j}"))],
+    ).first()
+    n = max(ends["n"], 1)
+    widest = max((ends[f"hi{j}"] or 0.0) - (ends[f"lo{j}"] or 0.0) for j in range(dims))
+    side = max(2.0 * eps, widest * min(1.0, (BLOCK / n)) ** (1.0 / dims))
+    while side >= 4.0 * eps:
+        tile = F.transform("x", lambda v: F.floor(v / F.lit(side)))
+        crowded = points.groupBy(tile.alias("t")).count().where(F.col("count") > 2 * BLOCK).agg(F.sum("count")).first()[0] or 0
+        if crowded <= 0.1 * n:
+            break
+        side /= 2.0
+    return side
+
+
+def _tiles(points: DataFrame, eps: float, dims: int) -> tuple[DataFrame, DataFrame]:
+    """Members of each tile, and visitors: every point in all tiles its eps-box touches."""
+    side = _tile_side(points, eps, dims)
+    home_at = [F.floor(F.col("x")[j] / side).cast("string") for j in range(dims)]
+    home = points.withColumn("cell", F.concat_ws(",", *home_at))
+    sent = points
+    reach = eps * (1 + 1e-9)
     for j in range(dims):
-        step = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-        sent = sent.withColumn("_d", step).withColumn(
-            "_at",
-            F.concat(
-                F.slice("_at", 1, j) if j else F.array().cast("array<bigint>"),
-                F.array(F.col("_at")[j] + F.col("_d")),
-                F.slice("_at", j + 2, dims) if j + 1 < dims else F.array().cast("array<bigint>"),
-            ),
-        )
-    name = F.concat_ws(",", F.transform("_at", lambda v: v.cast("string")))
-    return home.withColumn("cell", name).drop("_at"), sent.withColumn("cell", name).drop("_at", "_d")
+        x = F.col("x")[j]
+        sent = sent.withColumn(f"_t{j}", F.explode(F.sequence(F.floor((x - reach) / side), F.floor((x + reach) / side))))
+    names = [f"_t{j}" for j in range(dims)]
+    return home, sent.withColumn("cell", F.concat_ws(",", *[F.col(t).cast("string") for t in names])).drop(*names)
 
 
 def _ball_blocks(points: DataFrame, eps: float, dims: int) -> tuple[DataFrame, DataFrame]:
     """Home and visitor rows keyed by (cell, _hs, _vs) so that each block is bounded."""
     if dims <= 3:
-        home, sent = _grid(points, eps, dims)
+        home, sent = _tiles(points, eps, dims)
     else:
-        pivots = _Pivots(points)
-        members = pivots.members.select("id", F.col("cell").cast("string").alias("cell"))
-        home = points.join(members, "id")
-        sent = points.withColumn("cell", F.explode(pivots.reachable(eps=eps)).cast("string"))
+        pivots = _Pivots(points, points.count())
+        home = pivots.members.drop("to_centre")
+        others = pivots.reachable("cell", "_eps")
+        sent = (
+            home.withColumn("_eps", F.lit(float(eps)))
+            .withColumn("cell", F.explode(F.concat(F.array("cell"), others)))
+            .drop("_eps")
+        )
 
     def blocks(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
@@ -327,7 +389,7 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         near = _distances(_stack(guests["guest_x"]), _stack(home["x"])) <= limit2
         return pd.DataFrame({"id": guests["guest_id"].to_numpy(), "n": near @ home["w"].to_numpy()})
 
-    counts = h.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(count, count_type)
+    counts = _cogroup(h, v, keys, count, count_type)
     core = counts.groupBy("id").agg((F.sum("n") >= min_points).alias("core"))
     marked = cut_lineage(points.join(core, "id"))
 
@@ -347,7 +409,7 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         return pd.DataFrame(found, columns=["a", "b", "core"]) if found else empty
 
     h, v = _ball_blocks(marked, eps, dims)
-    links = cut_lineage(h.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInPandas(link, link_type))
+    links = cut_lineage(_cogroup(h, v, keys, link, link_type))
     comps = connected_components(links.where("core"), marked.where("core").select("id"))
     border = (
         links.where("NOT core")
