@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,11 +40,36 @@ def to_double(c: str | Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
+_FIELD = {
+    "yyyy": r"\d{4}", "yy": r"\d{2}", "MMMM": "[A-Za-z]+", "MMM": "[A-Za-z]{3}", "MM": "(0?[1-9]|1[0-2])",
+    "dd": r"(0?[1-9]|[12]\d|3[01])", "HH": r"([01]?\d|2[0-3])", "mm": r"[0-5]?\d", "ss": r"[0-5]?\d",
+}
+
+
+def date_shape(pattern: str) -> str:
+    """Regular expression of the texts a date pattern can match, value ranges included."""
+    parts = re.findall(r"y+|M+|d+|H+|m+|s+|.", pattern)
+    return "^" + "".join(_FIELD.get(p, re.escape(p)) for p in parts) + "$"
+
+
+def _lenient(pattern: str) -> str:
+    """The same pattern with one or two digits for day, month and time."""
+    short = {"MM": "M", "dd": "d", "HH": "H", "mm": "m", "ss": "s"}
+    return "".join(short.get(p, p) for p in re.findall(r"y+|M+|d+|H+|m+|s+|.", pattern))
+
+
 def parse_datetime(c: str | Column, pattern: str | None = None) -> Column:
-    """Timestamp without zone, or NULL when the text does not parse."""
+    """Timestamp without zone, or NULL when the text does not parse.
+
+    The regular expression in front is compiled code; a failed parse costs an exception, so
+    only texts of the right shape are parsed.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    ts = F.try_to_timestamp(c) if pattern is None else F.try_to_timestamp(c, F.lit(pattern))
-    return ts.cast("timestamp_ntz")
+    if pattern is None:
+        shaped, ts = c.cast("string").rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}.*)?)?$"), F.try_to_timestamp(c)
+    else:
+        shaped, ts = c.rlike(date_shape(pattern)), F.try_to_timestamp(c, F.lit(_lenient(pattern)))
+    return F.when(shaped, ts).cast("timestamp_ntz")
 
 
 def parse_datetime_any(c: str | Column) -> Column:
@@ -88,6 +115,27 @@ def per_column(df: DataFrame, cols: list[str], metrics: dict) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def distinct_per_column(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column, n_distinct) of non-null values, exact.
+
+    Each column is counted on its own: a narrow scan, a map-side combine, and a shuffle of
+    that column's distinct values only.  Several distinct counts in one aggregation would copy
+    every row once per column first.
+    """
+    out = None
+    for c in cols:
+        q = F.col(f"`{c}`")
+        part = (
+            df.where(q.isNotNull())
+            .groupBy(q.alias("_v"))
+            .agg(F.lit(1).alias("_one"))
+            .agg(F.count("_one").alias("n_distinct"))
+            .select(F.lit(c).alias("column"), "n_distinct")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def long_form(df: DataFrame, cols: list[str], kind: str = "string", keep: list[str] | None = None) -> DataFrame:
     """(column, value) rows, one per input row and column."""
     pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast(kind).alias("value")) for c in cols]

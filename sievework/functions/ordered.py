@@ -56,13 +56,18 @@ def with_known_neighbours(
     at = F.struct(F.col(order), F.col(tie))
     inside = Window.partitionBy(*keys, "_slice").orderBy(order, tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    rest = inside.rowsBetween(0, Window.unboundedFollowing)
+    # A frame that runs to the end is rebuilt for every row: read backwards instead.
+    back = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy(F.desc(order), F.desc(tie))
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
     local = sliced.withColumn("_lpos", F.row_number().over(inside) - 1)
     mark = F.when(known, F.struct(F.col(value).alias("v"), F.col("_lpos").alias("p")))
     local = (
         local.withColumn("_mark", mark)
         .withColumn("_lprev", F.last("_mark", ignorenulls=True).over(upto))
-        .withColumn("_lnext", F.first("_mark", ignorenulls=True).over(rest))
+        .withColumn("_lnext", F.last("_mark", ignorenulls=True).over(back))
     )
 
     # One row per (series, slice): size, first and last known value with local positions.
@@ -73,7 +78,7 @@ def with_known_neighbours(
     )
     over_slices = Window.partitionBy(*keys).orderBy("_slice")
     before = over_slices.rowsBetween(Window.unboundedPreceding, -1)
-    after = over_slices.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(*keys).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
 
     def shift(m: str) -> Column:
         return F.when(
@@ -86,7 +91,7 @@ def with_known_neighbours(
         .withColumn("_lastm", shift("_lastm"))
         .withColumn("_firstm", shift("_firstm"))
         .withColumn("_cin", F.last("_lastm", ignorenulls=True).over(before))
-        .withColumn("_cout", F.first("_firstm", ignorenulls=True).over(after))
+        .withColumn("_cout", F.last("_firstm", ignorenulls=True).over(after))
         .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s2"), "_off", "_cin", "_cout")
     )
     on = F.col("_slice") == F.col("_s2")

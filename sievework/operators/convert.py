@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.exprs import (
+    date_shape,
     numeric_columns,
     parse_datetime,
     parse_datetime_any,
@@ -91,13 +92,20 @@ def auto_datetime(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def pattern_matches(df: DataFrame, col: str) -> DataFrame:
-    """Whether every non-null value parses, per date pattern, in the order of preference."""
+    """Whether every non-null value parses, per date pattern, in the order of preference.
+
+    A first scan keeps the patterns whose shape fits every value; only those are parsed.
+    """
+    known = F.col(col).isNotNull()
+    shapes = df.agg(
+        *[F.bool_and(F.when(known, F.col(col).rlike(date_shape(p)))).alias(f"p{i}") for i, p in enumerate(DATE_PATTERNS)]
+    ).first()
     checks = [
-        F.coalesce(F.bool_and(F.when(F.col(col).isNotNull(), parse_datetime(col, p).isNotNull())), F.lit(False)).alias(f"p{i}")
+        (F.coalesce(F.bool_and(F.when(known, parse_datetime(col, p).isNotNull())), F.lit(False)) if shapes[f"p{i}"] else F.bool_or(F.lit(False))).alias(f"p{i}")
         for i, p in enumerate(DATE_PATTERNS)
     ]
     rows = [
-        F.struct(F.lit(i).alias("position"), F.lit(p).alias("pattern"), F.col(f"p{i}").alias("matches"))
+        F.struct(F.lit(i).alias("position"), F.lit(p).alias("pattern"), F.coalesce(F.col(f"p{i}"), F.lit(False)).alias("matches"))
         for i, p in enumerate(DATE_PATTERNS)
     ]
     return df.agg(*checks).select(F.inline(F.array(*rows)))

@@ -240,21 +240,14 @@ def price_grid(df: DataFrame, keys: Sequence[str], base_demand: Value, base_pric
 
 
 def price_optimum(df: DataFrame, keys: Sequence[str], base_demand: Value, base_price: Value, unit_cost: Value, a: float = -2.0, b: float = 0.5) -> DataFrame:
-    """Price of highest profit, the lowest such price on ties; one array scan per item, no shuffle."""
-    # The grid of an item has a fixed 200 points, so it stays inside the row.
-    p0 = _c(base_price)
-    low = F.greatest(F.lit(0.01), p0 * 0.1)
-    width = (p0 * 2 - low) / 199
-    c, d0 = _c(unit_cost), _c(base_demand)
-
-    def point(i: Column) -> Column:
-        price = low + i * width
-        demand = d0 * F.exp(F.lit(float(a)) + F.lit(float(b)) * F.ln(F.try_divide(price, p0)))
-        return F.struct(((price - c) * demand).alias("profit"), (-i).alias("neg"), price.alias("price"), demand.alias("quantity"))
-
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(199)), point))
-    return df.withColumn("_b", best).select(
-        *keys, F.col("_b.price").alias("price"), F.col("_b.quantity").alias("quantity"), F.col("_b.profit").alias("profit"), F.lit(float(b)).alias("elasticity")
+    """Price of highest profit, the lowest such price on ties.
+
+    The 200 grid rows of an item stay in its task: the map-side combine leaves one per item.
+    """
+    grid = price_grid(df, keys, base_demand, base_price, unit_cost, a, b)
+    best = F.max(F.struct("profit", (-F.col("step")).alias("s"), "price", "demand"))
+    return grid.groupBy(*keys).agg(best.alias("_b")).select(
+        *keys, F.col("_b.price").alias("price"), F.col("_b.demand").alias("quantity"), F.col("_b.profit").alias("profit"), F.lit(float(b)).alias("elasticity")
     )
 
 

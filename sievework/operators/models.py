@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -20,13 +19,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.exprs import numeric_columns, per_column, text_columns
+from sievework.functions.exprs import distinct_per_column, numeric_columns, per_column, text_columns
+from sievework.functions.order_stats import slice_of
 from sievework.operators.encode import label_decode, label_dictionary, label_encode, levels_of, one_hot_stage
 from sievework.operators.missing import fill_mean
 from sievework.operators.neighbors import classify_nearest
@@ -51,9 +51,14 @@ def triage(df: DataFrame, features: Sequence[str], max_levels: int = 50, max_mis
         list(features),
         {
             "pct_missing": lambda c: F.avg(F.col(c).isNull().cast("double")),
-            "n_levels": lambda c: F.count_distinct(c) if c in text else F.lit(None).cast("bigint"),
         },
     )
+    wide = [c for c in features if c in text]
+    if wide:
+        levels = distinct_per_column(df, wide).withColumnRenamed("n_distinct", "n_levels")
+        prof = prof.join(F.broadcast(levels), "column", "left")
+    else:
+        prof = prof.withColumn("n_levels", F.lit(None).cast("bigint"))
     is_numeric = F.col("column").isin(*numeric) if numeric else F.lit(False)
     role = (
         F.when(is_numeric & (F.col("pct_missing") <= max_missing), "numeric")
@@ -91,6 +96,13 @@ def preprocessing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
     return stages, slots
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """One shuffle by key ahead of an iterative fit, so that every pass uses all cores even if
+    the input came in a few large pieces.  A key spreads evenly and repeats exactly on retry."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
@@ -101,7 +113,7 @@ def estimator(name: str, **params):
         "decision_tree_classifier": DecisionTreeClassifier,
         "random_forest_classifier": RandomForestClassifier,
         "naive_bayes": lambda **p: NaiveBayes(modelType="gaussian", **p),
-        "svm_classifier": lambda **p: OneVsRest(classifier=LinearSVC(**p)),
+        "svm_classifier": lambda **p: OneVsRest(classifier=LinearSVC(**p), parallelism=4),
         "linear_regression": LinearRegression,
         "decision_tree_regressor": DecisionTreeRegressor,
         "random_forest_regressor": RandomForestRegressor,
@@ -171,12 +183,15 @@ def train(
         rows = rows.withColumn("label", label)
     else:
         rows = rows.withColumn("label", F.col(target).cast("double"))
-    rows = rows.select(key, *numeric, *categorical, "label")
+    rows = spread(rows.select(key, *numeric, *categorical, "label"), key).persist()
     fit_rows, test_rows = split_rows(rows, key, test_share, seed)
     stages, slots = preprocessing(fit_rows, numeric, categorical)
     fitted = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
     scored = fitted.transform(test_rows).select(key, "label", "prediction")
-    metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
+    measured = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
+    # One row; read now so that the kept rows can be given back.
+    metrics = df.sparkSession.createDataFrame([measured.first()], measured.schema)
+    rows.unpersist()
     return Trained(fitted, problem, slots, labels, metrics, numeric)
 
 
@@ -252,57 +267,77 @@ def feature_importance(trained: Trained) -> DataFrame:
 
 
 class Boosted:
-    """Weighted votes of one-split trees (SAMME)."""
+    """Weighted votes of one-split trees (SAMME): (slot, cut, class below, class above, weight)."""
 
-    def __init__(self, stumps: list[tuple[int, float, float, float, float]], classes: int):
+    def __init__(self, stumps: list[tuple[int, float, int, int, float]], classes: int):
         self.stumps, self.classes = stumps, classes
 
-    @staticmethod
-    def _vote(x: Column, stump) -> Column:
-        slot, cut, left, right, _ = stump
-        if slot < 0:
-            return F.lit(left)
-        return F.when(x[slot] <= F.lit(cut), F.lit(left)).otherwise(F.lit(right))
-
     def predict(self, df: DataFrame, x: str = "x") -> DataFrame:
         col = F.col(x)
+        votes = [
+            (F.when(col[slot] < F.lit(cut), F.lit(below)).otherwise(F.lit(above)), weight)
+            for slot, cut, below, above, weight in self.stumps
+        ]
         sums = []
         for k in range(self.classes):
             total = F.lit(0.0)
-            for s in self.stumps:
-                total = total + F.when(self._vote(col, s) == float(k), s[4]).otherwise(0.0)
-            sums.append(total)
-        best = F.array_max(F.array(*[F.struct(t.alias("v"), F.lit(-float(k)).alias("k")) for k, t in enumerate(sums)]))
-        return df.withColumn("prediction", -best["k"])
+            for vote, weight in votes:
+                total = total + F.when(vote == k, weight).otherwise(0.0)
+            sums.append(F.struct(total.alias("v"), F.lit(-float(k)).alias("k")))
+        return df.withColumn("prediction", -F.array_max(F.array(*sums))["k"])
 
 
-def fit_boosted(df: DataFrame, x: str = "x", label: str = "label", rounds: int = 50, seed: int = 42) -> Boosted:
-    """Boost depth-1 trees.  A row's weight is a formula of the stumps so far, so no lineage grows.
+def fit_boosted(df: DataFrame, x: str = "x", label: str = "label", rounds: int = 50, bins: int = 64) -> Boosted:
+    """Boost depth-1 trees over quantile-binned features.
 
-    ``x`` is an array of doubles and ``label`` runs over 0, 1, ....
+    ``x`` is an array of doubles and ``label`` runs over 0, 1, ....  The binned rows are written
+    once; a round is one weighted count per (feature, bin, class), small enough to choose the
+    best split from on the driver.  A row's weight is a formula of the stumps so far, so no
+    lineage grows.
     """
-    data = cut_lineage(df.select(F.col(x).alias("x"), F.col(label).cast("double").alias("label")))
-    classes = int(data.agg(F.max("label")).first()[0]) + 1
-    stumps: list[tuple[int, float, float, float, float]] = []
-    for i in range(rounds):
-        log_weight = F.lit(0.0)
-        for s in stumps:
-            log_weight = log_weight + F.when(Boosted._vote(F.col("x"), s) != F.col("label"), s[4]).otherwise(0.0)
-        weighted = data.select("x", "label", F.exp(log_weight).alias("w"), array_to_vector("x").alias("features"))
-        tree = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + i).fit(weighted)
-        slot = int(np.argmax(tree.featureImportances.toArray())) if tree.numNodes == 3 else -1
-        text = tree.toDebugString
-        said = [float(v) for v in re.findall(r"Predict: ([-\d.Ee]+)", text)]
-        cut = float(re.search(r"<= ([-\d.Ee]+)\)", text).group(1)) if slot >= 0 else 0.0
-        stump = (slot, cut, said[0], said[-1], 1.0)
-        err = weighted.agg(F.sum(F.when(Boosted._vote(F.col("x"), stump) != F.col("label"), F.col("w")).otherwise(0.0)) / F.sum("w")).first()[0]
-        if err <= 0.0:
-            stumps = [stump] if not stumps else [*stumps, (*stump[:4], 10.0)]
+    rows = df.select(F.col(x).alias("x"), F.col(label).cast("int").alias("label"))
+    size = rows.agg(F.max("label").alias("k"), F.max(F.size("x")).alias("d")).first()
+    classes, slots = size["k"] + 1, size["d"]
+    probs = [i / bins for i in range(1, bins)]
+    sketch = rows.agg(*[F.percentile_approx(F.col("x")[j], probs, 10_000).alias(f"q{j}") for j in range(slots)]).first()
+    cuts = [sorted(set(sketch[f"q{j}"])) for j in range(slots)]
+    codes = F.array(*[slice_of(F.col("x")[j], cuts[j]) for j in range(slots)])
+    data = cut_lineage(rows.select(codes.alias("codes"), "label"))
+    stumps: list[tuple[int, float, int, int, float]] = []
+    formula = F.lit(0.0)
+    for _ in range(rounds):
+        cells = (
+            data.select("label", F.exp(formula).alias("w"), F.posexplode("codes").alias("slot", "code"))
+            .groupBy("slot", "code", "label")
+            .agg(F.sum("w").alias("w"))
+            .collect()
+        )
+        best = None
+        for j in range(slots):
+            table = np.zeros((len(cuts[j]) + 1, classes))
+            for r in cells:
+                if r["slot"] == j:
+                    table[r["code"], r["label"]] = r["w"]
+            below = table.cumsum(axis=0)
+            above = below[-1] - below
+            weight_b, weight_a = below.sum(axis=1), above.sum(axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                purity = np.nan_to_num((below**2).sum(axis=1) / weight_b) + np.nan_to_num((above**2).sum(axis=1) / weight_a)
+            i = int(purity[:-1].argmax()) if len(cuts[j]) else 0
+            if len(cuts[j]) and (best is None or purity[i] > best[0]):
+                err = 1 - (below[i].max() + above[i].max()) / below[-1].sum()
+                best = (purity[i], j, i, int(below[i].argmax()), int(above[i].argmax()), err)
+        if best is None:
+            break
+        _, j, i, lo, hi, err = best
+        alpha = float(np.log((1 - err) / max(err, 1e-10)) + np.log(max(classes - 1, 1)))
+        if alpha <= 0:
             break
-        alpha = float(np.log((1 - err) / err) + np.log(max(classes - 1, 1)))
-        if alpha <= 0 or slot < 0:
+        stumps.append((j, cuts[j][i], lo, hi, alpha))
+        vote = F.when(F.col("codes")[j] <= i, F.lit(lo)).otherwise(F.lit(hi))
+        formula = formula + F.when(vote != F.col("label"), alpha).otherwise(0.0)
+        if err <= 1e-10:
             break
-        stumps.append((*stump[:4], alpha))
     return Boosted(stumps, classes)
 
 
@@ -362,7 +397,7 @@ def train_vector_model(
     """knn_classifier, adaboost or lda on scaled numeric features: (scored test rows, metrics)."""
     words = label_dictionary(df, target)
     rows = label_encode(df.where(F.col(target).isNotNull()).select(key, target, *features), target, "label")
-    fit_rows, test_rows = split_rows(_as_double(rows, features), key, test_share, seed)
+    fit_rows, test_rows = split_rows(spread(_as_double(rows, features), key), key, test_share, seed)
     stages, _ = preprocessing(fit_rows, list(features), [])
     prep = Pipeline(stages=stages).fit(fit_rows)
 

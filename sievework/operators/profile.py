@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.exprs import (
     datetime_columns,
+    distinct_per_column,
     long_form,
     numeric_columns,
     per_column,
@@ -22,10 +23,6 @@ from sievework.operators.outliers import iqr_report
 from sievework.operators.schema import dtype_counts, id_like_columns, likely_date_columns, top_values
 
 
-def _distinct(c: str, approximate: bool) -> Column:
-    return F.approx_count_distinct(F.col(f"`{c}`")) if approximate else F.count_distinct(F.col(f"`{c}`"))
-
-
 def _with_quantiles(prof: DataFrame, df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Attach learned quantiles as literals, looked up by column name."""
     got = exact_quantiles(df, cols, list(probs.values()))
@@ -38,7 +35,7 @@ def _with_quantiles(prof: DataFrame, df: DataFrame, cols: Sequence[str], probs:
 def dataset_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, rows, missing count and percentage, distinct non-null values."""
     kinds = dict(df.dtypes)
-    return per_column(
+    prof = per_column(
         df,
         df.columns,
         {
@@ -46,9 +43,9 @@ def dataset_summary(df: DataFrame, approximate: bool = False) -> DataFrame:
             "n_rows": lambda c: F.count(F.lit(1)),
             "n_missing": lambda c: F.count_if(F.col(f"`{c}`").isNull()),
             "pct_missing": lambda c: F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100,
-            "n_distinct": lambda c: _distinct(c, approximate),
         },
     )
+    return prof.join(F.broadcast(distinct_counts(df, df.columns, approximate)), "column")
 
 
 def dtype_overview(df: DataFrame) -> DataFrame:
@@ -74,7 +71,10 @@ def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    return per_column(df, list(cols or df.columns), {"n_distinct": lambda c: _distinct(c, approximate)})
+    cols = list(cols or df.columns)
+    if approximate:
+        return per_column(df, cols, {"n_distinct": lambda c: F.approx_count_distinct(F.col(f"`{c}`"))})
+    return distinct_per_column(df, cols)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.exprs import (
     datetime_columns,
+    distinct_per_column,
     numeric_columns,
     parse_datetime,
     parse_datetime_any,
@@ -117,9 +118,13 @@ def semantic_types(df: DataFrame) -> DataFrame:
         {
             "n_rows": lambda c: F.count(F.lit(1)),
             "n_null": lambda c: F.count_if(F.col(c).isNull()),
-            "n_distinct": lambda c: F.count_distinct(F.col(c)) if c not in numeric and c not in dates and kinds[c] != "boolean" else F.lit(None).cast("long"),
         },
     )
+    open_kind = [c for c in df.columns if c not in numeric and c not in dates and kinds[c] != "boolean"]
+    if open_kind:
+        prof = prof.join(F.broadcast(distinct_per_column(df, open_kind)), "column", "left")
+    else:
+        prof = prof.withColumn("n_distinct", F.lit(None).cast("bigint"))
     fixed = F.create_map(
         *[
             F.lit(x)
@@ -169,13 +174,9 @@ def id_like_columns(df: DataFrame) -> DataFrame:
             return F.lit(False)
         return F.coalesce(F.bool_or(F.col(c).rlike(mixed) | F.col(c).rlike(coded)), F.lit(False))
 
-    prof = per_column(
-        df,
-        df.columns,
-        {
-            "unique_ratio": lambda c: F.try_divide(F.count_distinct(F.col(c)), F.count(F.lit(1))),
-            "has_pattern": pattern,
-        },
+    prof = per_column(df, df.columns, {"_n": lambda c: F.count(F.lit(1)), "has_pattern": pattern})
+    prof = prof.join(F.broadcast(distinct_per_column(df, df.columns)), "column").withColumn(
+        "unique_ratio", F.try_divide("n_distinct", "_n")
     )
     named = [c for c in df.columns if any(p in c.lower() for p in ID_NAME_PARTS)]
     high = F.col("unique_ratio") > 0.8
