@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.session import union_rows
+
 
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
@@ -122,18 +124,12 @@ def distinct_per_column(df: DataFrame, cols: list[str]) -> DataFrame:
     that column's distinct values only.  Several distinct counts in one aggregation would copy
     every row once per column first.
     """
-    out = None
+    parts = []
     for c in cols:
         q = F.col(f"`{c}`")
-        part = (
-            df.where(q.isNotNull())
-            .groupBy(q.alias("_v"))
-            .agg(F.lit(1).alias("_one"))
-            .agg(F.count("_one").alias("n_distinct"))
-            .select(F.lit(c).alias("column"), "n_distinct")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        levels = df.where(q.isNotNull()).groupBy(q.alias("_v")).agg(F.lit(1).alias("_one"))
+        parts.append(levels.agg(F.count("_one").alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct"))
+    return union_rows(parts)
 
 
 def long_form(df: DataFrame, cols: list[str], kind: str = "string", keep: list[str] | None = None) -> DataFrame:

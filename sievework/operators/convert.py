@@ -16,6 +16,7 @@ from sievework.functions.exprs import (
     text_columns,
     to_double,
 )
+from sievework.session import union_rows
 
 # Date patterns in the order in which they are tried.
 DATE_PATTERNS = (
@@ -137,14 +138,13 @@ def strip_to_number(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def unconvertible_examples(df: DataFrame, cols: Sequence[str], n: int = 3) -> DataFrame:
     """Up to n distinct values per column, smallest first, that are not numbers."""
-    out = None
+    parts = []
     for c in cols:
-        part = (
+        parts.append(
             df.where(F.col(c).isNotNull() & to_double(c).isNull())
             .select(F.lit(c).alias("column"), F.col(c).alias("example"))
             .distinct()
             .orderBy("example")
             .limit(n)
         )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return union_rows(parts)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.timeseries import future_dates
+from sievework.session import union_rows
 
 SEASON = {"D": 7, "W": 52, "M": 12, "Q": 4, "H": 24}
 BAND_Z = 1.2815515655446004  # 80 % band
@@ -32,7 +33,8 @@ def _per_series(df: DataFrame, keys: Sequence[str], freq: str, periods: int, fit
     keys = list(keys)
     day = F.unix_date(F.to_date("ts")).cast("double")
     ahead = future_dates(df, keys, freq, periods).select(*keys, "ts", F.lit(None).cast("double").alias("value"), F.lit("forecast").alias("kind"))
-    both = df.select(*keys, "ts", F.col("value").cast("double").alias("value"), F.lit("history").alias("kind")).unionByName(ahead)
+    past = df.select(*keys, "ts", F.col("value").cast("double").alias("value"), F.lit("history").alias("kind"))
+    both = union_rows([past, ahead])
     both = both.withColumn("_day", day)
     base = both.drop("_day").schema
     out = T.StructType([*base.fields, *[T.StructField(c, T.DoubleType()) for c in ("fitted", "lower", "upper")]])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.timeseries import exponential_mean
+from sievework.session import union_rows
 
 BROADCAST_ROWS = 1_000_000
 
@@ -38,11 +39,7 @@ def with_scalar(df: DataFrame, source: DataFrame, value: Column, name: str) -> D
 
 def union_kinds(parts: dict[str, DataFrame]) -> DataFrame:
     """Row union by name with a ``kind`` column."""
-    out = None
-    for kind, part in parts.items():
-        part = part.withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return union_rows(part.withColumn("kind", F.lit(kind)) for kind, part in parts.items())
 
 
 def top_rows(df: DataFrame, by: str, n: int, key: str, ascending: bool = False) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sievework.functions.exprs import numeric_columns, per_column
 from sievework.functions.order_stats import exact_quantiles
 from sievework.functions.ordered import with_known_neighbours
-from sievework.session import cut_lineage
+from sievework.session import cut_lineage, union_rows
 
 
 def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str, float]:
@@ -173,4 +173,4 @@ def fill_iterative(
         if moved < tolerance:
             break
     back = work.withColumns({c: F.col(c) * F.lit(scale[c]) + F.lit(mean[c]) for c in cols}).select(*df.columns)
-    return df.where(~any_gap).unionByName(back)
+    return union_rows([df.where(~any_gap), back])

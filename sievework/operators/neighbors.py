@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from sievework.functions.exprs import text_columns
 from sievework.operators.encode import label_dictionary
 from sievework.operators.missing import fill_mode
-from sievework.session import cut_lineage
+from sievework.session import cut_lineage, union_rows
 
 BLOCK = 2048
 MAX_PIVOTS = 256
@@ -152,14 +152,21 @@ def _cell_counts(rows: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def nearest_join(
+def nearest_join(queries: DataFrame, donors: DataFrame, k: int) -> DataFrame:
+    """(query_id, donor_id, dist, rank): the k nearest donors of each query, ties by donor id.
+
+    Both inputs have columns ``id`` and ``x`` (array of doubles).
+    """
+    return _best(nearest_candidates(queries, donors, k), k)
+
+
+def nearest_candidates(
     queries: DataFrame, donors: DataFrame, k: int, n_queries: int | None = None, n_donors: int | None = None
 ) -> DataFrame:
-    """(query_id, donor_id, dist, rank): the k nearest donors of each query, ties by donor id.
+    """(query_id, donor_id, dist) rows that include the k nearest donors of each query.
 
-    Both inputs have columns ``id`` and ``x`` (array of doubles).  Each query first searches
-    the cell of its nearest centre; the k-th distance found there bounds how far the second
-    search has to look.
+    Each query first searches the cell of its nearest centre; the k-th distance found there
+    bounds how far the second search has to look.
     """
     n_donors = donors.count() if n_donors is None else n_donors
     donor_rows = donors.select(F.col("id").alias("donor_id"), F.col("x").alias("y"))
@@ -167,8 +174,7 @@ def nearest_join(
     if n_donors <= BLOCK:
         n_queries = queries.count() if n_queries is None else n_queries
         one = F.lit(0)
-        near = _search_cells(asked.withColumn("cell", one), donor_rows.withColumn("cell", one), k, {}, {0: n_queries}, 1)
-        return _best(near, k)
+        return _search_cells(asked.withColumn("cell", one), donor_rows.withColumn("cell", one), k, {}, {0: n_queries}, 1)
     pivots = _Pivots(donors, n_donors)
     cells, sizes = len(pivots.centres), {i: int(c) for i, c in enumerate(pivots.size)}
     members = pivots.members.select(F.col("id").alias("donor_id"), F.col("x").alias("y"), "cell")
@@ -177,7 +183,7 @@ def nearest_join(
     bound = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("dist")).alias("bound"))
     more = own.join(bound, "query_id", "left").withColumn("cell", F.explode(pivots.reachable("cell", "bound"))).drop("bound")
     second = _search_cells(more, members, k, sizes, _cell_counts(more), cells)
-    return _best(first.drop("rank").unionByName(second), k)
+    return union_rows([first.drop("rank"), second])
 
 
 # --- k-nearest-neighbour imputation and classification ------------------------------------
@@ -201,43 +207,35 @@ def fill_nearest(df: DataFrame, key: str, cols: Sequence[str], k: int = 5) -> Da
         return df
     parts = {p: df.where(known == F.array(*[F.lit(v) for v in p])) for p in patterns}
     means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    fills = None
+    candidates = []
     for target, name in enumerate(cols):
-        for gap in patterns:
-            if gap[target]:
-                continue
-            candidates = None
-            for donor in patterns:
+        for gap in (p for p in patterns if not p[target]):
+            for donor in (p for p in patterns if p[target]):
                 shared = [c for c, a, b in zip(cols, gap, donor) if a and b]
-                if not donor[target] or not shared:
+                if not shared:
                     continue
-                near = nearest_join(
+                near = nearest_candidates(
                     as_points(parts[gap], key, shared), as_points(parts[donor], key, shared), k, sizes[gap], sizes[donor]
                 )
                 scale = float(np.sqrt(len(cols) / len(shared)))
-                near = near.select("query_id", "donor_id", (F.col("dist") * scale).alias("dist"))
-                candidates = near if candidates is None else candidates.unionByName(near)
-            if candidates is None:
-                continue
-            rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "donor_id"))
-            best = candidates.withColumn("_r", rank).where(F.col("_r") <= k)
-            values = df.select(F.col(key).alias("donor_id"), F.col(name).cast("double").alias("_v"))
-            fill = (
-                best.join(values, "donor_id")
-                .groupBy(F.col("query_id").alias("_key"))
-                .agg(F.avg("_v").alias("_v"))
-                .withColumn("_col", F.lit(name))
-            )
-            fills = fill if fills is None else fills.unionByName(fill)
-    new = {c: F.coalesce(F.col(c).cast("double"), F.lit(means[f"m{i}"])) for i, c in enumerate(cols)}
-    if fills is None:
-        return df.withColumns(new)
-    wide = fills.groupBy("_key").agg(*[F.max(F.when(F.col("_col") == c, F.col("_v"))).alias(f"_f{i}") for i, c in enumerate(cols)])
-    joined = df.join(wide, F.col(key) == F.col("_key"), "left")
-    new = {
+                candidates.append(
+                    near.select("query_id", "donor_id", (F.col("dist") * scale).alias("dist"), F.lit(target).alias("_col"))
+                )
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(means[f"m{i}"])) for i, c in enumerate(cols)}
+    if not candidates:
+        return df.withColumns(filled)
+    # One ranking over all columns at once, then one join for the donors' values.
+    rank = F.row_number().over(Window.partitionBy("query_id", "_col").orderBy("dist", "donor_id"))
+    best = union_rows(candidates).withColumn("_r", rank).where(F.col("_r") <= k)
+    values = df.select(F.col(key).alias("donor_id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("_values"))
+    picked = best.join(values, "donor_id").withColumn("_v", F.col("_values")[F.col("_col")])
+    wide = picked.groupBy(F.col("query_id").alias("_key")).agg(
+        *[F.avg(F.when(F.col("_col") == i, F.col("_v"))).alias(f"_f{i}") for i in range(len(cols))]
+    )
+    filled = {
         c: F.coalesce(F.col(c).cast("double"), F.col(f"_f{i}"), F.lit(means[f"m{i}"])) for i, c in enumerate(cols)
     }
-    return joined.withColumns(new).select(*df.columns)
+    return df.join(wide, F.col(key) == F.col("_key"), "left").withColumns(filled).select(*df.columns)
 
 
 def classify_nearest(train: DataFrame, test: DataFrame, label: str, k: int = 5, weights: str = "uniform") -> DataFrame:
@@ -349,7 +347,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours and then follows labels to their own
     label, and is written to the checkpoint folder.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = cut_lineage(union_rows([edges.select("a", "b"), back]).distinct())
     labels = cut_lineage(nodes.select("id", F.col("id").alias("comp")))
     while True:
         seen = (
@@ -417,7 +416,7 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         .groupBy(F.col("a").alias("id"))
         .agg(F.min("comp").alias("comp"))
     )
-    named = comps.unionByName(border)
+    named = union_rows([comps, border])
     codes = label_dictionary(comps, "comp").withColumnRenamed("code", "cluster")
     labels = points.join(named, "id", "left").join(codes, "comp", "left").select(
         F.col("x").alias("_x"), F.coalesce("cluster", F.lit(-1)).alias("cluster")

@@ -21,6 +21,7 @@ from sievework.operators.encode import levels_of
 from sievework.operators.missing import missing_cells, missing_report
 from sievework.operators.outliers import iqr_report
 from sievework.operators.schema import dtype_counts, id_like_columns, likely_date_columns, top_values
+from sievework.session import union_rows
 
 
 def _with_quantiles(prof: DataFrame, df: DataFrame, cols: Sequence[str], probs: dict[str, float]) -> DataFrame:
@@ -145,11 +146,9 @@ def categorical_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 
 def value_counts(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     """Top n values of each column: one narrow count and a top-n per column."""
-    out = None
-    for c in cols:
-        part = top_values(df, c, n).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "n_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return union_rows(
+        top_values(df, c, n).select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), "n_rows") for c in cols
+    )
 
 
 def frequency_table(df: DataFrame, col: str) -> DataFrame:
@@ -239,7 +238,7 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits:
     diagonal = per_column(df, cols, {"r": lambda c: F.when(F.var_pop(c) > 0, F.lit(1.0))}).select(
         F.col("column").alias("column_a"), F.col("column").alias("column_b"), "r"
     )
-    return upper.select(F.inline(both)).unionByName(diagonal).withColumn("r", F.round("r", digits))
+    return union_rows([upper.select(F.inline(both)), diagonal]).withColumn("r", F.round("r", digits))
 
 
 def strong_pairs(df: DataFrame, cols: Sequence[str] | None = None, limit: float = 0.7) -> DataFrame:
@@ -344,10 +343,7 @@ def eda_metrics(df: DataFrame) -> DataFrame:
         flat.append(_metrics(parts["cardinality"], "cardinality", "column", ["n_distinct"]))
     if "dates" in parts:
         flat.append(_metrics(parts["dates"], "dates", "column", ["range_days", "weekend_rows", "weekday_rows", "n_missing"]))
-    out = flat[0]
-    for p in flat[1:]:
-        out = out.unionByName(p)
-    return out
+    return union_rows(flat)
 
 
 def insights(df: DataFrame) -> DataFrame:
@@ -366,13 +362,11 @@ def insights(df: DataFrame) -> DataFrame:
         findings.append(
             (distinct_counts(df, text).where("n_distinct > 10"), "columns with more than 10 categories", "group or encode wide categories")
         )
-    out = None
-    for part, finding, advice in findings:
-        row = part.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(finding).alias("finding"), "n", F.lit(advice).alias("recommendation")
-        )
-        out = row if out is None else out.unionByName(row)
-    return out.where("n > 0")
+    rows = [
+        part.agg(F.count(F.lit(1)).alias("n")).select(F.lit(finding).alias("finding"), "n", F.lit(advice).alias("recommendation"))
+        for part, finding, advice in findings
+    ]
+    return union_rows(rows).where("n > 0")
 
 
 def trend_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
@@ -420,9 +414,9 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, n_samples:
             "max": lambda c: F.max(c).cast("double") if c in numeric else F.lit(None).cast("double"),
         },
     )
-    samples = None
+    samples = []
     for c in cols:
-        part = (
+        samples.append(
             df.where(F.col(c).isNotNull())
             .select(F.lit(c).alias("column"), F.col(c).alias("_v"))
             .distinct()
@@ -431,9 +425,8 @@ def column_profile(df: DataFrame, cols: Sequence[str] | None = None, n_samples:
             .groupBy("column")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("_v")), lambda v: v.cast("string")), ", ").alias("samples"))
         )
-        samples = part if samples is None else samples.unionByName(part)
     ids = id_like_columns(df.select(*cols)).select("column", "is_id", "unique_ratio")
-    return prof.join(F.broadcast(samples), "column", "left").join(F.broadcast(ids), "column")
+    return prof.join(F.broadcast(union_rows(samples)), "column", "left").join(F.broadcast(ids), "column")
 
 
 def bar_chart(df: DataFrame, by: str, value: str, how: str = "sum") -> DataFrame:

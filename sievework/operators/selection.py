@@ -14,6 +14,7 @@ from sievework.functions.exprs import numeric_columns, text_columns
 from sievework.functions.order_stats import exact_quantiles
 from sievework.operators.encode import label_encode, levels_of
 from sievework.operators.missing import fill_zero
+from sievework.session import union_rows
 
 
 def _features(df: DataFrame, target: str | None, features: Sequence[str] | None) -> list[str]:
@@ -32,7 +33,7 @@ def by_correlation(df: DataFrame, target: str, n: int = 5, features: Sequence[st
     scores = scores.where("correlation IS NOT NULL")
     top = scores.orderBy(F.desc("correlation"), "feature").limit(n).withColumn("side", F.lit("top"))
     bottom = scores.orderBy("correlation", F.desc("feature")).limit(n).withColumn("side", F.lit("bottom"))
-    return top.unionByName(bottom)
+    return union_rows([top, bottom])
 
 
 def by_variance(df: DataFrame, n: int = 5, features: Sequence[str] | None = None) -> DataFrame:

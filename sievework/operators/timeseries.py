@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.functions.order_stats import grouped_quantiles
+from sievework.session import union_rows
 
 STEP = {"D": "1 day", "W": "7 days", "M": "1 month", "Q": "3 months", "Y": "1 year"}
 
@@ -193,7 +194,7 @@ def future_dates(df: DataFrame, keys: Sequence[str], freq: str, periods: int) ->
 
 
 def _history_and_future(history: DataFrame, future: DataFrame) -> DataFrame:
-    return history.withColumn("kind", F.lit("history")).unionByName(future.withColumn("kind", F.lit("forecast")))
+    return union_rows([history.withColumn("kind", F.lit("history")), future.withColumn("kind", F.lit("forecast"))])
 
 
 def forecast_sma(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 10, window: int = 3) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import clustering, models, neighbors, selection
 from sievework.plans.registry import query, rounded, table
-from sievework.session import cut_lineage, ensure_checkpoint_dir
+from sievework.session import cut_lineage, ensure_checkpoint_dir, union_rows
 
 
 def _customers(spark, sf_dir):
@@ -62,7 +62,8 @@ def _lines(spark, sf_dir):
 @query("m01_split")
 def split(spark, sf_dir):
     fit, test = models.split_rows(table(spark, sf_dir, "orders"), "o_orderkey", 0.2)
-    return fit.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).select("o_orderkey", "part")
+    parts = [fit.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test"))]
+    return union_rows(parts).select("o_orderkey", "part")
 
 
 @query(

@@ -20,7 +20,7 @@ from sievework.plans.registry import (
     rounded,
     table,
 )
-from sievework.session import ensure_checkpoint_dir
+from sievework.session import ensure_checkpoint_dir, union_rows
 from sievework.sources import files
 
 
@@ -136,7 +136,7 @@ def drop_null_rows(spark, sf_dir):
 
 def _with_copies(spark, sf_dir):
     li = dirty_lineitem(spark, sf_dir)
-    return li.unionByName(li.where(F.col("l_orderkey") % 50 == 0))
+    return union_rows([li, li.where(F.col("l_orderkey") % 50 == 0)])
 
 
 LINEITEM_COPIES = f"(SELECT * FROM {DIRTY_LINEITEM} UNION ALL SELECT * FROM {DIRTY_LINEITEM} WHERE l_orderkey % 50 = 0)"
@@ -259,7 +259,7 @@ def _cleaning_input(spark, sf_dir):
         F.format_string("%.2f", "o_totalprice").alias("price_text"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias("date_text"),
     )
-    return base.unionByName(base.where(key % 50 == 0))
+    return union_rows([base, base.where(key % 50 == 0)])
 
 
 # Fill values are rounded so that both engines remove and keep the same rows.

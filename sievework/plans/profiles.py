@@ -16,6 +16,7 @@ from sievework.plans.registry import (
     rounded,
     table,
 )
+from sievework.session import union_rows
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -66,7 +67,7 @@ def distinct_counts(spark, sf_dir):
 )
 def duplicate_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return profile.duplicate_rows(li.unionByName(li.where(F.col("l_orderkey") % 50 == 0)))
+    return profile.duplicate_rows(union_rows([li, li.where(F.col("l_orderkey") % 50 == 0)]))
 
 
 @query(

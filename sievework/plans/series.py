@@ -30,7 +30,9 @@ def _monthly(spark, sf_dir):
     return ts.resample(o, ["o_orderpriority"], "o_orderdate", "price", "M", "mean")
 
 
-MONTHLY = """SELECT o_orderpriority, last_day(o_orderdate) AS ts, avg(o_totalprice / 97) AS value FROM orders GROUP BY ALL"""
+MONTHLY = """SELECT s.o_orderpriority, last_day(s.b) AS ts, a.value FROM (
+  SELECT o_orderpriority, unnest(generate_series(min(date_trunc('month', o_orderdate)::DATE), max(date_trunc('month', o_orderdate)::DATE), INTERVAL 1 MONTH))::DATE AS b FROM orders GROUP BY 1) s
+  LEFT JOIN (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS b, avg(o_totalprice / 97) AS value FROM orders GROUP BY ALL) a ON a.o_orderpriority = s.o_orderpriority AND a.b = s.b"""
 
 
 @query("f01_resample_day_sum", f"SELECT event_type, ts, round(value, 4) AS value FROM ({DAILY})")
@@ -132,7 +134,7 @@ def decompose_extrapolated(spark, sf_dir):
 @query(
     "f05_suggested_period",
     """SELECT o_orderpriority, n AS n_points, CASE WHEN n >= 4 THEN least(greatest(2, least(12, greatest(2, least(n // 4, top)))), top)::INTEGER END AS period
-    FROM (SELECT o_orderpriority, n, greatest(3, least(n // 2, 24)) AS top FROM (SELECT o_orderpriority, count(DISTINCT last_day(o_orderdate)) AS n FROM orders GROUP BY 1))""",
+    FROM (SELECT o_orderpriority, n, greatest(3, least(n // 2, 24)) AS top FROM (SELECT o_orderpriority, datediff('month', min(o_orderdate), max(o_orderdate)) + 1 AS n FROM orders GROUP BY 1))""",
 )
 def suggested_period(spark, sf_dir):
     return ts.suggested_period(_monthly(spark, sf_dir), ["o_orderpriority"], "M")
@@ -143,7 +145,7 @@ def _frequency_sql(key: str, source: str) -> str:
     FROM (SELECT {key}, datediff('day', lag(d) OVER (PARTITION BY {key} ORDER BY d), d) AS gap FROM ({source})) WHERE gap IS NOT NULL GROUP BY 1"""
 
 
-@query("f06_infer_frequency_month", _frequency_sql("o_orderpriority", "SELECT DISTINCT o_orderpriority, last_day(o_orderdate) AS d FROM orders"))
+@query("f06_infer_frequency_month", _frequency_sql("o_orderpriority", f"SELECT o_orderpriority, ts AS d FROM ({MONTHLY})"))
 def infer_frequency_month(spark, sf_dir):
     return ts.infer_frequency(_monthly(spark, sf_dir), ["o_orderpriority"], "ts")
 

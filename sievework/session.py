@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,6 +51,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
+    """Row union by column name.
+
+    Spark 4.1 can zip the inputs of a union partition by partition when they are hashed alike,
+    which fails if adaptive execution re-partitions one of them; that setting is turned off.
+    """
+    parts = list(parts)
+    try:
+        parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    except PySparkException:  # not known to this Spark version
+        pass
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def parallelism(df: DataFrame) -> int:
     """Number of slices worth cutting a hot group into on this session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

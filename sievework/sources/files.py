@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from sievework.functions.exprs import nan_to_null
 from sievework.operators.convert import coerce_by_name
 from sievework.operators.schema import unique_names
+from sievework.session import union_rows
 
 # Separators in the order in which they are tried.
 SEPARATORS = (",", ";", "\t", "|")
@@ -33,7 +34,7 @@ def csv_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
     """(separator, encoding): the first separator that splits the header line; UTF-8 unless
     some line holds bytes that are no UTF-8."""
     lines = spark.read.text(path)
-    broken = lines.where(F.col("value").contains("�")).limit(1).count() > 0
+    broken = lines.where(~F.is_valid_utf8("value")).limit(1).count() > 0
     first = lines.first()
     header = first["value"] if first else ""
     sep = next((s for s in SEPARATORS if s in header), ",")
@@ -72,10 +73,7 @@ def load(spark: SparkSession, path: str, kind: str, schema: StructType | str | N
 
 def union_batches(batches: Sequence[DataFrame]) -> DataFrame:
     """Row-wise union by column name."""
-    out = batches[0]
-    for b in batches[1:]:
-        out = out.unionByName(b)
-    return out
+    return union_rows(batches)
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
