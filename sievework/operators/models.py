@@ -98,9 +98,9 @@ def preprocessing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """One shuffle by key ahead of an iterative fit, so that every pass uses all cores even if
-    the input came in a few large pieces.  A key spreads evenly and repeats exactly on retry."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), key)
+    the input came in a few large pieces.  A key spreads evenly and repeats exactly on retry;
+    adaptive execution picks the number of partitions."""
+    return df.repartition(F.col(key))
 
 
 def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -96,10 +96,13 @@ class _Pivots:
         return cells("x", cell, bound)
 
 
-def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, out: T.StructType) -> DataFrame:
-    """Cogroup with a fixed number of partitions: blocks are small in bytes but heavy to compute,
-    so run-time merging of small partitions would leave most cores idle."""
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _cogroup(left: DataFrame, right: DataFrame, keys: Sequence[str], fn, out: T.StructType, blocks: int) -> DataFrame:
+    """Cogroup with a partition per expected block, up to the session's shuffle partitions.
+
+    Blocks are small in bytes but heavy to compute, so run-time merging of small partitions
+    would leave most cores idle.
+    """
+    n = max(1, min(blocks, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     a, b = left.repartition(n, *keys), right.repartition(n, *keys)
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(fn, out)
 
@@ -140,7 +143,8 @@ def _search_cells(sent: DataFrame, members: DataFrame, k: int, sizes: dict[int,
         ]
     )
     keys = ["cell", "_ds", "_qs"]
-    return _cogroup(q, d, keys, block, out)
+    blocks = sum(-(-arrivals.get(i, 0) // BLOCK) * max(1, -(-sizes.get(i, 0) // BLOCK)) for i in range(cells))
+    return _cogroup(q, d, keys, block, out, blocks)
 
 
 def _best(near: DataFrame, k: int) -> DataFrame:
@@ -388,7 +392,8 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         near = _distances(_stack(guests["guest_x"]), _stack(home["x"])) <= limit2
         return pd.DataFrame({"id": guests["guest_id"].to_numpy(), "n": near @ home["w"].to_numpy()})
 
-    counts = _cogroup(h, v, keys, count, count_type)
+    blocks = 8 + 8 * points.count() // BLOCK
+    counts = _cogroup(h, v, keys, count, count_type, blocks)
     core = counts.groupBy("id").agg((F.sum("n") >= min_points).alias("core"))
     marked = cut_lineage(points.join(core, "id"))
 
@@ -408,7 +413,7 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         return pd.DataFrame(found, columns=["a", "b", "core"]) if found else empty
 
     h, v = _ball_blocks(marked, eps, dims)
-    links = cut_lineage(_cogroup(h, v, keys, link, link_type))
+    links = cut_lineage(_cogroup(h, v, keys, link, link_type, blocks))
     comps = connected_components(links.where("core"), marked.where("core").select("id"))
     border = (
         links.where("NOT core")

@@ -52,8 +52,7 @@ def by_forest(df: DataFrame, target: str, n: int = 5, features: Sequence[str] |
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
     made = RandomForestClassifier if classes else RandomForestRegressor
     # Tree building makes many passes: spread the rows over all cores once.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model = made(numTrees=trees, seed=seed).fit(rows.select("features", "label").repartition(n))
+    model = made(numTrees=trees, seed=seed).fit(rows.repartition(*names).select("features", "label"))
     got = [(c, float(v)) for c, v in zip(names, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(got, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
