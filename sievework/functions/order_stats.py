@@ -23,6 +23,7 @@ from sievework.session import parallelism
 DISTINCT_LIMIT = 1_000_000
 BRACKET_LIMIT = 100_000
 SKETCH_ACCURACY = 10_000
+MAX_CUTS = 256
 
 
 def slice_of(value: Column, cuts: Sequence) -> Column:
@@ -37,19 +38,32 @@ def slice_of(value: Column, cuts: Sequence) -> Column:
     return build(0, len(cuts))
 
 
-def sketch_cuts(df: DataFrame, value: str | Column, slices: int) -> tuple[list[float], list[float]]:
-    """Cut points for about equal slices, and the values so frequent that they fill one alone.
+def value_slices(df: DataFrame, value: Column, slices: int) -> tuple[Column, list[float]]:
+    """A slice number that grows with ``value``, and the values that fill a slice alone.
 
-    Such a hot value gets a slice of its own: one cut at the value and one just above it.
+    At most ``MAX_CUTS`` cut points come from a bounded sketch; more slices than that are made
+    by dividing each slice evenly.  A value so frequent that it spans slices gets one of its
+    own: one cut at the value and one just above it.
     """
-    col = F.col(value) if isinstance(value, str) else value
-    probs = [i / slices for i in range(1, slices)]
-    got = df.agg(F.percentile_approx(col.cast("double"), probs, SKETCH_ACCURACY).alias("c")).first()["c"]
+    base = min(MAX_CUTS, slices)
+    fine = math.ceil(slices / base)
+    probs = [i / base for i in range(base + 1)]
+    got = df.agg(F.percentile_approx(value.cast("double"), probs, SKETCH_ACCURACY).alias("c")).first()["c"]
     if not got:
-        return [], []
-    hot = sorted({v for v, w in zip(got, got[1:]) if v == w})
-    cuts = sorted(set(got) | {math.nextafter(v, math.inf) for v in hot})
-    return cuts, hot
+        return F.lit(0).cast("bigint"), []
+    inner = got[1:-1]
+    hot = sorted({v for v, w in zip(inner, inner[1:]) if v == w})
+    cuts = sorted(set(inner) | {math.nextafter(v, math.inf) for v in hot})
+    first = slice_of(value, cuts).cast("bigint")
+    if fine == 1:
+        return first, hot
+    edges = [got[0], *cuts, got[-1]]
+    at = (first + 1).cast("int")
+    low = F.element_at(F.array(*[F.lit(e) for e in edges[:-1]]), at)
+    high = F.element_at(F.array(*[F.lit(e) for e in edges[1:]]), at)
+    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+    part = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor(share * fine)))
+    return first * fine + part, hot
 
 
 def sampled_cuts(distinct: DataFrame, col: str, n_rows: int, slices: int) -> list:
@@ -57,6 +71,7 @@ def sampled_cuts(distinct: DataFrame, col: str, n_rows: int, slices: int) -> lis
 
     The sample only steers how even the slices are, never which rows are in the result.
     """
+    slices = min(slices, MAX_CUTS)
     wanted = 50 * slices
     part = distinct.select(col).sample(fraction=min(1.0, wanted / max(n_rows, 1)), seed=7)
     got = sorted(r[0] for r in part.limit(2 * wanted).collect())
@@ -194,13 +209,13 @@ def grouped_quantiles(
     if distinct <= DISTINCT_LIMIT:
         q = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), list(probs)).alias("_q"))
         return q.select(*keys, *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
-    cuts, _ = sketch_cuts(df, value, parallelism(df))
     v = F.col(value).cast("double")
+    place, _ = value_slices(df.select(v.alias("_v")), F.col("_v"), parallelism(df))
     counts = (
         df.where(v.isNotNull())
         .groupBy(*keys, v.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_s", slice_of(F.col("_v"), cuts))
+        .withColumn("_s", place)
     )
     per_slice = counts.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"))
     by_key = Window.partitionBy(*keys)

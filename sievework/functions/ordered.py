@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.order_stats import sketch_cuts, slice_of
+from sievework.functions.order_stats import value_slices
 from sievework.session import parallelism
 
 
@@ -33,13 +33,13 @@ def with_slices(df: DataFrame, order: str, tie: str) -> DataFrame:
     """
     n = parallelism(df)
     o, t = as_number(df, order), as_number(df, tie)
-    cuts, hot = sketch_cuts(df, o, n)
-    first = slice_of(o, cuts).cast("long") if cuts else F.lit(0).cast("long")
+    first, hot = value_slices(df, o, n)
     if not hot:
         return df.withColumn("_slice", first)
-    sub_cuts, _ = sketch_cuts(df.where(o.isin(hot)), t, n)
-    sub = F.when(o.isin(hot), slice_of(t, sub_cuts)).otherwise(0) if sub_cuts else F.lit(0)
-    return df.withColumn("_slice", first * (2 * n + 2) + sub)
+    second, _ = value_slices(df.where(o.isin(hot)), t, n)
+    # More than any number of slices within a hot date, so that the order is kept.
+    room = 4 * n + 1024
+    return df.withColumn("_slice", first * room + F.when(o.isin(hot), second).otherwise(0))
 
 
 def with_known_neighbours(

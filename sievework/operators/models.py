@@ -99,8 +99,9 @@ def preprocessing(df: DataFrame, numeric: Sequence[str], categorical: Sequence[s
 def spread(df: DataFrame, key: str) -> DataFrame:
     """One shuffle by key ahead of an iterative fit, so that every pass uses all cores even if
     the input came in a few large pieces.  A key spreads evenly and repeats exactly on retry;
-    adaptive execution picks the number of partitions."""
-    return df.repartition(F.col(key))
+    adaptive execution picks the number of partitions.  Written once: a lost executor then
+    costs a re-read, and each pass reads the projected rows only."""
+    return cut_lineage(df.repartition(F.col(key)))
 
 
 def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -183,15 +184,12 @@ def train(
         rows = rows.withColumn("label", label)
     else:
         rows = rows.withColumn("label", F.col(target).cast("double"))
-    rows = spread(rows.select(key, *numeric, *categorical, "label"), key).persist()
+    rows = spread(rows.select(key, *numeric, *categorical, "label"), key)
     fit_rows, test_rows = split_rows(rows, key, test_share, seed)
     stages, slots = preprocessing(fit_rows, numeric, categorical)
     fitted = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
     scored = fitted.transform(test_rows).select(key, "label", "prediction")
-    measured = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
-    # One row; read now so that the kept rows can be given back.
-    metrics = df.sparkSession.createDataFrame([measured.first()], measured.schema)
-    rows.unpersist()
+    metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
     return Trained(fitted, problem, slots, labels, metrics, numeric)
 
 

@@ -71,4 +71,4 @@ def union_rows(parts: Iterable[DataFrame]) -> DataFrame:
 def parallelism(df: DataFrame) -> int:
     """Number of slices worth cutting a hot group into on this session."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(8, min(256, n))
+    return max(8, n)

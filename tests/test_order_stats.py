@@ -1,5 +1,3 @@
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,7 +160,26 @@ def test_label_dictionary(spark, monkeypatch, large):
     assert back.where("NOT (w <=> w_decoded)").count() == 0
 
 
-def test_hot_value_gets_its_own_slice(spark):
+@pytest.mark.parametrize("fine", [False, True])
+def test_slices_grow_with_the_value_and_isolate_a_hot_one(spark, monkeypatch, fine):
+    if fine:
+        monkeypatch.setattr(os_, "MAX_CUTS", 8)
     df, _ = numbers(spark)
-    cuts, hot = os_.sketch_cuts(df, "v", 16)
-    assert 7.25 in hot and math.nextafter(7.25, math.inf) in cuts
+    known = df.where("v IS NOT NULL")
+    place, hot = os_.value_slices(known, F.col("v"), 32)
+    assert 7.25 in hot
+    got = known.select("v", place.alias("s")).orderBy("v").collect()
+    s = [r["s"] for r in got]
+    assert s == sorted(s) and len(set(s)) > 16
+    alone = {r["s"] for r in got if r["v"] == 7.25}
+    assert len(alone) == 1 and all(r["v"] == 7.25 for r in got if r["s"] in alone)
+
+
+@pytest.mark.parametrize("slices", [8, 40])
+def test_fill_with_divided_slices(spark, monkeypatch, slices):
+    monkeypatch.setattr(os_, "MAX_CUTS", 8)
+    monkeypatch.setattr("sievework.functions.ordered.parallelism", lambda df: slices)
+    df, data = gappy(spark)
+    got = missing.fill_forward_backward(df, ["k"], "t", "id", "v").collect()
+    mine = [r["v"] for r in sorted((r for r in got if r["k"] == "a"), key=lambda r: r["id"])]
+    assert mine == brute_fill([v for k, _, _, v in data if k == "a"])
