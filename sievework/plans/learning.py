@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from sievework.operators import clustering, models, neighbors, selection
@@ -97,15 +99,17 @@ def _trained(spark, sf_dir, model, target="grade", **params):
     return models.train(_lines(spark, sf_dir), "line", LINE_FEATURES, target, model, **params)
 
 
-@query("m04_preprocess")
+@query(
+    "m04_preprocess",
+    """WITH r AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line, l_quantity AS a, l_linenumber::DOUBLE AS b, (l_linestatus = 'O')::INTEGER::DOUBLE AS c FROM lineitem),
+    s AS (SELECT avg(a) AS ma, stddev_samp(a) AS sa, avg(b) AS mb, stddev_samp(b) AS sb, avg(c) AS mc, stddev_samp(c) AS sc FROM r)
+    SELECT line, round((a - ma) / sa, 6) + 0.0 AS quantity, round((b - mb) / sb, 6) + 0.0 AS line_number, round((c - mc) / sc, 6) + 0.0 AS status_open FROM r, s""",
+)
 def preprocess(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.functions import vector_to_array
-
     rows = _lines(spark, sf_dir).withColumn("l_linenumber", F.col("l_linenumber").cast("double"))
     stages, _ = models.preprocessing(rows, ["l_quantity", "l_linenumber"], ["l_linestatus"])
-    out = Pipeline(stages=stages).fit(rows).transform(rows)
-    return out.select("line", F.transform(vector_to_array("features"), lambda v: F.round(v, 6)).alias("features"))
+    out = Pipeline(stages=stages).fit(rows).transform(rows).withColumn("v", vector_to_array("features"))
+    return rounded(out.select("line", *[F.col("v")[i].alias(n) for i, n in enumerate(("quantity", "line_number", "status_open"))]))
 
 
 def _register_classifier(name: str, model: str, **params):
@@ -234,13 +238,22 @@ def kmeans(spark, sf_dir):
 
 @query("m16_kmeans_embeddings")
 def kmeans_embeddings(spark, sf_dir):
-    from pyspark.ml.functions import array_to_vector
-
     e = _embeddings(spark, sf_dir).withColumn("features", array_to_vector("x"))
     return KMeans(k=10, seed=42, predictionCol="cluster").fit(e).transform(e).select("id", "label", "cluster")
 
 
-@query("m17_density_clusters")
+@query(
+    "m17_density_clusters",
+    f"""WITH RECURSIVE f AS (SELECT c_custkey AS id, coalesce(balance, avg(balance) OVER ()) AS a, n_orders AS b FROM {CUSTOMERS}),
+    c AS (SELECT id, (a - avg(a) OVER ()) / stddev_pop(a) OVER () AS a, (b - avg(b) OVER ()) / stddev_pop(b) OVER () AS b FROM f),
+    near AS (SELECT p.id AS p, q.id AS q FROM c p JOIN c q ON (p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) <= 0.15 * 0.15),
+    core AS (SELECT p AS id FROM near GROUP BY 1 HAVING count(*) >= 5),
+    links AS (SELECT p, q FROM near WHERE p IN (SELECT id FROM core) AND q IN (SELECT id FROM core)),
+    reach AS (SELECT id, id AS root FROM core UNION SELECT l.q, r.root FROM reach r JOIN links l ON l.p = r.id),
+    comp AS (SELECT id, min(root) AS comp FROM reach GROUP BY 1),
+    named AS (SELECT id, comp FROM comp UNION ALL SELECT n.p, min(comp) FROM near n JOIN comp ON comp.id = n.q WHERE n.p NOT IN (SELECT id FROM core) GROUP BY 1)
+    SELECT c.id AS c_custkey, coalesce(k.cluster, -1) AS cluster FROM c LEFT JOIN named USING (id) LEFT JOIN (SELECT comp, (dense_rank() OVER (ORDER BY comp) - 1)::INTEGER AS cluster FROM comp GROUP BY 1) k ON k.comp = named.comp""",
+)
 def density(spark, sf_dir):
     return clustering.cluster(_customers(spark, sf_dir), "c_custkey", CLUSTER_FEATURES[:2], "dbscan", eps=0.15, min_points=5)
 
@@ -353,9 +366,10 @@ def scores_to_rows(spark, sf_dir):
 
 @query(
     "j03_cluster_labels",
-    "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE (c_custkey % 4)::INTEGER END AS cluster FROM customer",
+    """SELECT c_custkey, coalesce(cluster, -1) AS cluster FROM customer LEFT JOIN (SELECT o_custkey, least(count(*) // 5, 3)::INTEGER AS cluster FROM orders WHERE o_orderstatus = 'P' GROUP BY 1 HAVING count(*) > 2) ON o_custkey = c_custkey""",
 )
 def cluster_labels(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey")
-    labels = c.where("c_custkey % 4 <> 0").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("cluster"))
-    return clustering.attach_clusters(c, labels, "c_custkey")
+    """Customers with more than two pending orders are grouped by their number; the rest have no label."""
+    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    labels = pending.where("n > 2").select("c_custkey", F.least(F.floor(F.col("n") / 5), F.lit(3)).cast("int").alias("cluster"))
+    return clustering.attach_clusters(table(spark, sf_dir, "customer").select("c_custkey"), labels, "c_custkey")
