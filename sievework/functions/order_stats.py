@@ -100,31 +100,51 @@ def _column_sizes(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[int, in
     return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(cols)}
 
 
+def _inside(col: str, low: float | None, high: float | None) -> Column:
+    """Non-null values strictly between two known values."""
+    v = F.col(col).cast("double")
+    cond = v.isNotNull()
+    if low is not None:
+        cond = cond & (v > F.lit(low))
+    if high is not None:
+        cond = cond & (v < F.lit(high))
+    return cond
+
+
 def _narrow(df: DataFrame, targets: Sequence[tuple[str, int, int]]) -> dict[tuple[str, int], float]:
     """Values at 0-based ranks, for ``(column, rank, non-null count)`` targets.
 
     Each round is two scans for all targets together: bounded sketches propose a bracket
-    around every rank, exact counts say on which side of it the rank lies.  A bracket with
-    few distinct values left is counted out.
+    around every rank, exact counts say on which side of it the rank lies.  Ranks in the same
+    open interval share one sketch.  An interval with few distinct values is counted out.
     """
     step = 2.0 / SKETCH_ACCURACY
     found: dict[tuple[str, int], float] = {}
-    state = {(c, r): (F.col(c).cast("double").isNotNull(), 0, n) for c, r, n in targets}
-    ready: dict[tuple[str, int], tuple[Column, int]] = {}
-    while state:
-        goals = list(state)
-        sketches = []
-        for i, (c, r) in enumerate(goals):
-            inside, below, size = state[c, r]
-            p = (r - below) / max(size - 1, 1)
-            v = F.when(inside, F.col(c).cast("double"))
-            sketches.append(
-                F.percentile_approx(v, [max(0.0, p - step), min(1.0, p + step)], SKETCH_ACCURACY).alias(f"q{i}")
-            )
-        brackets = df.agg(*sketches).first()
+    # (column, low, high) -> (rows up to low, rows inside, ranks looked for)
+    open_: dict[tuple, tuple[int, int, list[int]]] = {}
+    for c, r, n in targets:
+        open_.setdefault((c, None, None), (0, n, []))[2].append(r)
+    ready: dict[tuple, tuple[int, list[int]]] = {}
+    while open_:
+        groups = list(open_.items())
+        sketches, asked = [], []
+        for i, ((c, low, high), (below, size, ranks)) in enumerate(groups):
+            at = {r: (r - below) / max(size - 1, 1) for r in ranks}
+            probs = sorted({q for p in at.values() for q in (max(0.0, p - step), min(1.0, p + step))})
+            v = F.when(_inside(c, low, high), F.col(c).cast("double"))
+            sketches.append(F.percentile_approx(v, probs, SKETCH_ACCURACY).alias(f"q{i}"))
+            asked.append((at, probs))
+        got = df.agg(*sketches).first()
+        brackets: dict[tuple, list[int]] = {}
+        for i, ((c, low, high), (below, size, ranks)) in enumerate(groups):
+            at, probs = asked[i]
+            value = dict(zip(probs, got[f"q{i}"]))
+            for r in ranks:
+                lo, hi = value[max(0.0, at[r] - step)], value[min(1.0, at[r] + step)]
+                brackets.setdefault((c, low, high, below, size, lo, hi), []).append(r)
         counts = []
-        for i, (c, r) in enumerate(goals):
-            inside, v, (lo, hi) = state[c, r][0], F.col(c).cast("double"), brackets[f"q{i}"]
+        for i, (c, low, high, _, _, lo, hi) in enumerate(brackets):
+            inside, v = _inside(c, low, high), F.col(c).cast("double")
             counts += [
                 F.count_if(inside & (v < lo)).alias(f"lt_lo{i}"),
                 F.count_if(inside & (v <= lo)).alias(f"le_lo{i}"),
@@ -133,30 +153,33 @@ def _narrow(df: DataFrame, targets: Sequence[tuple[str, int, int]]) -> dict[tupl
                 F.approx_count_distinct(F.when(inside & (v > lo) & (v < hi), v)).alias(f"d{i}"),
             ]
         row = df.agg(*counts).first()
-        for i, (c, r) in enumerate(goals):
-            inside, below, size = state.pop((c, r))
-            v, (lo, hi), k = F.col(c).cast("double"), brackets[f"q{i}"], r - below
-            if row[f"lt_lo{i}"] <= k < row[f"le_lo{i}"]:
-                found[c, r] = lo
-            elif row[f"lt_hi{i}"] <= k < row[f"le_hi{i}"]:
-                found[c, r] = hi
-            elif k < row[f"lt_lo{i}"]:
-                state[c, r] = (inside & (v < lo), below, row[f"lt_lo{i}"])
-            elif k >= row[f"le_hi{i}"]:
-                state[c, r] = (inside & (v > hi), below + row[f"le_hi{i}"], size - row[f"le_hi{i}"])
-            else:
-                inside, below = inside & (v > lo) & (v < hi), below + row[f"le_lo{i}"]
-                if row[f"d{i}"] <= BRACKET_LIMIT:
-                    ready[c, r] = (inside, below)
+        open_ = {}
+        for i, ((c, low, high, below, size, lo, hi), ranks) in enumerate(brackets.items()):
+            lt_lo, le_lo, lt_hi, le_hi = (row[f"{k}{i}"] for k in ("lt_lo", "le_lo", "lt_hi", "le_hi"))
+            for r in ranks:
+                k = r - below
+                if lt_lo <= k < le_lo:
+                    found[c, r] = lo
+                elif lt_hi <= k < le_hi:
+                    found[c, r] = hi
+                elif k < lt_lo:
+                    open_.setdefault((c, low, lo), (below, lt_lo, []))[2].append(r)
+                elif k >= le_hi:
+                    open_.setdefault((c, hi, high), (below + le_hi, size - le_hi, []))[2].append(r)
+                elif row[f"d{i}"] <= BRACKET_LIMIT:
+                    ready.setdefault((c, lo, hi), (below + le_lo, []))[1].append(r)
                 else:
-                    state[c, r] = (inside, below, row[f"lt_hi{i}"] - row[f"le_lo{i}"])
-    for (c, r), (inside, below) in ready.items():
-        left = r - below
-        for got in df.where(inside).groupBy(F.col(c).cast("double").alias("v")).count().orderBy("v").collect():
-            if left < got["count"]:
-                found[c, r] = got["v"]
-                break
-            left -= got["count"]
+                    open_.setdefault((c, lo, hi), (below + le_lo, lt_hi - le_lo, []))[2].append(r)
+    for (c, lo, hi), (below, ranks) in ready.items():
+        v = F.col(c).cast("double").alias("v")
+        cells = df.where(_inside(c, lo, hi)).groupBy(v).count().orderBy("v").collect()
+        for r in ranks:
+            left = r - below
+            for cell in cells:
+                if left < cell["count"]:
+                    found[c, r] = cell["v"]
+                    break
+                left -= cell["count"]
     return found
 
 
