@@ -19,8 +19,13 @@ from sievework.session import parallelism
 def as_number(df: DataFrame, col: str) -> Column:
     """An order-preserving double for a number, date or timestamp column."""
     kind = dict(df.dtypes)[col]
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    c = F.col(col)
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "timestamp_ntz":
+        # From the calendar fields: no time zone, so no hour that is skipped or repeated.
+        seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c).cast("double")
+        return F.unix_date(F.to_date(c)) * 86400.0 + seconds
     if kind == "date":
         return F.unix_date(F.col(col)).cast("double")
     return F.col(col).cast("double")

@@ -97,9 +97,8 @@ def datetime_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Complete days between two timestamps, as a timedelta counts them (floor)."""
-    micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000)).cast("bigint")
+    """Complete days from ``start`` to a later ``end``, whatever the session's time zone."""
+    return F.extract(F.lit("DAY"), end - start).cast("bigint")
 
 
 def column_stats(df: DataFrame, col: str) -> DataFrame:

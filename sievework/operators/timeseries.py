@@ -24,7 +24,7 @@ def bucket_start(ts: str | Column, freq: str) -> Column:
     d = F.to_date(F.col(ts) if isinstance(ts, str) else ts)
     return {
         "D": d,
-        "W": F.to_date(F.date_trunc("week", d)),
+        "W": F.date_sub(d, F.weekday(d)),
         "M": F.trunc(d, "month"),
         "Q": F.trunc(d, "quarter"),
         "Y": F.trunc(d, "year"),
