@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import fingerprints, linededup, mixing
+from sievework.llm import fingerprints, langid, linededup, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_weighted_fingerprints")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def id_remainder(n: int):
+    """crc32 of the id as text, modulo n; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, where=id_remainder(5) != 0)
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
