@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import fingerprints, langid, linededup, mixing, neardup, packing
+from sievework.llm import fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,34 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: The rules of the contract, (verdict, host/path).
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+@query("op2_url_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last number of a page's path is the id of its document; a bad label is toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    path = urltree.host_and_path(F.col("url"))[1]
+    number = F.try_to_number(F.regexp_extract(path, r"([0-9]{1,18})[^0-9]*$", 1), F.lit("9" * 18)).cast("long")
+    bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    labelled = pages.select("page_id", number.alias("doc_id")).join(labels, "doc_id").select("page_id", "bad")
+    found = urltree.filter_urls(pages, labelled, URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op4_hamming_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op5_near_duplicates")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"))
