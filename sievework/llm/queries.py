@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree
+from sievework.llm import fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree, warc
+from sievework.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -146,3 +147,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, where=id_remainder(5) != 0)
     found = langid.predict(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_warc_round_trip")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), folder)
+    back = warc.read_archive(spark, folder)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
