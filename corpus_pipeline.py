@@ -1,7 +1,9 @@
-"""The training-data pipeline over ``documents``: each stage writes what it kept for the next one.
+"""The training-data pipeline over ``documents``: each stage works on all that the one before kept.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of ``documents``.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the
+next one's docs; all but the last return the columns of ``documents``. Nothing is said in SQL: the
+language model, the links on full word sets and the packing are not SQL. The tests compare every
+stage with a plain version on a fixture.
 """
 
 from __future__ import annotations
@@ -9,28 +11,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import linededup, mixing
+from sievework.llm import langid, linededup, mixing, neardup, packing
 from sievework.llm.common import written
 
 
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, and all for which nothing could be learned, go."""
+    model = langid.train(docs.select("doc_id", "text", "lang"))
+    found = langid.predict(docs, model, lang="__lang", score="__score")
+    return found.filter(F.col("__lang") != "und").select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in a document of a smaller id go; n_chars follows the text."""
     return linededup.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per time that the mix takes a document."""
     return mixing.mix(docs)
 
 
-STAGES = [("line dedup", drop_repeated_lines), ("mixing", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their sequence and place."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", keep_known_languages),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        if number < len(STAGES) - 1:
             docs = written(docs, "stage")
     return docs

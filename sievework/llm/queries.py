@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree, warc
+from sievework.llm import contexttree, fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree, warc
 from sievework.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,6 +149,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+@query("op9_context_tree_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = contexttree.score_texts(docs, id_remainder(7) != 2)
+    return scores.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query("op10_warc_round_trip")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")

@@ -7,7 +7,6 @@ so memory does not depend on the Arrow batch size; a single longer text is a sli
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,9 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=2)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.full(n, _BASE, dtype=np.uint64)
     down = np.full(n, pow(_BASE, -1, 2**64), dtype=np.uint64)
@@ -43,7 +44,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = SLICE_BYTES
     while size < n:
         size *= 2
-    return _powers(size)
+    if size not in _POWERS:
+        _POWERS.clear()
+        _POWERS[size] = _powers(size)
+    return _POWERS[size]
 
 
 def buffer(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
