@@ -295,7 +295,8 @@ def node_components(docs: DataFrame, nodes: DataFrame, spec: NearSpec) -> DataFr
     involved = shared.select("node").distinct()
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("node"), "text")
     texts = written(ids.join(involved, "node", "left_semi"), "texts")
-    links, tested, comps, members = None, None, None, shared
+    links, tested, comps = None, None, None
+    members = shared.withColumn("comp", F.col("node"))
     for step in range(spec.star_rounds + 1):
         if comps is not None:
             marked = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
