@@ -68,15 +68,38 @@ def parse_datetime(c: str | Column, pattern: str | None = None) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     if pattern is None:
-        shaped, ts = c.cast("string").rlike(r"^\d{4}(-\d{1,2}(-\d{1,2}.*)?)?$"), F.try_to_timestamp(c)
+        shaped, ts = c.cast("string").rlike(_ISO), F.try_to_timestamp(c)
     else:
         shaped, ts = c.rlike(date_shape(pattern)), F.try_to_timestamp(c, F.lit(_lenient(pattern)))
+        if "yyyy" not in pattern and "yy" in pattern:
+            # Two digits mean 1969 to 2068.
+            ts = F.when(F.year(ts) > 2068, ts - F.make_ym_interval(F.lit(100))).otherwise(ts)
     return F.when(shaped, ts).cast("timestamp_ntz")
 
 
+_ISO = r"^\d{4}-\d{1,2}(-\d{1,2}.*)?$"
+
+# Date forms of common texts, each also with hours and minutes or with seconds.
+COMMON_FORMS = (
+    "MM/dd/yyyy", "yyyy/MM/dd", "MM/dd/yy",
+    "dd-MMM-yyyy", "dd-MMMM-yyyy", "dd-MMM-yy", "dd-MMMM-yy",
+    "dd MMM yyyy", "dd MMMM yyyy",
+    "MMM dd, yyyy", "MMMM dd, yyyy", "MMM dd yyyy", "MMMM dd yyyy",
+)
+
+
 def parse_datetime_any(c: str | Column) -> Column:
-    """ISO text first, then month/day/year, year/month/day and two-digit-year forms."""
-    return F.coalesce(parse_datetime(c), *[parse_datetime(c, p) for p in ("MM/dd/yyyy", "yyyy/MM/dd", "MM/dd/yy")])
+    """ISO text, then the first of the common forms whose shape fits; any date column as it is.
+
+    The branch is chosen by shape alone, so a text is parsed once.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    text = c.cast("string")
+    out = F.when(text.rlike(_ISO), parse_datetime(c))
+    for form in COMMON_FORMS:
+        for time in ("", " HH:mm", " HH:mm:ss"):
+            out = out.when(text.rlike(date_shape(form + time)), parse_datetime(text, form + time))
+    return out
 
 
 # Coefficients of Acklam's published rational approximation of the inverse

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.order_stats import value_slices
+from sievework.functions.order_stats import sampled_cuts, slice_of, value_slices
 from sievework.session import parallelism
 
 
@@ -37,11 +37,16 @@ def with_slices(df: DataFrame, order: str, tie: str) -> DataFrame:
     A date that fills whole slices by itself is cut further along the tie-breaking key.
     """
     n = parallelism(df)
-    o, t = as_number(df, order), as_number(df, tie)
+    o = as_number(df, order)
     first, hot = value_slices(df, o, n)
     if not hot:
         return df.withColumn("_slice", first)
-    second, _ = value_slices(df.where(o.isin(hot)), t, n)
+    crowd = df.where(o.isin(hot))
+    if dict(df.dtypes)[tie] == "string":
+        keys = crowd.select(tie).where(F.col(tie).isNotNull()).distinct()
+        second = F.coalesce(slice_of(F.col(tie), sampled_cuts(keys, tie, keys.count(), n)), F.lit(0))
+    else:
+        second, _ = value_slices(crowd, as_number(df, tie), n)
     # More than any number of slices within a hot date, so that the order is kept.
     room = 4 * n + 1024
     return df.withColumn("_slice", first * room + F.when(o.isin(hot), second).otherwise(0))
@@ -53,9 +58,10 @@ def with_known_neighbours(
     """Add position, and value and position of the nearest known value at or before / after.
 
     Columns added: ``_pos, _prev, _prev_pos, _next, _next_pos`` (positions are 0-based inside
-    the series; NULL where no such value exists).
+    the series; NULL where no such value exists).  Rows without a date are in no order: they go.
     """
     keys = list(keys)
+    df = df.where(F.col(order).isNotNull())
     sliced = with_slices(df, order, tie)
     known = F.col(value).isNotNull()
     at = F.struct(F.col(order), F.col(tie))

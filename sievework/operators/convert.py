@@ -33,10 +33,18 @@ DATE_PATTERNS = (
 NUMERIC_NAMES = ("quantity", "price", "customer id", "invoice", "stockcode", "stock code")
 
 
+_DIGITS = r"^\s*[+-]?[0-9]+\s*$"
+
+
 def to_integer(c: str):
-    """Whole numbers only: 2.5 has no integer form and becomes NULL."""
+    """Whole numbers only: 2.5 has no integer form and becomes NULL.
+
+    Digits are read as they are; other forms (2.0, 1e3) go through a double.
+    """
+    c = F.col(c) if isinstance(c, str) else c
     x = to_double(c)
-    return F.when(x == F.floor(x), x.try_cast("bigint"))
+    digits = c.cast("string").rlike(_DIGITS)
+    return F.when(digits, c.cast("string").try_cast("bigint")).when(x == F.floor(x), x.try_cast("bigint"))
 
 
 def convert_columns(df: DataFrame, conversions: Mapping[str, str]) -> DataFrame:
@@ -92,43 +100,72 @@ def auto_datetime(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.withColumns({c: parse_datetime_any(c) for c in chosen}), chosen
 
 
-def pattern_matches(df: DataFrame, col: str) -> DataFrame:
-    """Whether every non-null value parses, per date pattern, in the order of preference.
+def date_pattern_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """column, position, pattern, n_known, n_matches: how many values each pattern parses.
 
-    A first scan keeps the patterns whose shape fits every value; only those are parsed.
+    A first scan of all columns finds the patterns whose shape fits any value; a second one
+    parses with those only.
     """
-    known = F.col(col).isNotNull()
+    def named(i: int, j: int) -> str:
+        return f"c{i}_{j}"
+
     shapes = df.agg(
-        *[F.bool_and(F.when(known, F.col(col).rlike(date_shape(p)))).alias(f"p{i}") for i, p in enumerate(DATE_PATTERNS)]
+        F.count(F.lit(1)),
+        *[F.max(F.col(c).rlike(date_shape(p))).alias(named(i, j)) for i, c in enumerate(cols) for j, p in enumerate(DATE_PATTERNS)],
     ).first()
-    checks = [
-        (F.coalesce(F.bool_and(F.when(known, parse_datetime(col, p).isNotNull())), F.lit(False)) if shapes[f"p{i}"] else F.bool_or(F.lit(False))).alias(f"p{i}")
-        for i, p in enumerate(DATE_PATTERNS)
-    ]
+    seen = [(i, j) for i in range(len(cols)) for j in range(len(DATE_PATTERNS)) if shapes[named(i, j)]]
+    counts = [F.count(parse_datetime(cols[i], DATE_PATTERNS[j])).alias(named(i, j)) for i, j in seen]
     rows = [
-        F.struct(F.lit(i).alias("position"), F.lit(p).alias("pattern"), F.coalesce(F.col(f"p{i}"), F.lit(False)).alias("matches"))
-        for i, p in enumerate(DATE_PATTERNS)
+        F.struct(
+            F.lit(c).alias("column"),
+            F.lit(j).alias("position"),
+            F.lit(p).alias("pattern"),
+            F.col(f"known{i}").alias("n_known"),
+            (F.col(named(i, j)) if (i, j) in set(seen) else F.lit(0).cast("bigint")).alias("n_matches"),
+        )
+        for i, c in enumerate(cols)
+        for j, p in enumerate(DATE_PATTERNS)
     ]
-    return df.agg(*checks).select(F.inline(F.array(*rows)))
+    wide = df.agg(*[F.count(c).alias(f"known{i}") for i, c in enumerate(cols)], *counts)
+    return wide.select(F.inline(F.array(*rows)))
+
+
+def pattern_matches(df: DataFrame, col: str) -> DataFrame:
+    """Whether every known value parses, per date pattern, in the order of preference."""
+    whole = (F.col("n_known") > 0) & (F.col("n_matches") == F.col("n_known"))
+    return date_pattern_counts(df, [col]).select("position", "pattern", whole.alias("matches"))
+
+
+def detect_date_patterns(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
+    """Per column the pattern that parses most values, the first of equals (all rows are read)."""
+    best: dict[str, tuple[int, str]] = {}
+    for r in date_pattern_counts(df, cols).orderBy("column", "position").collect():  # 22 rows a column
+        if r["n_matches"] > best.get(r["column"], (0, ""))[0]:
+            best[r["column"]] = (r["n_matches"], r["pattern"])
+    return {c: best[c][1] if c in best else None for c in cols}
 
 
 def detect_date_pattern(df: DataFrame, col: str) -> str | None:
-    """First pattern that fits every value (all rows are read, not a sample)."""
-    hit = pattern_matches(df, col).where("matches").orderBy("position").first()
-    return hit["pattern"] if hit else None
+    return detect_date_patterns(df, [col])[col]
 
 
 def convert_datetime_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    found = {c: detect_date_pattern(df, c) for c in cols}
+    """By the pattern that parses most values; values that do not fit it become NULL."""
+    found = detect_date_patterns(df, cols)
     return df.withColumns(
         {c: parse_datetime(c, p) if p else parse_datetime_any(c) for c, p in found.items()}
     )
 
 
 def coerce_by_name(df: DataFrame) -> DataFrame:
-    named = [c for c in df.columns if c.strip().lower().replace("_", " ") in NUMERIC_NAMES]
+    """Columns of number-like names become bigint if all their numbers are whole digits, else double."""
     already = set(numeric_columns(df))
-    return df.withColumns({c: to_double(c) for c in named if c not in already})
+    named = [c for c in df.columns if c.strip().lower().replace("_", " ") in NUMERIC_NAMES and c not in already]
+    if not named:
+        return df
+    lost = [F.count_if(to_double(c).isNotNull() & (~F.col(c).cast("string").rlike(_DIGITS) | to_integer(c).isNull())) for c in named]
+    checks = df.agg(*[(n == 0).alias(f"w{i}") for i, n in enumerate(lost)]).first()
+    return df.withColumns({c: to_integer(c) if checks[f"w{i}"] else to_double(c) for i, c in enumerate(named)})
 
 
 def strip_to_number(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from sievework.operators.encode import one_hot, quantile_bins_many
 from sievework.operators.missing import fill_mean
 from sievework.operators.profile import describe, whole_days
 from sievework.operators.schema import valid_transactions
+from sievework.session import cut_lineage
 
 # Lowest score of each segment.
 SEGMENTS = ((13, "Champions"), (10, "Loyal Customers"), (7, "Potential Loyalists"), (4, "At Risk"))
@@ -55,13 +56,16 @@ def customer_table(
     when = parse_datetime_any(date) if date in text else F.col(date)
     rows = df.select(*keys, when.alias("_d"), (number[quantity] * number[price]).alias("_amount"))
     rows = valid_transactions(rows, customer, "_amount")
-    latest = rows.agg(F.max("_d")).scalar()
-    per = rows.groupBy(*keys).agg(
-        F.sum("_amount").alias("total_revenue"),
-        F.count("_d").alias("frequency"),
-        F.min("_d").alias("first_purchase"),
-        F.max("_d").alias("last_purchase"),
+    # Written once: the last date of all is read from the reduced table, not from the rows again.
+    per = cut_lineage(
+        rows.groupBy(*keys).agg(
+            F.sum("_amount").alias("total_revenue"),
+            F.count("_d").alias("frequency"),
+            F.min("_d").alias("first_purchase"),
+            F.max("_d").alias("last_purchase"),
+        )
     )
+    latest = per.agg(F.max("last_purchase")).scalar()
     return per.withColumns(
         {
             "average_order_value": F.try_divide("total_revenue", "frequency"),
@@ -128,8 +132,8 @@ def regression_features(table: DataFrame, as_of: str, country: str | None = None
     keep = [c for c in table.columns if c not in ("total_revenue", "first_purchase", "last_purchase", *numbers)]
     out = out.select(*keep, *[F.col(c).cast("double").alias(c) for c in numbers])
     if country:
-        # Fold over the levels the table really has; refused beyond 300 countries.
-        out = one_hot(out.withColumnRenamed(country, "country"), "country", drop_first=False, limit=300)
+        # Fold over the levels the table really has.
+        out = one_hot(out.withColumnRenamed(country, "country"), "country", drop_first=False, limit=None)
     return fill_mean(out, numbers)
 
 

@@ -59,15 +59,19 @@ def label_decode(df: DataFrame, dictionary: DataFrame, value: str, code: str) ->
     return _lookup_join(df, back, code, dictionary.count())
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 50) -> list:
-    """Sorted distinct non-null values, refused beyond ``limit``; at most limit + 1 are read."""
-    got = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()]
-    if len(got) > limit:
+def levels_of(df: DataFrame, col: str, limit: int | None = 50) -> list:
+    """Sorted distinct non-null values, refused beyond ``limit``; at most limit + 1 are read.
+
+    None lifts the limit: the caller wants a column per value.
+    """
+    levels = df.where(F.col(col).isNotNull()).select(col).distinct()
+    got = [r[0] for r in (levels if limit is None else levels.limit(limit + 1)).collect()]
+    if limit is not None and len(got) > limit:
         raise ValueError(f"{col} has more than {limit} distinct values")
     return sorted(got)
 
 
-def one_hot(df: DataFrame, col: str, drop_first: bool = True, limit: int = 50) -> DataFrame:
+def one_hot(df: DataFrame, col: str, drop_first: bool = True, limit: int | None = 50) -> DataFrame:
     """0/1 columns ``{col}_{value}`` in place of the column."""
     levels = levels_of(df, col, limit)
     made = [

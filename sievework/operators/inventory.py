@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.exprs import normal_quantile
+from sievework.functions.order_stats import value_slices
+from sievework.session import parallelism
 
 Value = str | float | int | Column
 
@@ -239,14 +241,17 @@ def price_grid(df: DataFrame, keys: Sequence[str], base_demand: Value, base_pric
     )
 
 
-def price_optimum(df: DataFrame, keys: Sequence[str], base_demand: Value, base_price: Value, unit_cost: Value, a: float = -2.0, b: float = 0.5) -> DataFrame:
-    """Price of highest profit, the lowest such price on ties.
+def price_optimum(df: DataFrame, keys: Sequence[str], base_demand: Value, base_price: Value, unit_cost: Value, a: float = -2.0, b: float = 0.5, points: int = 200) -> DataFrame:
+    """Price of highest profit, the lowest such price on ties: one row per row, without a shuffle."""
+    p0, low = _c(base_price), F.greatest(F.lit(0.01), _c(base_price) * 0.1)
 
-    The 200 grid rows of an item stay in its task: the map-side combine leaves one per item.
-    """
-    grid = price_grid(df, keys, base_demand, base_price, unit_cost, a, b)
-    best = F.max(F.struct("profit", (-F.col("step")).alias("s"), "price", "demand"))
-    return grid.groupBy(*keys).agg(best.alias("_b")).select(
+    def point(step: Column) -> Column:
+        price = low + step * ((p0 * 2 - low) / (points - 1))
+        demand = _c(base_demand) * F.exp(F.lit(float(a)) + F.lit(float(b)) * F.ln(F.try_divide(price, p0)))
+        return F.struct(((price - _c(unit_cost)) * demand).alias("profit"), (-step).alias("s"), price.alias("price"), demand.alias("demand"))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), point))
+    return df.select(*keys, best.alias("_b")).select(
         *keys, F.col("_b.price").alias("price"), F.col("_b.demand").alias("quantity"), F.col("_b.profit").alias("profit"), F.lit(float(b)).alias("elasticity")
     )
 
@@ -345,5 +350,16 @@ def cross_effects(df: DataFrame, source: str, target: str, effect: str, keys: Se
     """Effects between different products ranked by strength, positive and negative apart."""
     kind = F.when(F.col(effect) > 0, "positive").otherwise("negative")
     pairs = df.where(F.col(source) != F.col(target)).withColumn("kind", kind)
+    # Two kinds only: ranked inside slices of the strength, then moved by the size of those before.
+    pairs = pairs.withColumn("_slice", value_slices(pairs, -F.abs(F.col(effect).cast("double")), parallelism(df))[0])
+    groups = [*keys, "kind", "_slice"]
+    before = Window.partitionBy(*keys, "kind").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pairs.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).select(
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(groups)], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off")
+    )
     order = [F.desc(F.abs(F.col(effect))), F.col(source), F.col(target)]
-    return pairs.withColumn("strength_rank", F.row_number().over(Window.partitionBy(*keys, "kind").orderBy(*order)))
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    same = F.lit(True)
+    for i, c in enumerate(groups):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+    return ranked.join(offsets, same).select(*df.columns, "kind", (F.col("_r") + F.col("_off")).cast("int").alias("strength_rank"))

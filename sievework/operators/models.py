@@ -108,7 +108,20 @@ def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
+#: What the models do if the caller says nothing: as many steps as it takes, grown-out trees.
+DEFAULTS = {
+    "logistic_regression": {"maxIter": 1000},
+    "svm_classifier": {"maxIter": 1000},
+    "decision_tree_classifier": {"maxDepth": 30},
+    "decision_tree_regressor": {"maxDepth": 30},
+    "random_forest_classifier": {"numTrees": 100},
+    "random_forest_regressor": {"numTrees": 100},
+}
+
+
 def estimator(name: str, **params):
+    """Depth of forests stays a parameter (5 if not given): full depth takes a pass per level."""
+    params = DEFAULTS.get(name, {}) | params
     made = {
         "logistic_regression": LogisticRegression,
         "decision_tree_classifier": DecisionTreeClassifier,

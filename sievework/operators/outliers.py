@@ -60,6 +60,9 @@ def iqr_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                 F.col(f"hi{i}").alias("max_outlier"),
             )
         )
+    if not rows:  # no column holds a value
+        kind = "column string, n_outliers bigint, pct_outliers double, min_outlier double, max_outlier double"
+        return df.sparkSession.createDataFrame([], kind)
     return df.agg(*aggs).select(F.inline(F.array(*rows))).where("n_outliers > 0")
 
 
@@ -124,8 +127,8 @@ class IsolationForest:
         n = df.count()
         size = min(self.sample_size, n)
         # Sampling operator: about 1.5 samples' worth of rows, each given to one tree.
-        fraction = min(1.0, 1.5 * self.n_trees * size / n)
-        copies = 1 if fraction < 1.0 else math.ceil(1.5 * self.n_trees * size / n)
+        fraction = min(1.0, 1.5 * self.n_trees * size / max(1, n))
+        copies = 1 if fraction < 1.0 else math.ceil(1.5 * self.n_trees * size / max(1, n))
         x = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols])
         picked = x.sample(fraction=fraction, seed=self.seed) if fraction < 1.0 else x
         if copies > 1:

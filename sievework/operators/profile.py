@@ -381,12 +381,22 @@ def trend_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFram
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Counts of every combination of levels, zero cells included."""
+    """Counts of the combinations that occur with the totals of both levels, any number of levels.
+
+    Combinations that are not listed are zero.  A hot level is one row per combination here.
+    """
     seen = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     cells = seen.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    # Levels of a contingency table are few: refused beyond 1000 per side before the grid is made.
-    la, lb = levels_of(df, a, 1000), levels_of(df, b, 1000)
-    grid = df.sparkSession.createDataFrame([(v,) for v in la], seen.select(a).schema).withColumn(
+    rows = seen.groupBy(a).agg(F.count(F.lit(1)).alias("n_row"))
+    cols = seen.groupBy(b).agg(F.count(F.lit(1)).alias("n_col"))
+    return cells.join(rows, a).join(cols, b).select(a, b, "n", "n_row", "n_col")
+
+
+def contingency_grid(df: DataFrame, a: str, b: str, limit: int = 1000) -> DataFrame:
+    """Counts of every combination of levels, zero cells included; ``limit`` levels a side at most."""
+    cells = contingency(df, a, b).select(a, b, "n")
+    la, lb = levels_of(df, a, limit), levels_of(df, b, limit)
+    grid = df.sparkSession.createDataFrame([(v,) for v in la], df.select(a).schema).withColumn(
         b, F.explode(F.array(*[F.lit(v) for v in lb]).cast(f"array<{dict(df.dtypes)[b]}>"))
     )
     return grid.join(cells, [a, b], "left").select(a, b, F.coalesce("n", F.lit(0)).alias("n"))

@@ -155,6 +155,8 @@ def suggest_roles(df: DataFrame) -> dict[str, list[str]]:
 def role_table(df: DataFrame) -> DataFrame:
     """(role, column, non-null rows) for the suggested columns."""
     roles = [(r, c) for r, cols in suggest_roles(df).items() for c in cols]
+    if not roles:
+        return df.sparkSession.createDataFrame([], "role string, column string, n_known bigint")
     wide = df.agg(*[F.count(f"`{c}`").alias(f"n{i}") for i, (_, c) in enumerate(roles)])
     rows = [
         F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(f"n{i}").alias("n_known"))
@@ -166,6 +168,7 @@ def role_table(df: DataFrame) -> DataFrame:
 def id_like_columns(df: DataFrame) -> DataFrame:
     """Per column: share of distinct values and whether it looks like an identifier."""
     text = set(text_columns(df))
+    # Texts that look like identifiers.
     mixed = r"[A-Za-z].*[0-9]|[0-9].*[A-Za-z]"
     coded = r"^[A-Za-z\-]+[0-9]+$|^[0-9]+[-_/][0-9A-Za-z]+$"
 

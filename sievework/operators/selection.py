@@ -14,7 +14,7 @@ from sievework.functions.exprs import numeric_columns, text_columns
 from sievework.functions.order_stats import exact_quantiles
 from sievework.operators.encode import label_encode, levels_of
 from sievework.operators.missing import fill_zero
-from sievework.session import union_rows
+from sievework.session import parallelism, union_rows
 
 
 def _features(df: DataFrame, target: str | None, features: Sequence[str] | None) -> list[str]:
@@ -51,8 +51,8 @@ def by_forest(df: DataFrame, target: str, n: int = 5, features: Sequence[str] |
     rows = label_encode(rows, target, "label") if classes else rows.withColumn("label", F.col(target).cast("double"))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.withColumn("label", F.col("label").cast("double")))
     made = RandomForestClassifier if classes else RandomForestRegressor
-    # Tree building makes many passes: spread the rows over all cores once.
-    model = made(numTrees=trees, seed=seed).fit(rows.repartition(*names).select("features", "label"))
+    # Tree building makes many passes: spread the rows evenly over all cores, whatever their values.
+    model = made(numTrees=trees, seed=seed).fit(rows.select("features", "label").repartition(parallelism(df)))
     got = [(c, float(v)) for c, v in zip(names, model.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(got, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(n)
 
@@ -114,10 +114,10 @@ def by_f_test(df: DataFrame, target: str, n: int = 5, features: Sequence[str] |
         aggs = []
         for i in range(len(names)):
             nm = F.col("n") * F.col(f"m{i}")
-            between = F.sum(nm * F.col(f"m{i}")) - F.sum(nm) * F.sum(nm) / F.sum("n")
+            between = F.sum(nm * F.col(f"m{i}")) - F.try_divide(F.sum(nm) * F.sum(nm), F.sum("n"))
             within = F.sum(F.coalesce((F.col("n") - 1) * F.col(f"v{i}"), F.lit(0.0)))
             groups = F.count(F.lit(1))
-            aggs.append(F.try_divide(between / (groups - 1), within / (F.sum("n") - groups)).alias(f"s{i}"))
+            aggs.append(F.try_divide(F.try_divide(between, groups - 1), F.try_divide(within, F.sum("n") - groups)).alias(f"s{i}"))
         wide = k.agg(*aggs)
     else:
         aggs = []

@@ -24,7 +24,7 @@ def _verdict(yes: str, no: str) -> Column:
 
 def one_sample_t(df: DataFrame, col: str, mean: float = 0.0) -> DataFrame:
     s = df.agg(F.count(col).alias("n"), F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))
-    t = (F.col("m") - F.lit(mean)) / (F.col("s") / F.sqrt(F.col("n")))
+    t = F.try_divide(F.col("m") - F.lit(mean), F.try_divide(F.col("s"), F.sqrt(F.col("n"))))
     return (
         s.select(F.lit("One-sample t-test").alias("test_name"), t.alias("statistic"), (F.col("n") - 1).cast("double").alias("dof"))
         .withColumn("p_value", t_pvalue("statistic", "dof"))
@@ -37,12 +37,12 @@ def welch_t(df: DataFrame, a: str, b: str) -> DataFrame:
     s = df.agg(
         *[e for c, t in ((a, "a"), (b, "b")) for e in (F.count(c).alias(f"n{t}"), F.avg(c).alias(f"m{t}"), F.var_samp(c).alias(f"v{t}"))]
     )
-    ea, eb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    dof = F.pow(ea + eb, F.lit(2)) / (ea * ea / (F.col("na") - 1) + eb * eb / (F.col("nb") - 1))
+    ea, eb = F.try_divide(F.col("va"), F.col("na")), F.try_divide(F.col("vb"), F.col("nb"))
+    dof = F.try_divide(F.pow(ea + eb, F.lit(2)), F.try_divide(ea * ea, F.col("na") - 1) + F.try_divide(eb * eb, F.col("nb") - 1))
     return (
         s.select(
             F.lit("Welch t-test").alias("test_name"),
-            ((F.col("ma") - F.col("mb")) / F.sqrt(ea + eb)).alias("statistic"),
+            F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(ea + eb)).alias("statistic"),
             dof.alias("dof"),
         )
         .withColumn("p_value", t_pvalue("statistic", "dof"))
@@ -59,10 +59,10 @@ def _anova(groups: DataFrame) -> DataFrame:
         F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("within"),
     )
-    between = F.col("sq") - F.col("sum") * F.col("sum") / F.col("total")
+    between = F.col("sq") - F.try_divide(F.col("sum") * F.col("sum"), F.col("total"))
     return s.select(
         F.lit("ANOVA").alias("test_name"),
-        F.try_divide(between / (F.col("k") - 1), F.col("within") / (F.col("total") - F.col("k"))).alias("statistic"),
+        F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(F.col("within"), F.col("total") - F.col("k"))).alias("statistic"),
         (F.col("k") - 1).cast("double").alias("dof_between"),
         (F.col("total") - F.col("k")).cast("double").alias("dof_within"),
     )
@@ -99,7 +99,7 @@ def chi2_uniform(df: DataFrame, col: str) -> DataFrame:
     return (
         s.select(
             F.lit("Chi-square goodness of fit").alias("test_name"),
-            (F.col("sq") * F.col("k") / F.col("t") - F.col("t")).alias("statistic"),
+            (F.try_divide(F.col("sq") * F.col("k"), F.col("t")) - F.col("t")).alias("statistic"),
             (F.col("k") - 1).cast("double").alias("dof"),
         )
         .withColumn("p_value", chi2_pvalue("statistic", "dof"))
@@ -108,28 +108,31 @@ def chi2_uniform(df: DataFrame, col: str) -> DataFrame:
 
 
 def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Two categories; with one degree of freedom each deviation is cut by at most .5 (Yates)."""
+    """Two categories of any number of levels; with one degree of freedom each deviation is cut
+    by at most .5 (Yates).
+
+    The statistic is N (sum n^2 / (row * column) - 1) over the cells that occur.  In a 2x2 table all
+    four deviations are equal, so one cell and the totals give the corrected one.  One level on a
+    side: no degree of freedom, statistic and p are NULL.
+    """
     cells = contingency(df, a, b)
-    rows = cells.groupBy(F.col(a).alias("_a")).agg(F.sum("n").alias("nr"))
-    cols = cells.groupBy(F.col(b).alias("_b")).agg(F.sum("n").alias("nc"))
-    total = cells.agg(F.sum("n")).scalar()
-    full = (
-        cells.join(F.broadcast(rows), F.col(a) == F.col("_a"))
-        .join(F.broadcast(cols), F.col(b) == F.col("_b"))
-        .withColumn("e", F.col("nr") * F.col("nc") / total)
-        .withColumn("d", F.abs(F.col("n") - F.col("e")))
-    )
-    s = full.agg(
-        F.count_distinct(a).alias("ka"),
-        F.count_distinct(b).alias("kb"),
-        F.sum(F.col("d") * F.col("d") / F.col("e")).alias("plain"),
-        F.sum(F.pow(F.col("d") - F.least(F.lit(0.5), F.col("d")), F.lit(2)) / F.col("e")).alias("yates"),
+    total = F.sum("n")
+    s = cells.agg(
+        total.alias("t"),
+        F.sum(F.col("n").cast("double") * F.col("n") / F.col("n_row") / F.col("n_col")).alias("q"),
+        F.max(F.struct(F.col("n").cast("double").alias("n"), "n_row", "n_col")).alias("c"),
     )
+    sides = [cells.groupBy(k).agg(F.first(m).alias("m")).agg(F.count(F.lit(1)).alias(f"k{i}"), F.sum(1 / F.col("m")).alias(f"h{i}")) for i, k, m in ((1, a, "n_row"), (2, b, "n_col"))]
+    one = [side.select(F.struct("*")).scalar() for side in sides]
+    s = s.select("*", one[0]["k1"].alias("ka"), one[1]["k2"].alias("kb"), one[0]["h1"].alias("ha"), one[1]["h2"].alias("hb"))
+    d = F.abs(F.col("c.n") - F.col("c.n_row") * F.col("c.n_col") / F.col("t"))
+    cut = d - F.least(F.lit(0.5), d)
+    s = s.select("ka", "kb", (F.col("t") * (F.col("q") - 1)).alias("plain"), (cut * cut * F.col("t") * F.col("ha") * F.col("hb")).alias("yates"))
     dof = ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double")
     return (
         s.select(
             F.lit("Chi-square independence").alias("test_name"),
-            F.when(dof == 1, F.col("yates")).otherwise(F.col("plain")).alias("statistic"),
+            F.when(dof == 1, F.col("yates")).when(dof > 0, F.col("plain")).alias("statistic"),
             dof.alias("dof"),
         )
         .withColumn("p_value", chi2_pvalue("statistic", "dof"))

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievework.functions.order_stats import grouped_quantiles
 from sievework.session import union_rows
@@ -158,16 +156,16 @@ def decompose(
             .otherwise(F.col("trend")),
         )
     additive = model == "additive"
-    loose = F.col("value") - F.col("trend") if additive else F.col("value") / F.col("trend")
+    loose = F.col("value") - F.col("trend") if additive else F.try_divide("value", "trend")
     phase = t.withColumn("_phase", F.col("_i") % period)
     means = phase.groupBy(*keys, "_phase").agg(F.avg(loose).alias("_m"))
     centre = F.avg("_m").over(Window.partitionBy(*keys))
-    means = means.withColumn("seasonal", F.col("_m") - centre if additive else F.col("_m") / centre).drop("_m")
+    means = means.withColumn("seasonal", F.col("_m") - centre if additive else F.try_divide(F.col("_m"), centre)).drop("_m")
     out = _join_back(phase, means, [*keys, "_phase"])
     rest = (
         F.col("value") - F.col("trend") - F.col("seasonal")
         if additive
-        else F.col("value") / F.col("seasonal") / F.col("trend")
+        else F.try_divide(F.try_divide("value", "seasonal"), F.col("trend"))
     )
     return out.select(*keys, "ts", "value", "trend", "seasonal", rest.alias("residual"))
 
@@ -221,15 +219,25 @@ def forecast_ema(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 1
 
 
 def exponential_mean(df: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
-    """Adds ``fitted``: a recursion over the date-ordered, calendar-sized points of a series."""
-    fields = df.select(*keys, "ts", F.col("value").cast("double").alias("value")).schema
+    """Adds ``fitted``: weights (1 - alpha)^age over the known values so far, scaled to sum to one.
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        return pdf.assign(fitted=pdf["value"].astype(float).ewm(alpha=alpha, adjust=True).mean())
-
-    out = T.StructType([*fields.fields, T.StructField("fitted", T.DoubleType())])
-    return df.select(*keys, "ts", F.col("value").cast("double").alias("value")).groupBy(*keys).applyInPandas(smooth, out)
+    A fold over the date-ordered, calendar-sized points of a series; a missing value ages the
+    others and shows their mean.
+    """
+    points = F.array_sort(F.collect_list(F.struct("ts", F.col("value").cast("double").alias("value"))))
+    series = df.groupBy(*keys).agg(points.alias("_p"))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"), F.array().cast("array<double>").alias("fitted"))
+    keep = F.lit(1.0 - alpha)
+
+    def step(s: Column, p: Column) -> Column:
+        total = s["sum"] * keep + F.coalesce(p["value"], F.lit(0.0))
+        weight = s["weight"] * keep + p["value"].isNotNull().cast("double")
+        return F.struct(total.alias("sum"), weight.alias("weight"), F.concat(s["fitted"], F.array(F.try_divide(total, weight))).alias("fitted"))
+
+    fitted = F.aggregate("_p", start, step, lambda s: s["fitted"])
+    return series.select(*keys, F.inline(F.arrays_zip(F.col("_p"), fitted.alias("fitted")))).select(
+        *keys, F.col("_p.ts").alias("ts"), F.col("_p.value").alias("value"), "fitted"
+    )
 
 
 def forecast_linear(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 10) -> DataFrame:

@@ -120,14 +120,14 @@ def _register_classifier(name: str, model: str, **params):
     return run
 
 
-_register_classifier("m05_logistic_regression", "logistic_regression", maxIter=20)
+_register_classifier("m05_logistic_regression", "logistic_regression")
 _register_classifier("m05_decision_tree", "decision_tree_classifier")
-_register_classifier("m05_random_forest", "random_forest_classifier", numTrees=10)
+_register_classifier("m05_random_forest", "random_forest_classifier")
 _register_classifier("m05_naive_bayes", "naive_bayes")
-_register_classifier("m06_linear_svm", "svm_classifier", maxIter=10)
+_register_classifier("m06_linear_svm", "svm_classifier")
 _register_classifier("m10_linear_regressor", "linear_regression", target="points")
 _register_classifier("m10_decision_tree_regressor", "decision_tree_regressor", target="points")
-_register_classifier("m10_random_forest_regressor", "random_forest_regressor", target="points", numTrees=10)
+_register_classifier("m10_random_forest_regressor", "random_forest_regressor", target="points")
 
 
 def _embeddings(spark, sf_dir):
@@ -154,7 +154,7 @@ def nearest_classifier_trained(spark, sf_dir):
 
 @query("m08_boosted_stumps")
 def boosted_stumps(spark, sf_dir):
-    return rounded(models.train_vector_model(_lines(spark, sf_dir), "line", LINE_FEATURES[:4], "grade", "adaboost", rounds=8)[1])
+    return rounded(models.train_vector_model(_lines(spark, sf_dir), "line", LINE_FEATURES[:4], "grade", "adaboost")[1])
 
 
 @query("m09_discriminant")
@@ -211,13 +211,13 @@ def regression_metrics(spark, sf_dir):
 
 @query("m13_feature_importance")
 def importance(spark, sf_dir):
-    return rounded(models.feature_importance(_trained(spark, sf_dir, "logistic_regression", maxIter=10)))
+    return rounded(models.feature_importance(_trained(spark, sf_dir, "logistic_regression")))
 
 
 @query("m14_batch_scoring")
 def batch_scoring(spark, sf_dir):
     lines = _lines(spark, sf_dir)
-    return _trained(spark, sf_dir, "logistic_regression", maxIter=10).score(lines).select("line", "prediction", "probabilities")
+    return _trained(spark, sf_dir, "logistic_regression").score(lines).select("line", "prediction", "probabilities")
 
 
 @query("m15_saved_model")
@@ -306,7 +306,7 @@ def rank_by_variance(spark, sf_dir):
 
 @query("m24_rank_by_forest")
 def rank_by_forest(spark, sf_dir):
-    return rounded(selection.by_forest(_lines(spark, sf_dir), "grade", 4, LINE_FEATURES[:4], trees=20))
+    return rounded(selection.by_forest(_lines(spark, sf_dir), "grade", 4, LINE_FEATURES[:4]))
 
 
 def _mi_sql() -> str:

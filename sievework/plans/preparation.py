@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,6 +31,12 @@ def _folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/copy-{uuid.uuid4().hex}"
 
 
+def _strptime(pattern: str) -> str:
+    """The same pattern in the letters of the SQL engine."""
+    letters = {"yyyy": "%Y", "yy": "%y", "MMMM": "%B", "MMM": "%b", "MM": "%m", "dd": "%d", "HH": "%H", "mm": "%M", "ss": "%S"}
+    return "".join(letters.get(p, p) for p in re.findall(r"y+|M+|d+|H+|m+|s+|.", pattern))
+
+
 # --- sources and sinks -------------------------------------------------------------------
 
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
@@ -327,6 +334,50 @@ def to_datetime(spark, sf_dir):
     return convert.convert_columns(dirty_orders(spark, sf_dir).select("o_orderkey", "date_text"), {"date_text": "datetime"})
 
 
+# Nine forms of one moment, and texts that are no date.
+_MIXED_FORMS = ("MM/dd/yyyy HH:mm", "M/d/yyyy H:mm", "dd-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/MM/dd HH:mm", "dd MMMM yyyy", "M/d/yy", "yyyy-MM-dd HH:mm:ss")
+
+
+def _mixed_dates(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    ts = F.col("o_orderdate") + F.make_dt_interval(hours=F.col("o_orderkey") % 24, mins=F.col("o_orderkey") % 60)
+    text = F.lit("n/a")
+    for i, form in enumerate(_MIXED_FORMS):
+        text = F.when(F.col("o_orderkey") % 11 == i, F.date_format(ts, form)).otherwise(text)
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 10, "1234").otherwise(text).alias("d"))
+
+
+_MIXED_SQL = """SELECT o_orderkey, CASE WHEN o_orderkey % 11 IN (0, 1, 5, 8) THEN o_orderdate + to_hours((o_orderkey % 24)::INTEGER) + to_minutes((o_orderkey % 60)::INTEGER)
+    WHEN o_orderkey % 11 < 9 THEN o_orderdate END::TIMESTAMP AS d FROM orders"""
+
+
+@query("t03_to_datetime_mixed", _MIXED_SQL)
+def to_datetime_mixed(spark, sf_dir):
+    return convert.convert_columns(_mixed_dates(spark, sf_dir), {"d": "datetime"})
+
+
+@query("t09_convert_mostly_one_pattern", "SELECT o_orderkey, CASE WHEN o_orderkey % 21 <> 0 THEN date_trunc('day', o_orderdate)::TIMESTAMP END AS d FROM orders")
+def convert_mostly_one_pattern(spark, sf_dir):
+    good = F.date_format("o_orderdate", "dd.MM.yyyy")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 21 == 0, "31.31.2024").otherwise(good).alias("d"))
+    return convert.convert_datetime_columns(o, ["d"])
+
+
+@query("t02_to_integer_large", "SELECT o_orderkey, o_orderkey + 9007199254740993 AS whole, o_orderkey + 9007199254740993 AS digits FROM orders")
+def to_integer_large(spark, sf_dir):
+    n = F.col("o_orderkey") + F.lit(9007199254740993)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", n.alias("whole"), n.cast("string").alias("digits"))
+    return convert.convert_columns(o, {"whole": "int", "digits": "int"})
+
+
+@query("s05_csv_text_round_trip", "SELECT doc_id, text || '\n\"quoted\", ' || lang AS text FROM documents")
+def csv_text_round_trip(spark, sf_dir):
+    path = _folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit('\n"quoted", '), "lang").alias("text"))
+    files.write_csv(docs, path)
+    return files.read_csv_any(spark, path, "doc_id bigint, text string")
+
+
 @query("t04_to_datetime_strict", "SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS date_text FROM orders")
 def to_datetime_strict(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("date_text"))
@@ -359,15 +410,11 @@ def auto_datetime(spark, sf_dir):
 @query(
     "t08_date_patterns",
     "WITH d AS (SELECT strftime(o_orderdate, '%d/%m/%Y') AS d FROM orders) "
-    + " UNION ALL ".join(
-        f"SELECT '{p}' AS pattern, bool_and(try_strptime(d, '{f}') IS NOT NULL) AS matches FROM d"
-        for p, f in (("MM/dd/yyyy", "%m/%d/%Y"), ("dd/MM/yyyy", "%d/%m/%Y"), ("yyyy/MM/dd", "%Y/%m/%d"))
-    ),
+    + " UNION ALL ".join(f"SELECT '{p}' AS pattern, bool_and(try_strptime(d, '{_strptime(p)}') IS NOT NULL) AS matches FROM d" for p in convert.DATE_PATTERNS),
 )
 def date_patterns(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
-    shown = ["MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd"]
-    return convert.pattern_matches(o, "d").where(F.col("pattern").isin(shown)).select("pattern", "matches")
+    return convert.pattern_matches(o, "d").select("pattern", "matches")
 
 
 @query("t09_convert_detected_dates", "SELECT o_orderkey, o_orderdate AS d1, o_orderdate AS d2 FROM orders")
@@ -378,7 +425,7 @@ def convert_detected_dates(spark, sf_dir):
     return convert.convert_datetime_columns(o, ["d1", "d2"])
 
 
-@query("t10_numeric_by_name", "SELECT l_orderkey, l_quantity AS \"Quantity\", CAST(l_returnflag AS VARCHAR) AS flag, l_partkey::DOUBLE AS stock_code FROM lineitem")
+@query("t10_numeric_by_name", "SELECT l_orderkey, l_quantity AS \"Quantity\", CAST(l_returnflag AS VARCHAR) AS flag, l_partkey AS stock_code FROM lineitem")
 def numeric_by_name(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", F.col("l_quantity").cast("string").alias("Quantity"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").cast("string").alias("stock_code")

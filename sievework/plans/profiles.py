@@ -307,7 +307,15 @@ def trend_line(spark, sf_dir):
     LEFT JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM {DIRTY_ORDERS} GROUP BY ALL) c ON a.o_orderstatus = c.o_orderstatus AND b.o_orderpriority = c.o_orderpriority""",
 )
 def contingency(spark, sf_dir):
-    return profile.contingency(dirty_orders(spark, sf_dir), "o_orderstatus", "o_orderpriority")
+    return profile.contingency_grid(dirty_orders(spark, sf_dir), "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    "a22_contingency_many_levels",
+    """SELECT l_partkey, l_suppkey, count(*) AS n, any_value(r) AS n_row, any_value(c) AS n_col FROM (SELECT l_partkey, l_suppkey, count(*) OVER (PARTITION BY l_partkey) AS r, count(*) OVER (PARTITION BY l_suppkey) AS c FROM lineitem) GROUP BY ALL""",
+)
+def contingency_many_levels(spark, sf_dir):
+    return profile.contingency(table(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey")
 
 
 @query("a23_target_preview", "SELECT o_orderpriority, count(*) AS n_rows FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -472,6 +480,17 @@ def chi2_independence_2x2(spark, sf_dir):
     return rounded(stats.chi2_independence(li, "l_linestatus", "returned").drop("p_value"))
 
 
+@query(
+    "h06_chi2_independence_many_levels",
+    """WITH n AS (SELECT l_partkey AS a, l_orderkey % 1500 AS b, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT a, sum(n) AS nr FROM n GROUP BY a), c AS (SELECT b, sum(n) AS nc FROM n GROUP BY b),
+    t AS (SELECT sum(n) AS t FROM n), q AS (SELECT sum(n.n::DOUBLE * n.n / nr / nc) AS q FROM n JOIN r USING (a) JOIN c USING (b))
+    SELECT round(t * (q - 1), 4) AS statistic, (((SELECT count(*) FROM r) - 1) * ((SELECT count(*) FROM c) - 1))::DOUBLE AS dof FROM t, q""",
+)
+def chi2_independence_many_levels(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_orderkey") % 1500).alias("b"))
+    return rounded(stats.chi2_independence(li, "l_partkey", "b").select("statistic", "dof"), 4)
+
+
 @query(
     "h07_pearson",
     f"""WITH s AS (SELECT corr(l_quantity, l_discount) AS r, (count(*) FILTER (l_quantity IS NOT NULL AND l_discount IS NOT NULL) - 2)::DOUBLE AS dof FROM {DIRTY_LINEITEM}),

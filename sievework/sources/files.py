@@ -23,9 +23,15 @@ def read_csv(
     schema: StructType | str | None = None,
     sep: str = ",",
     encoding: str = "UTF-8",
+    multiline: bool = False,
 ) -> DataFrame:
-    """CSV with a header line.  Give a schema for large inputs: inference reads them twice."""
+    """CSV with a header line; quotes inside quoted values are doubled.
+
+    Give a schema for large inputs: inference reads them twice.  ``multiline`` lets quoted values
+    hold line breaks; a file is then read by one task.
+    """
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+    reader = reader.option("escape", '"').option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return nan_to_null(reader.csv(path if isinstance(path, str) else list(path)))
 
@@ -41,9 +47,16 @@ def csv_dialect(spark: SparkSession, path: str) -> tuple[str, str]:
     return sep, "ISO-8859-1" if broken else "UTF-8"
 
 
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line ends inside quotes: it holds an odd number of them."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv_any(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """Separator, encoding and line breaks inside quotes are found out from the file."""
     sep, encoding = csv_dialect(spark, path)
-    return read_csv(spark, path, schema, sep, encoding)
+    return read_csv(spark, path, schema, sep, encoding, has_quoted_breaks(spark, path))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -77,7 +90,8 @@ def union_batches(batches: Sequence[DataFrame]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
-    df.write.mode("overwrite").option("header", True).option("compression", compression).csv(path)
+    """Quotes inside values are doubled, as other readers expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("compression", compression).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -97,7 +97,23 @@ def test_dates(spark):
 
 def test_contingency_fills_zero_cells(spark, rows):
     df = spark.createDataFrame([("x", "p"), ("y", "q"), ("x", "p"), (None, "q")], "a string, b string")
-    assert rows(profile.contingency(df, "a", "b")) == [("x", "p", 2), ("x", "q", 0), ("y", "p", 0), ("y", "q", 1)]
+    assert rows(profile.contingency_grid(df, "a", "b")) == [("x", "p", 2), ("x", "q", 0), ("y", "p", 0), ("y", "q", 1)]
+    assert rows(profile.contingency(df, "a", "b")) == [("x", "p", 2, 2, 2), ("y", "q", 1, 1, 1)]
+
+
+def test_tests_on_degenerate_input(spark):
+    df = spark.createDataFrame([(1.0, 2.0, "a", "x"), (1.0, 2.0, "a", "x"), (1.0, None, "a", None), (1.0, 2.0, None, "y")], "v double, w double, g string, h string")
+    assert one(stats.one_sample_t(df, "v"))["statistic"] is None
+    assert one(stats.welch_t(df, "v", "w"))["statistic"] is None
+    assert one(stats.anova(df, "v", "g"))["statistic"] is None
+    got = one(stats.chi2_independence(df, "g", "h"))
+    assert (got["statistic"], got["dof"], got["p_value"]) == (None, 0.0, None)
+    none = df.where("v > 5")
+    assert one(stats.one_sample_t(none, "v"))["statistic"] is None
+    assert one(stats.welch_t(none, "v", "w"))["p_value"] is None
+    assert one(stats.anova(none, "v", "g"))["p_value"] is None
+    assert one(stats.chi2_independence(none, "g", "h"))["p_value"] is None
+    assert one(stats.chi2_uniform(none, "g"))["p_value"] is None
 
 
 def test_t_tests(spark):
