@@ -22,7 +22,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.exprs import distinct_per_column, numeric_columns, per_column, text_columns
@@ -37,8 +37,9 @@ MAX_CLASSES = 50
 
 
 def split_rows(df: DataFrame, key: str, test_share: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by a hash of the key: the same rows whatever the partitioning."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1000))
+    """Train and test rows by the md5 of key and seed: the same rows whatever the partitioning."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000
     cut = round(test_share * 1000)
     return df.where(bucket >= cut), df.where(bucket < cut)
 
@@ -111,7 +112,7 @@ def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 #: What the models do if the caller says nothing: as many steps as it takes, grown-out trees.
 DEFAULTS = {
     "logistic_regression": {"maxIter": 1000},
-    "svm_classifier": {"maxIter": 1000},
+    "svm_classifier": {"maxIter": 100},
     "decision_tree_classifier": {"maxDepth": 30},
     "decision_tree_regressor": {"maxDepth": 30},
     "random_forest_classifier": {"numTrees": 100},
@@ -147,6 +148,8 @@ class Trained:
     labels: list = field(default_factory=list)
     metrics: DataFrame | None = None
     doubles: list[str] = field(default_factory=list)
+    target: str = ""
+    description: str = ""
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` and, for classes, ``probabilities`` by label where the model has them."""
@@ -161,15 +164,25 @@ class Trained:
         return out.select(*cols)
 
     def save(self, path: str) -> None:
+        """Model, column roles, target, description and the metrics row."""
+        spark = SparkSession.active()
         self.model.write().overwrite().save(f"{path}/model")
-        meta = {"problem": self.problem, "slots": self.slots, "labels": [str(v) for v in self.labels], "doubles": self.doubles}
-        spark = self.metrics.sparkSession
+        meta = {
+            "problem": self.problem, "slots": self.slots, "labels": [str(v) for v in self.labels],
+            "doubles": self.doubles, "target": self.target, "description": self.description,
+        }
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        if self.metrics is not None:
+            self.metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
 
     @staticmethod
-    def load(spark, path: str) -> Trained:
+    def load(spark, path: str, with_metrics: bool = True) -> Trained:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        return Trained(PipelineModel.load(f"{path}/model"), meta["problem"], meta["slots"], meta["labels"], None, meta["doubles"])
+        metrics = spark.read.parquet(f"{path}/metrics") if with_metrics else None
+        return Trained(
+            PipelineModel.load(f"{path}/model"), meta["problem"], meta["slots"], meta["labels"], metrics,
+            meta["doubles"], meta["target"], meta["description"],
+        )
 
 
 def train(
@@ -180,9 +193,15 @@ def train(
     model: str,
     test_share: float = 0.2,
     seed: int = 42,
+    max_classes: int | None = MAX_CLASSES,
+    description: str = "",
     **params,
 ) -> Trained:
-    """Triage, encode, scale, split, fit, and measure on the held-out rows."""
+    """Triage, encode, scale, split, fit, and measure on the held-out rows.
+
+    More than ``max_classes`` classes are refused, as a target of that many is mostly a mistake;
+    None lifts that.
+    """
     problem = "regression" if model.endswith("regressor") or model == "linear_regression" else "classification"
     roles = {r["column"]: r["role"] for r in triage(df, features).collect()}
     numeric = [c for c in features if roles[c] == "numeric"]
@@ -190,7 +209,7 @@ def train(
     rows = _as_double(df.where(F.col(target).isNotNull()), numeric)
     labels: list = []
     if problem == "classification":
-        labels = levels_of(rows, target, MAX_CLASSES)
+        labels = levels_of(rows, target, max_classes)
         label = F.lit(None).cast("double")
         for i, v in enumerate(labels):
             label = F.when(F.col(target) == F.lit(v), float(i)).otherwise(label)
@@ -203,7 +222,7 @@ def train(
     fitted = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
     scored = fitted.transform(test_rows).select(key, "label", "prediction")
     metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
-    return Trained(fitted, problem, slots, labels, metrics, numeric)
+    return Trained(fitted, problem, slots, labels, metrics, numeric, target, description)
 
 
 # --- metrics ------------------------------------------------------------------------------
@@ -269,7 +288,7 @@ def feature_importance(trained: Trained) -> DataFrame:
         values = np.abs(last.coefficients.toArray())
     else:
         raise ValueError("this model has no feature importance")
-    spark = trained.metrics.sparkSession
+    spark = SparkSession.active()
     rows = [(s, float(v)) for s, v in zip(trained.slots, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 

@@ -61,7 +61,10 @@ def _lines(spark, sf_dir):
     return li.select(key.alias("line"), *LINE_FEATURES, grade.alias("grade"), (points + F.col("l_tax")).alias("points"))
 
 
-@query("m01_split")
+_BUCKET = "('0x' || substr(md5({} || ':42'), 1, 8))::BIGINT % 1000"
+
+
+@query("m01_split", f"SELECT o_orderkey, CASE WHEN {_BUCKET.format('o_orderkey')} < 200 THEN 'test' ELSE 'train' END AS part FROM orders")
 def split(spark, sf_dir):
     fit, test = models.split_rows(table(spark, sf_dir, "orders"), "o_orderkey", 0.2)
     parts = [fit.withColumn("part", F.lit("train")), test.withColumn("part", F.lit("test"))]
@@ -228,6 +231,44 @@ def saved_model(spark, sf_dir):
     return rounded(models.Trained.load(spark, path).score(_lines(spark, sf_dir)).select("line", "prediction"))
 
 
+# One feature: the fit on the training rows is the least-squares line.
+
+_ORDER_FIT = f"(SELECT regr_slope(o_totalprice, x) AS b, regr_intercept(o_totalprice, x) AS a, stddev_samp(x) AS s FROM {{}} WHERE {_BUCKET.format('o_orderkey')} >= 200)"
+_ORDERS_X = "(SELECT o_orderkey, o_totalprice, (o_custkey % 97)::DOUBLE AS x FROM orders)"
+
+
+def _order_line(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 97).cast("double").alias("x"))
+    return o, models.train(o, "o_orderkey", ["x"], "o_totalprice", "linear_regression")
+
+
+@query("m14_batch_scoring_line", f"SELECT o_orderkey, round(a + b * x, 3) AS prediction FROM {_ORDERS_X}, {_ORDER_FIT.format(_ORDERS_X)}")
+def batch_scoring_line(spark, sf_dir):
+    o, line = _order_line(spark, sf_dir)
+    return rounded(line.score(o).select("o_orderkey", "prediction"), 3)
+
+
+@query("m13_importance_line", f"SELECT 'x' AS feature, round(abs(b) * s, 3) AS importance FROM {_ORDER_FIT.format(_ORDERS_X)}")
+def importance_line(spark, sf_dir):
+    return rounded(models.feature_importance(_order_line(spark, sf_dir)[1]), 3)
+
+
+@query(
+    "m15_saved_model_line",
+    f"""SELECT round(1 - sum(e * e) / (var_pop(o_totalprice) * count(*)), 6) AS r2, round(avg(abs(e)), 3) AS mae
+    FROM (SELECT o_totalprice, o_totalprice - a - b * x AS e FROM {_ORDERS_X}, {_ORDER_FIT.format(_ORDERS_X)} WHERE {_BUCKET.format('o_orderkey')} < 200)""",
+)
+def saved_model_line(spark, sf_dir):
+    """Saved, loaded and saved again with its metrics; a loaded model still knows its features."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/model-{uuid.uuid4().hex}"
+    _order_line(spark, sf_dir)[1].save(f"{path}/1")
+    models.Trained.load(spark, f"{path}/1").save(f"{path}/2")
+    loaded = models.Trained.load(spark, f"{path}/2")
+    assert loaded.target == "o_totalprice" and models.feature_importance(loaded).count() == 1
+    return rounded(loaded.metrics.select("r2", "mae"), 6, mae=3)
+
+
 CLUSTER_FEATURES = ["balance", "n_orders", "spend"]
 
 
@@ -283,6 +324,17 @@ def components(spark, sf_dir):
     return rounded(clustering.principal_components(_customers(spark, sf_dir), "c_custkey", CLUSTER_FEATURES)[0])
 
 
+@query(
+    "m21_explained_two_features",
+    f"""WITH c AS (SELECT coalesce(balance, avg(balance) OVER ()) AS x, n_orders AS y FROM {CUSTOMERS}), r AS (SELECT abs(corr(x, y)) AS r FROM c)
+    SELECT 1 AS component, round((1 + r) / 2, 6) AS explained FROM r UNION ALL SELECT 2, round((1 - r) / 2, 6) FROM r""",
+)
+def explained_two_features(spark, sf_dir):
+    """Two scaled features of correlation r have components of variance 1 + r and 1 - r."""
+    _, shares = clustering.principal_components(_customers(spark, sf_dir), "c_custkey", ["balance", "n_orders"])
+    return rounded(spark.createDataFrame(list(enumerate(shares, 1)), "component int, explained double"))
+
+
 _NUMBERS = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
 _CORR = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, l_extendedprice), 6) + 0.0 AS correlation FROM lineitem" for c in _NUMBERS)
 
