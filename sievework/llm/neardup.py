@@ -7,11 +7,15 @@
 2. Texts of equal sets are one node (the smallest id stands for them), however many there are.
 3. Nodes that agree on all ``rows`` registers of a band share a bucket. Two sets of similarity 0.75
    miss each other in all 32 bands of 4 with a probability of 5e-6.
-4. Star rounds: each node of a bucket is compared with the bucket's hub, the node that meets the
+4. Star round: each node of a bucket is compared with the bucket's hub, the node that meets the
    most others, and only with the hub it meets most often. Links are checked on the full sets.
-5. In buckets that still hold several components, pairs across components whose signatures
-   agree on at least ``floor`` of the registers are checked on the full sets too. Large buckets are
-   compared in blocks; copies of one component are never compared with each other.
+   Best rounds: in buckets that still hold several components each node is checked against the
+   one node of another component that its signature is most similar to, as long as that links
+   anything. Both join a large group of near copies with about as many checks as it has members.
+5. In buckets that hold several components even then, all pairs across components whose signatures
+   agree on at least ``floor`` of the registers are checked on the full sets, inside the tasks that
+   hold the buckets; only links become rows. Large buckets are compared in blocks; nodes of one
+   component are never compared with each other.
 6. Components come from hooking each node to its smallest neighbour, pointer jumping and
    contraction, as joins of thin tables. Nothing is collected to the driver.
 
@@ -46,8 +50,9 @@ class NearSpec:
     bands: int = 32
     rows: int = 4
     floor: float = 0.56
-    star_rounds: int = 2
-    block: int = 2048
+    star_rounds: int = 1
+    best_rounds: int = 4
+    block: int = 1024
 
     @property
     def registers(self) -> int:
@@ -176,11 +181,14 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return met.groupBy("node").agg(F.max(F.struct("times", "hub"))["hub"].alias("hub"))
 
 
-def cross_pairs(members: DataFrame, spec: NearSpec) -> DataFrame:
-    """a, b: pairs of different components in one bucket that may be linked.
+def cross_pairs(members: DataFrame, spec: NearSpec, best: bool) -> DataFrame:
+    """a, b: pairs of different components in one bucket.
 
-    ``members`` has key, node, comp, members, n, sig. A bucket larger than ``block`` is cut by
-    hash into parts; each pair of parts is compared in a group of its own.
+    With ``best`` the pair of each node whose signatures agree most, still to be verified; else links,
+    verified on the full sets, that join all that is linked within the bucket (not every link).
+    ``members`` has key, node, comp, members, n, sig and, without ``best``, elements (the sorted set).
+    A bucket larger than ``block`` is cut by hash into parts; each pair of parts is compared in a
+    group of its own. Pairs never become rows before they are chosen or verified.
     """
     parts = F.ceil(F.col("members") / spec.block).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -188,37 +196,56 @@ def cross_pairs(members: DataFrame, spec: NearSpec) -> DataFrame:
         F.sequence(F.lit(0), parts - 1),
         lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j"), (own > j).alias("side")),
     )
-    rows = members.select("key", "node", "comp", "n", "sig", own.alias("own"), F.explode(groups).alias("g")).select(
-        F.xxhash64("key", "g.i", "g.j").alias("grp"), (F.col("g.i") != F.col("g.j")).alias("two"), "g.side", "node", "comp", "n", "sig"
+    if best:
+        members = members.withColumn("elements", F.lit(None).cast("binary"))
+    names = ["grp", "two", "side", "node", "comp", "n", "sig", "elements"]
+    rows = members.select("key", "node", "comp", "n", "sig", "elements", F.explode(groups).alias("g")).select(
+        F.xxhash64("key", "g.i", "g.j").alias("grp"), (F.col("g.i") != F.col("g.j")).alias("two"), "g.side", *names[3:]
     )
-    rows = rows.repartition("grp").sortWithinPartitions("grp")
-    m, share = spec.registers, spec.percent / 100
-
-    def compare(group: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sig, node, comp, n = group["sig"], group["node"], group["comp"], group["n"]
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            ok = comp[rest] != comp[i]
+    rows = rows.repartition("grp").sortWithinPartitions("grp", "node")
+    m, share, percent = spec.registers, spec.percent / 100, spec.percent
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.sort(np.concatenate([x, y]))
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (len(both) - common)
+
+    def compare(group: dict) -> Iterator[tuple[int, int, int]]:
+        sig, node, comp, n, sets = group["sig"], group["node"], group["comp"].copy(), group["n"], group["elements"]
+        for i in range(len(node)):
+            if (comp == comp[0]).all():
+                return
+            first = 0 if best else i + 1
+            ok = comp[first:] != comp[i]
             if group["two"][i]:
-                ok &= group["side"][rest] != group["side"][i]
-            ok &= np.minimum(n[rest], n[i]) >= share * np.maximum(n[rest], n[i])
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                at = at[(sig[at] == sig[i]).sum(axis=1) >= spec.floor * m]
-                if len(at):
-                    yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
+                ok &= group["side"][first:] != group["side"][i]
+            ok &= np.minimum(n[first:], n[i]) >= share * np.maximum(n[first:], n[i])
+            at = np.flatnonzero(ok) + first
+            if len(at) == 0:
+                continue
+            alike = (sig[at] == sig[i]).sum(axis=1)
+            if best:
+                k = int(alike.argmax())
+                if alike[k] >= spec.floor * m:
+                    yield int(node[i]), int(node[at[k]]), int(alike[k])
+                continue
+            x = np.frombuffer(sets[i], dtype=np.uint64)
+            for j in at[alike >= spec.floor * m].tolist():
+                if comp[j] != comp[i] and linked(x, np.frombuffer(sets[j], dtype=np.uint64)):
+                    comp[comp == comp[j]] = comp[i]
+                    yield int(node[i]), int(node[j]), m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["grp", "two", "side", "node", "comp", "n", "sig"]
         held: list[pa.RecordBatch] = []
 
         def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cols = {c: table.column(c).to_numpy() for c in names[:-1]}
+            cols = {c: table.column(c).to_numpy() for c in names[:6]}
             cols["sig"] = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, m)
+            cols["elements"] = table.column("elements").to_pylist()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(cols["grp"])) + 1, [len(cols["grp"])]])
             found = [p for a, b in zip(edges[:-1], edges[1:]) if b - a > 1 for p in compare({c: v[a:b] for c, v in cols.items()})]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in range(3)], ["x", "y", "alike"])
 
         for batch in batches:
             if batch.num_rows == 0:
@@ -232,7 +259,23 @@ def cross_pairs(members: DataFrame, spec: NearSpec) -> DataFrame:
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return rows.select("grp", "two", "side", "node", "comp", "n", "sig").mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.select(*names).mapInArrow(run, "x long, y long, alike long")
+    if best:
+        pairs = pairs.groupBy("x").agg(F.max(F.struct("alike", (-F.col("y")).alias("y"))).alias("t")).select("x", (-F.col("t.y")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def element_sets(texts: DataFrame, spec: NearSpec) -> DataFrame:
+    """node, n, elements: the sorted set of every text as bytes; ``texts`` has node and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, raw, offs in tb.slices(batch, "text"):
+                elements, at = shingle_sets(raw, offs, spec.shingle)
+                own = [elements[i:j].tobytes() for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(np.diff(at)), pa.array(own, pa.binary())], ["node", "n", "elements"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, elements binary")
 
 
 # --- links and components ----------------------------------------------------------------
@@ -295,34 +338,50 @@ def node_components(docs: DataFrame, nodes: DataFrame, spec: NearSpec) -> DataFr
     involved = shared.select("node").distinct()
     ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("node"), "text")
     texts = written(ids.join(involved, "node", "left_semi"), "texts")
+    marks = nodes.groupBy("node").agg(F.first(F.struct("n", "sig")).alias("s")).select("node", "s.n", "s.sig")
     links, tested, comps = None, None, None
     members = shared.withColumn("comp", F.col("node"))
-    for step in range(spec.star_rounds + 1):
+    steps = ["star"] * spec.star_rounds + ["best"] * spec.best_rounds + ["all"]
+    while steps:
+        step = steps.pop(0)
         if comps is not None:
-            marked = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = marked.groupBy("key").agg(
-                F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("set"), F.count(F.lit(1)).alias("c")
-            ).filter("lo <> hi")
-            # Buckets of the same nodes in several bands are looked at once.
-            once = mixed.groupBy("set", "c").agg(F.min("key").alias("key")).select("key")
-            members = written(marked.join(once, "key", "left_semi"), "mixed-buckets")
-        if step < spec.star_rounds:
+            members = mixed_buckets(shared, comps)
+            if members.isEmpty():
+                break
+        if step == "all":
+            needed = texts.join(members.select("node").distinct(), "node", "left_semi")
+            sets = element_sets(needed, spec).join(marks.select("node", "n", "sig"), ["node", "n"])
+            found = written(cross_pairs(members.join(sets, "node"), spec, False), "linked")
+            if not found.isEmpty():
+                comps = components(found if links is None else links.unionAll(found))
+            break
+        if step == "star":
             pairs = hub_pairs(members).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         else:
-            pairs = cross_pairs(members.join(nodes.groupBy("node").agg(F.first(F.struct("n", "sig")).alias("s")).select("node", "s.n", "s.sig"), "node"), spec)
+            pairs = cross_pairs(members.join(marks, "node"), spec, True)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionAll(pairs)
         new = written(verified(pairs, texts, spec), "linked")
+        tested = pairs if tested is None else tested.unionAll(pairs)
         links = new if links is None else links.unionAll(new)
-        if not new.isEmpty() or comps is None:
+        if not new.isEmpty():
             comps = components(links)
+        elif step == "best":  # another round would choose the same pairs
+            steps = ["all"]
     return comps if comps is not None else shared.select("node", F.col("node").alias("comp")).limit(0)
 
 
+def mixed_buckets(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets with several components; of buckets with the same nodes, one."""
+    marked = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = marked.groupBy("key").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum(F.xxhash64("node") % (1 << 40)).alias("set"), F.count(F.lit(1)).alias("c")
+    ).filter("lo <> hi")
+    once = mixed.groupBy("set", "c").agg(F.min("key").alias("key")).select("key")
+    return written(marked.join(once, "key", "left_semi"), "mixed-buckets")
+
+
 def near_groups(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     rows = written(sketches(docs, spec), "sketches")

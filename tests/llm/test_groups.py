@@ -86,7 +86,7 @@ def brute_groups(rows):
     return collections.Counter((none(i), len(s), none(find(i)), i == find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("spec", [neardup.NearSpec(), neardup.NearSpec(star_rounds=0, block=4)], ids=["default", "small blocks"])
+@pytest.mark.parametrize("spec", [neardup.NearSpec(), neardup.NearSpec(star_rounds=0, best_rounds=0, block=4), neardup.NearSpec(star_rounds=0, block=3)], ids=["default", "all pairs", "best pairs"])
 def test_near_groups_equal_brute_force(spark, spec):
     rows = near_rows()
     got = neardup.near_groups(frame(spark, rows), spec)
