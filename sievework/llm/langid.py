@@ -85,19 +85,23 @@ def features(raw: np.ndarray, offs: np.ndarray, dims: int) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float, epochs: int) -> np.ndarray:
-    """Linear support vector machine (hinge loss) by dual coordinate descent; y is +1 or -1."""
+def fit_svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, penalty: float, epochs: int) -> np.ndarray:
+    """Linear support vector machine (hinge loss) by dual coordinate descent on some rows of x.
+
+    y is +1 or -1 for each of them; the smaller class weighs as much as the larger.
+    """
     w = np.zeros(x.shape[1], dtype=np.float64)
-    alpha = np.zeros(len(x))
-    norms = (x.astype(np.float64) ** 2).sum(axis=1)
-    limit = penalty * len(x) / (2.0 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
+    alpha = np.zeros(len(rows))
+    norms = np.einsum("ij,ij->i", x, x, dtype=np.float64)[rows]
+    limit = penalty * len(rows) / (2.0 * np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())))
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1.0
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            gradient = y[i] * (own @ w) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), limit[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * own
                 alpha[i] = new
     return w.astype(np.float32)
 
@@ -146,8 +150,8 @@ def train(docs: DataFrame, spec: LangSpec = LangSpec(), where: Column | None = N
     def machines(classes: list[str], truth: np.ndarray) -> dict[tuple[str, str], np.ndarray]:
         out = {}
         for a, b in combinations(classes, 2):
-            pick = (truth == a) | (truth == b)
-            out[a, b] = fit_svm(x[pick], np.where(truth[pick] == a, 1.0, -1.0), spec.penalty, spec.epochs)
+            rows = np.flatnonzero((truth == a) | (truth == b))
+            out[a, b] = fit_svm(x, rows, np.where(truth[rows] == a, 1.0, -1.0), spec.penalty, spec.epochs)
         return out
 
     pairs = {"": machines(sorted(members), family)}

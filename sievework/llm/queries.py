@@ -136,7 +136,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query("op5_near_duplicates")
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS doc, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc)
+SELECT doc AS doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, doc = min(root) AS kept
+FROM r LEFT JOIN n ON n.doc_id = doc GROUP BY doc
+"""
+
+
+@query("op5_near_duplicates", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(table(spark, sf_dir, "documents"))
 
@@ -158,7 +174,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op10_warc_round_trip")
+OP10_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(string_split(hex, ''), lambda c: lpad(bin(strpos('0123456789abcdef', c) - 1), 4, '0')), '') AS bits,
+             max(page_id) OVER (PARTITION BY hex) AS best FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + list_sum(list_transform(range(5), lambda j: substr(bits, (5 * k + j + 1)::BIGINT, 1)::INTEGER * (16 >> j::INTEGER)))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM b
+"""
+
+
+@query("op10_warc_round_trip", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), folder)

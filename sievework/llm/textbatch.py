@@ -1,6 +1,6 @@
 """Whole batches of texts as byte arrays: words, segments and 64-bit hashes without a Python loop.
 
-Used inside ``mapInArrow`` tasks. A batch is worked through in slices of about four million bytes,
+Used inside ``mapInArrow`` tasks. A batch is worked through in slices of about two million bytes,
 so memory does not depend on the Arrow batch size; a single longer text is a slice of its own.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 TO_LOWER = np.arange(256, dtype=np.uint8)
