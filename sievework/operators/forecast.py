@@ -31,7 +31,7 @@ def _per_series(df: DataFrame, keys: Sequence[str], freq: str, periods: int, fit
     future, and returns fitted values, forecasts and the residual deviation.
     """
     keys = list(keys)
-    day = F.unix_date(F.to_date("ts")).cast("double")
+    day = F.unix_date(F.to_date("ts")) + F.hour(F.col("ts").cast("timestamp_ntz")) / 24.0
     ahead = future_dates(df, keys, freq, periods).select(*keys, "ts", F.lit(None).cast("double").alias("value"), F.lit("forecast").alias("kind"))
     past = df.select(*keys, "ts", F.col("value").cast("double").alias("value"), F.lit("history").alias("kind"))
     both = union_rows([past, ahead])
@@ -99,10 +99,13 @@ def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 1e-8) -> np.ndar
 def forecast_fourier(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 10, seasonality: str = "auto") -> DataFrame:
     """Straight trend plus sine and cosine waves of the year, week or day, least squares.
 
-    'auto' uses the waves the grain can show and the history covers twice.
+    'auto' uses the waves the grain can show and the history covers twice; a wave asked for by
+    name that the grain cannot show is an error.
     """
-    cycles = {"yearly": (365.25, 5), "weekly": (7.0, 3)}
-    step_days = {"D": 1, "W": 7, "M": 30.4, "Q": 91.3, "Y": 365.25}[freq]
+    cycles = {"yearly": (365.25, 5), "weekly": (7.0, 3), "daily": (1.0, 4)}
+    step_days = {"H": 1 / 24, "D": 1, "W": 7, "M": 30.4, "Q": 91.3, "Y": 365.25}[freq]
+    if seasonality != "auto" and (seasonality not in cycles or cycles[seasonality][0] < 2 * step_days):
+        raise ValueError(f"no {seasonality} cycle at the grain {freq}")
 
     def fit(y: np.ndarray, days: np.ndarray, h: int):
         t = (days - days[0]) / 365.25

@@ -15,11 +15,16 @@ from pyspark.sql import functions as F
 from sievework.functions.order_stats import grouped_quantiles
 from sievework.session import union_rows
 
-STEP = {"D": "1 day", "W": "7 days", "M": "1 month", "Q": "3 months", "Y": "1 year"}
+STEP = {"H": "1 hour", "D": "1 day", "W": "7 days", "M": "1 month", "Q": "3 months", "Y": "1 year"}
 
 
 def bucket_start(ts: str | Column, freq: str) -> Column:
-    d = F.to_date(F.col(ts) if isinstance(ts, str) else ts)
+    c = F.col(ts) if isinstance(ts, str) else ts
+    if freq == "H":
+        # From the clock fields: no time zone, so no hour that is skipped or repeated.
+        t = c.cast("timestamp_ntz")
+        return t - F.make_dt_interval(mins=F.minute(t), secs=F.extract(F.lit("SECOND"), t))
+    d = F.to_date(c)
     return {
         "D": d,
         "W": F.date_sub(d, F.weekday(d)),
@@ -30,8 +35,9 @@ def bucket_start(ts: str | Column, freq: str) -> Column:
 
 
 def bucket_label(start: Column, freq: str) -> Column:
-    """The day itself, the Sunday that ends the week, or the last day of the period."""
+    """The hour or day itself, the Sunday that ends the week, or the last day of the period."""
     return {
+        "H": start,
         "D": start,
         "W": F.date_add(start, 6),
         "M": F.last_day(start),
@@ -43,6 +49,8 @@ def bucket_label(start: Column, freq: str) -> Column:
 def _next_start(start: Column, freq: str, steps: Column | int = 1) -> Column:
     n = F.lit(steps) if isinstance(steps, int) else steps
     months = {"M": 1, "Q": 3, "Y": 12}
+    if freq == "H":
+        return start + F.make_dt_interval(hours=n.cast("int"))
     if freq in months:
         return F.add_months(start, (n * months[freq]).cast("int"))
     return F.date_add(start, (n * {"D": 1, "W": 7}[freq]).cast("int"))
@@ -89,8 +97,8 @@ def _ordered(keys: Sequence[str]):
 
 
 def suggested_period(df: DataFrame, keys: Sequence[str], freq: str) -> DataFrame:
-    """Season length per series: 7, 4, 12 or 4 by frequency, capped by the number of points."""
-    natural = {"D": 7, "W": 4, "M": 12, "Q": 4}.get(freq, 4)
+    """Season length per series: 24, 7, 4, 12 or 4 by frequency, capped by the number of points."""
+    natural = {"H": 24, "D": 7, "W": 4, "M": 12, "Q": 4}.get(freq, 4)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"))
     n = F.col("n_points")
     top = F.greatest(F.lit(3), F.least(F.floor(n / 2), F.lit(24)))

@@ -214,6 +214,21 @@ def forecast_seasonal_smoothing(spark, sf_dir):
     return rounded(forecast.forecast_holt_winters(_monthly(spark, sf_dir), ["o_orderpriority"], "M", 12), 4)
 
 
+@query(
+    "f01_resample_hour_mean",
+    """SELECT s.event_type, s.ts, round(a.v, 6) AS value FROM (SELECT event_type, unnest(generate_series(min(date_trunc('hour', ts)), max(date_trunc('hour', ts)), INTERVAL 1 HOUR)) AS ts FROM events GROUP BY 1) s
+    LEFT JOIN (SELECT event_type, date_trunc('hour', ts) AS ts, avg(value) AS v FROM events GROUP BY ALL) a ON a.event_type = s.event_type AND a.ts = s.ts""",
+)
+def resample_hour_mean(spark, sf_dir):
+    return rounded(ts.resample(_events(spark, sf_dir), ["event_type"], "ts", "value", "H", "mean"))
+
+
+@query("f12_forecast_daily_cycle")
+def forecast_daily_cycle(spark, sf_dir):
+    hourly = ts.resample(_events(spark, sf_dir), ["event_type"], "ts", "value", "H", "sum")
+    return rounded(forecast.forecast_fourier(hourly, ["event_type"], "H", 24, "daily"), 4)
+
+
 @query("f12_forecast_trend_seasonality")
 def forecast_trend_seasonality(spark, sf_dir):
     return rounded(forecast.forecast_fourier(_monthly(spark, sf_dir), ["o_orderpriority"], "M", 12, "yearly"), 4)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.exprs import parse_datetime_any
 from sievework.functions.ordered import with_known_neighbours
-from sievework.operators import convert, customer, inventory, models, outliers, schema, timeseries
+from sievework.operators import convert, customer, forecast, inventory, models, outliers, schema, timeseries
 from sievework.sources import files
 
 
@@ -106,6 +106,20 @@ def test_exponential_mean_equals_pandas(spark):
         assert np.allclose(got[got.s == s].fitted.to_numpy(dtype=float), want, equal_nan=True)
 
 
+def test_hourly_grain_and_daily_cycle(spark):
+    start = dt.datetime(2024, 3, 30, 5)
+    rows = [("a", start + dt.timedelta(hours=i, minutes=i % 60), float(10.0 + np.sin(2 * np.pi * ((i + 5) % 24) / 24))) for i in range(240) if i % 50]
+    hourly = timeseries.resample(spark.createDataFrame(rows, "s string, t timestamp_ntz, v double"), ["s"], "t", "v", "H", "mean")
+    got = hourly.orderBy("ts").collect()
+    assert [r.ts for r in got] == [start + dt.timedelta(hours=i) for i in range(1, 240)]
+    assert timeseries.suggested_period(hourly, ["s"], "H").first()["period"] == 24
+    ahead = forecast.forecast_fourier(hourly, ["s"], "H", 24, "daily").where("kind = 'forecast'").orderBy("ts").toPandas()
+    want = [10.0 + np.sin(2 * np.pi * ((i + 5) % 24) / 24) for i in range(240, 264)]
+    assert len(ahead) == 24 and np.abs(ahead.fitted.to_numpy() - want).max() < 0.1
+    with pytest.raises(ValueError):
+        forecast.forecast_fourier(hourly, ["s"], "D", 5, "daily")
+
+
 def test_price_optimum_needs_no_shuffle(spark):
     items = spark.createDataFrame([(i, 100.0 + i, 5.0 + i, 2.0) for i in range(20)], "k int, d double, p double, c double")
     best = inventory.price_optimum(items, ["k"], F.col("d"), F.col("p"), F.col("c"))
