@@ -54,7 +54,7 @@ def test_conversions(spark):
 def test_dates(spark):
     texts = ["2024-01-31", "1/5/2024", "2024/03/04", "13/45/2024", "12/31/99", None, "2024-02-30", "word"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, d string").withColumn("t", parse_datetime_any("d"))
-    want = [dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 5), dt.datetime(2024, 3, 4), None, dt.datetime(2099, 12, 31), None, None, None]
+    want = [dt.datetime(2024, 1, 31), dt.datetime(2024, 1, 5), dt.datetime(2024, 3, 4), None, dt.datetime(1999, 12, 31), None, None, None]
     assert col(df, "t") == want
 
 
