@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import partitions, written
+from sievework.llm.textbatch import gather
 
 
 @dataclass(frozen=True)
@@ -118,16 +119,16 @@ class SubstringIndex:
         self.tables = []
         for j in range(codes.shape[1]):
             order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
+            values, first, size = np.unique(codes[order, j], return_index=True, return_counts=True)
+            self.tables.append((values, first, size, order))
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code differs from ``code`` in at most ``radius`` bits."""
         m = len(code)
         found = np.zeros(len(self.codes), dtype=bool)
-        for (values, first, order), own in zip(self.tables, code):
-            for hit in np.flatnonzero(_POPCOUNT[values ^ own] <= radius // m):
-                found[order[first[hit] : first[hit + 1]]] = True
+        for (values, first, size, order), own in zip(self.tables, code):
+            hit = np.flatnonzero(_POPCOUNT[values ^ own] <= radius // m)
+            found[gather(order, first[hit], size[hit])] = True
         rows = np.flatnonzero(found)
         return rows[_POPCOUNT[self.codes[rows] ^ code].sum(axis=1) <= radius]
 
