@@ -4,9 +4,10 @@
    (digits, long hex, or a word with digits, apart from a file ending) or if its place holds
    more than ``max_children`` different segments, most of them rare: the children of such a node
    are one wildcard branch.
-2. Sibling branches are merged if they are statistically alike: their share of bad labels, as a
-   smoothed proportion, falls into the same bin of the arcsine scale, whose bins are as wide as
-   ``alike`` standard deviations of the smaller branches of that node.
+2. Sibling branches are merged if they are statistically alike: siblings of equal counts are one;
+   then, by rising share of bad labels, each is compared with all merged before it. Their smoothed
+   shares may differ, on the arcsine scale, by ``alike`` standard deviations of the two compared.
+   A sibling without labels merges with none and has the share of its host.
 3. The bad share of a merged template is smoothed towards that of its host, which is smoothed
    towards that of all labelled pages. A template is rejected if its good share, the purity, is
    below ``purity``.
@@ -21,8 +22,11 @@ page all count.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,14 +105,11 @@ def judge(rows: DataFrame, labels: DataFrame, spec: TreeSpec = TreeSpec()) -> Da
     hosts = hosts.withColumn("p1", (F.col("hb") + w * (b + 0.5) / (n + 1.0)) / (F.col("hn") + w))
     parent = F.regexp_replace("template", r"/[^/]*$", "")
     node = leaf.withColumn("parent", parent).join(hosts.select("host", "p1"), "host")
-    share = (F.col("b") + w * F.col("p1")) / (F.col("n") + w)
-    # On the scale 2 asin(sqrt(p)) the standard deviation of a share of n labels is 1 / sqrt(n).
-    angle = 2 * F.asin(F.sqrt(share))
-    siblings = node.groupBy("host", "parent").agg(F.min(F.col("n") + w).alias("least"))
-    node = node.withColumn("angle", angle).join(siblings, ["host", "parent"])
-    node = node.withColumn("branch", F.floor(F.col("angle") * F.sqrt("least") / spec.alike).cast("long"))
-    merged = node.groupBy("host", "parent", "branch").agg(F.sum("n").alias("mn"), F.sum("b").alias("mb"))
-    node = node.join(merged, ["host", "parent", "branch"])
+    equal = node.filter("n > 0").groupBy("host", "parent", "n", "b").agg(F.first("p1").alias("p1"), F.count(F.lit(1)).alias("k"))
+    branches = written(alike_branches(equal, spec), "branches")
+    merged = branches.groupBy("host", "parent", "branch").agg(F.sum(F.col("k") * F.col("n")).alias("mn"), F.sum(F.col("k") * F.col("b")).alias("mb"))
+    branches = branches.drop("k").join(merged, ["host", "parent", "branch"])
+    node = node.join(branches, ["host", "parent", "n", "b"], "left").fillna(0, ["mn", "mb"])
     purity = 1 - (F.col("mb") + w * F.col("p1")) / (F.col("mn") + w)
     return node.select(
         "host", "template", F.concat_ws("#", "parent", F.col("branch").cast("string")).alias("branch"), purity.alias("purity"),
@@ -116,6 +117,39 @@ def judge(rows: DataFrame, labels: DataFrame, spec: TreeSpec = TreeSpec()) -> Da
     )
 
 
+def alike_branches(equal: DataFrame, spec: TreeSpec) -> DataFrame:
+    """host, parent, n, b, k, branch; ``equal`` has k siblings of n labels, b of them bad, and p1.
+
+    Siblings come by rising share. One joins the branch before it if the two differ by at most
+    ``alike`` standard deviations of their difference, else it begins a branch.
+    """
+    w, alike = spec.weight, spec.alike
+
+    def angle(n: int, b: int, p1: float) -> float:
+        # On the scale 2 asin(sqrt(p)) the standard deviation of a share of n labels is 1 / sqrt(n).
+        return 2 * math.asin(math.sqrt(min(1.0, (b + w * p1) / (n + w))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, branch, mn, mb = None, 0, 0, 0
+        for batch in batches:
+            found = []
+            for host, parent, n, b, k, p1 in zip(*(c.to_pylist() for c in batch.columns)):
+                n, b = n * k, b * k
+                if (host, parent) != place:
+                    place, branch, mn, mb = (host, parent), 0, n, b
+                elif abs(angle(n, b, p1) - angle(mn, mb, p1)) <= alike * math.sqrt(1 / (n + w) + 1 / (mn + w)):
+                    mn, mb = mn + n, mb + b
+                else:
+                    branch, mn, mb = branch + 1, n, b
+                found.append(branch)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.int64())], [*batch.schema.names[:5], "branch"])
+
+    share = (F.col("k") * F.col("b") + w * F.col("p1")) / (F.col("k") * F.col("n") + w)
+    rows = equal.select("host", "parent", "n", "b", "k", "p1", share.alias("share"))
+    rows = rows.repartition("host", "parent").sortWithinPartitions("host", "parent", "share", "n", "b")
+    return rows.drop("share").mapInArrow(run, "host string, parent string, n long, b long, k long, branch long")
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], spec: TreeSpec = TreeSpec()) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages`` (page_id, url)."""
     host, path = host_and_path(F.col("url"))

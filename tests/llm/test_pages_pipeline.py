@@ -97,6 +97,20 @@ def test_purity_of_merged_branches(spark):
     assert all(r.verdict == "block" and r.purity == pytest.approx(1 - (4 + 5 * host) / 9) for r in got)
 
 
+def test_light_siblings_do_not_join_heavy_ones(spark):
+    """Siblings with no or few labels between a good and a bad template leave both as they are."""
+    rows = [(0, "http://a.net/x/good", None), (1, "http://a.net/x/bad", None), (2, "http://a.net/x/new", None)]
+    rows += [(10 + i, f"http://a.net/x/few{'abcdef'[i]}", None) for i in range(6)]
+    labels = [(0, i < 2000) for i in range(10_000)] + [(1, i < 6000) for i in range(10_000)]
+    labels += [(10 + i, j < 2 + i % 2) for i in range(6) for j in range(4 + i)]
+    got = urltree.filter_urls(pages(spark, rows), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
+    found = {r.template: r for r in got}
+    assert found["/x/good"].verdict == "allow" and found["/x/good"].purity == pytest.approx(0.8, abs=0.01)
+    assert found["/x/bad"].verdict == "block" and found["/x/bad"].purity == pytest.approx(0.4, abs=0.01)
+    n, b = len(labels), sum(x for _, x in labels)
+    assert found["/x/new"].purity == pytest.approx(1 - (b + 5 * (b + 0.5) / (n + 1)) / (n + 5))
+
+
 # --- archives ----------------------------------------------------------------------------
 
 HTML = "<html>" + "line of text é\n" * 50
