@@ -2,8 +2,9 @@
 
 1. A path is a list of segments. Level after level, a segment becomes ``*`` if it looks generated
    (digits, long hex, or a word with digits, apart from a file ending) or if its place holds
-   more than ``max_children`` different segments, most of them rare: the children of such a node
-   are one wildcard branch.
+   more than ``max_children`` different segments and it is rare itself, with fewer than
+   ``few_pages`` pages and fewer than ``few_labels`` labels: the rare children of such a node are
+   one wildcard branch, the others keep their names. Paths are followed to their end.
 2. Sibling branches are merged if they are statistically alike: siblings of equal counts are one;
    then, by rising share of bad labels, each is compared with all merged before it. Their smoothed
    shares may differ, on the arcsine scale, by ``alike`` standard deviations of the two compared.
@@ -14,8 +15,8 @@
 
 A hand-written rule list comes before the tree: the longest rule that fits decides.
 
-Counts are aggregated before any join; the joins with pages are by host and template and can be
-split where one host has many rows. A null url, or one without ``://``, has an empty host and path
+Pages are reduced to the distinct shapes of their paths before the tree is built; the one join
+with pages is by host and shape and can be split where one of them has many rows. A null url, or one without ``://``, has an empty host and path
 and one template of its own. Labels of pages that do not exist are ignored; several labels of a
 page all count.
 """
@@ -35,8 +36,9 @@ from sievework.llm.common import LOWER, UPPER, written
 
 @dataclass(frozen=True)
 class TreeSpec:
-    depth: int = 4
     max_children: int = 50
+    few_pages: int = 20
+    few_labels: int = 10
     alike: float = 2.0
     weight: float = 5.0
     purity: float = 0.5
@@ -72,33 +74,51 @@ def _generalised(segment: Column) -> Column:
     return F.when(made, F.concat(F.lit("*"), ending)).otherwise(segment)
 
 
-def templates(pages: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
-    """``pages`` (page_id, host, path) with template: variable segments made wildcards."""
-    parts = F.transform(
-        F.filter(F.split(F.col("path"), "/"), lambda s: s != ""), _generalised
-    )
-    rows = pages.withColumn("__parts", parts).withColumn("template", F.lit(""))
-    for level in range(spec.depth):
-        rows = rows.withColumn("__s", F.get("__parts", F.lit(level)))
-        counts = rows.filter(F.col("__s").isNotNull()).groupBy("host", "template", "__s").agg(F.count(F.lit(1)).alias("n"))
-        # A place is variable if it holds many segments and the typical one is rare.
-        wide = counts.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("rows"))
-        wide = wide.filter((F.col("kinds") > spec.max_children) & (F.col("rows") < 20 * F.col("kinds"))).select("host", "template", F.lit(True).alias("__w"))
-        rows = rows.join(wide, ["host", "template"], "left")
-        step = F.when(F.col("__s").isNull(), F.lit("")).when(F.col("__w"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("__s")))
-        rows = rows.withColumn("template", F.concat("template", step)).drop("__w", "__s")
-    more = F.when(F.size("__parts") > spec.depth, F.lit("/**")).otherwise(F.lit(""))
-    return rows.withColumn("template", F.concat("template", more)).drop("__parts")
-
-
-def judge(rows: DataFrame, labels: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
-    """host, template, branch, purity, verdict for every template; ``labels`` has page_id and bad (boolean)."""
+def with_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pages`` with n labels and b bad ones; ``labels`` has page_id and bad (boolean)."""
     counts = labels.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("bad").cast("long")).alias("b"))
+    return pages.join(counts, "page_id", "left").fillna(0, ["n", "b"])
+
+
+def shape_of(path: Column) -> Column:
+    """The segments of a path, each after a slash, generated ones as wildcards."""
+    parts = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), _generalised)
+    return F.array_join(F.transform(parts, lambda s: F.concat(F.lit("/"), s)), "")
+
+
+def templates(shapes: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
+    """host, shape, n, b, template; ``shapes`` has host, shape, pages and the labels n and b, one row for a shape.
+
+    Level after level the places with more than ``max_children`` pages are looked at, until no path
+    goes on; below smaller places nothing can be rare among many, so their paths are taken as they are.
+    """
+    ways = shapes.withColumn("template", F.lit("")).withColumn("rest", F.col("shape"))
+    done: DataFrame | None = None
+    while True:
+        pages = ways.filter("rest <> ''").groupBy("host", "template").agg(F.sum("pages").alias("__all"))
+        large = pages.filter(F.col("__all") > spec.max_children).select("host", "template", F.lit(True).alias("__large"))
+        marked = written(ways.join(large, ["host", "template"], "left"), "ways")
+        more = (F.col("rest") != "") & F.col("__large").isNotNull()
+        closed = marked.filter(~more).select("host", "shape", "n", "b", F.concat("template", "rest").alias("template"))
+        done = closed if done is None else done.unionAll(closed)
+        ways = marked.filter(more).drop("__large").withColumn("__s", F.regexp_extract("rest", r"(?s)^/[^/]*", 0))
+        if ways.isEmpty():
+            return done
+        counts = ways.groupBy("host", "template", "__s").agg(F.sum("pages").alias("rows"), F.sum("n").alias("labels"))
+        wide = counts.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds")).filter(F.col("kinds") > spec.max_children)
+        rare = counts.filter((F.col("rows") < spec.few_pages) & (F.col("labels") < spec.few_labels))
+        rare = rare.join(wide, ["host", "template"], "left_semi").select("host", "template", "__s", F.lit(True).alias("__r"))
+        step = F.when(F.col("__r"), F.lit("/*")).otherwise(F.col("__s"))
+        ways = ways.join(rare, ["host", "template", "__s"], "left").select(
+            "host", "shape", "pages", "n", "b", F.concat("template", step).alias("template"),
+            F.substr("rest", F.char_length("__s") + 1).alias("rest"),
+        )
+
+
+def judge(rows: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
+    """host, template, branch, purity, verdict for every template; ``rows`` has host, template, n and b."""
     zero = F.lit(0).cast("long")
-    leaf = rows.join(counts, "page_id", "left").groupBy("host", "template").agg(
-        F.coalesce(F.sum("n"), zero).alias("n"), F.coalesce(F.sum("b"), zero).alias("b")
-    )
-    leaf = written(leaf, "templates")
+    leaf = written(rows.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "templates")
     n, b = leaf.agg(F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("b"), zero)).first()
     w = spec.weight
     hosts = leaf.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("b").alias("hb"))
@@ -153,10 +173,12 @@ def alike_branches(equal: DataFrame, spec: TreeSpec) -> DataFrame:
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], spec: TreeSpec = TreeSpec()) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of ``pages`` (page_id, url)."""
     host, path = host_and_path(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = written(templates(rows, spec), "paths")
-    judged = judge(rows, labels, spec)
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("shape", shape_of(F.col("path")))
+    rows = written(with_labels(rows, labels), "paths")
+    shapes = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("n"), F.sum("b").alias("b"))
+    found = written(templates(shapes, spec), "shapes")
+    judged = found.drop("n", "b").join(judge(found, spec), ["host", "template"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    return rows.join(judged, ["host", "template"]).select(
+    return rows.drop("n", "b").join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("tree_verdict")).alias("verdict"), "template", "purity"
     )

@@ -111,6 +111,35 @@ def test_light_siblings_do_not_join_heavy_ones(spark):
     assert found["/x/new"].purity == pytest.approx(1 - (b + 5 * (b + 0.5) / (n + 1)) / (n + 5))
 
 
+def verdicts(spark, rows, labels):
+    got = urltree.filter_urls(pages(spark, rows), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
+    assert len(got) == len(rows)
+    return {r.page_id: (r.template, r.verdict) for r in got}
+
+
+def test_heavy_sections_among_rare_ones(spark):
+    """A section with many pages or labels is judged by itself, however many rare ones stand beside it."""
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    for bad in (900, 1100):
+        rows = [(i, f"http://a.net/s{name(i)}", None) for i in range(1000)] + [(5000 + i, f"http://a.net/spam/{i}", None) for i in range(bad)]
+        rows.append((9000, "http://a.net/one", None))
+        labels = [(i, False) for i in range(1000)] + [(5000 + i, True) for i in range(bad)] + [(9000, True)] * 200
+        got = verdicts(spark, rows, labels)
+        assert {got[i] for i in range(1000)} == {("/*", "allow")}
+        assert {got[5000 + i] for i in range(bad)} == {("/spam/*", "block")} and got[9000] == ("/one", "block")
+
+
+def test_deep_paths_keep_their_verdicts(spark):
+    """Paths are followed to their end; wide places are found at any depth."""
+    rows = [(i, f"http://a.net/a/b/c/d/{'bad' if i % 2 else 'good'}/{i}", None) for i in range(200)]
+    rows += [(1000 + i, f"http://a.net/a/b/c/d/e/f/{chr(97 + i // 26)}{chr(97 + i % 26)}/end", None) for i in range(300)]
+    rows.append((5000, "http://b.net" + "/a" * 3000, None))
+    got = verdicts(spark, rows, [(i, i % 2 == 1) for i in range(200)])
+    assert {got[i] for i in range(200)} == {("/a/b/c/d/good/*", "allow"), ("/a/b/c/d/bad/*", "block")}
+    assert {got[1000 + i][0] for i in range(300)} == {"/a/b/c/d/e/f/*/end"}
+    assert got[5000][0] == "/a" * 3000
+
+
 # --- archives ----------------------------------------------------------------------------
 
 HTML = "<html>" + "line of text é\n" * 50
