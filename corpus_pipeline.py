@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their sequence and place."""
-    return packing.pack(docs)
+    return packing.pack(docs, packing.CONTRACT)
 
 
 STAGES = [

@@ -12,8 +12,9 @@ with many pieces is numbered in buckets by hash, from counts per bucket, so no t
 
 Tokenization splits texts before white space that follows something else, where no token of the
 pattern can go across, and encodes each distinct segment of a slice once. Ids are those of the
-byte-level vocabulary at ``ranks_path``; strings of special tokens are ordinary text. The tests
-compare them with the same vocabulary read by another library.
+byte-level vocabulary at ``ranks_path``. With ``added_path`` the strings of the added tokens of that
+tokenizer file get the ids they have there, as `tokenizers` does by default; without it they are
+ordinary text. The tests compare both with the same vocabulary read by `tokenizers`.
 
 A null text is empty: one piece with the end id alone. Repeated rows are packed one by one. Empty
 table: no pieces.
@@ -36,32 +37,58 @@ from sievework.llm.common import written
 
 @dataclass(frozen=True)
 class PackSpec:
-    """``ranks_path``: a vocabulary file of base64 tokens and ranks; None: the installed one."""
+    """``ranks_path``: a vocabulary file of base64 tokens and ranks; None: the installed one.
+
+    ``added_path``: a tokenizer file (JSON) whose added tokens are recognised; "installed": the
+    installed one; None: none are.
+    """
 
     capacity: int = 1024
     end_id: int = 2
     ranks_path: str | None = None
     bucket_rows: int = 20_000
+    added_path: str | None = None
+
+
+#: As the contract of the queries has it: added tokens are recognised.
+CONTRACT = PackSpec(added_path="installed")
 
 
 # --- tokens ------------------------------------------------------------------------------
 
-_ENCODERS: dict[str | None, object] = {}
+_ENCODERS: dict[tuple[str | None, str | None], object] = {}
 #: Distinct segments whose ids a worker keeps; beyond it starts afresh.
 CACHE_SEGMENTS = 400_000
 
 
-def encoder(path: str | None):
+def added_tokens(path: str | None) -> dict[str, int]:
+    """String and id of the added tokens of a tokenizer file."""
+    import json
+
+    import public_tokenizers
+
+    if path is None:
+        return {}
+    with open(public_tokenizers.path("byte_bpe_50k.json") if path == "installed" else path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    for t in tokens:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or not t["content"] or any(c.isspace() for c in t["content"]):
+            raise ValueError(f"added token {t['content']!r}: white space and flags are not supported")
+    return {t["content"]: t["id"] for t in tokens}
+
+
+def encoder(path: str | None, added: str | None = None):
     import base64
 
     import public_tokenizers
     import tiktoken
 
-    if path not in _ENCODERS:
+    if (path, added) not in _ENCODERS:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        special = added_tokens(added)
+        _ENCODERS[path, added] = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _ENCODERS[path, added]
 
 
 def segment_starts(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -86,14 +113,16 @@ def token_ids(raw: np.ndarray, offs: np.ndarray, enc, cache: dict[int, bytes]) -
         return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
     ends = np.append(starts[1:], len(raw))
     keys, first, which = np.unique(tb.span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-    data = raw.tobytes()
+    data, added = raw.tobytes(), enc.special_tokens_set
     if len(cache) > CACHE_SEGMENTS:
         cache.clear()
     found = []
     for key, a, b in zip(keys.tolist(), starts[first].tolist(), ends[first].tolist()):
         ids = cache.get(key)
         if ids is None:
-            ids = cache[key] = np.array(enc.encode_ordinary(data[a:b].decode("utf-8", "replace")), dtype="<u4").tobytes()
+            text = data[a:b].decode("utf-8", "replace")
+            ids = enc.encode(text, allowed_special="all") if any(t in text for t in added) else enc.encode_ordinary(text)
+            ids = cache[key] = np.array(ids, dtype="<u4").tobytes()
         found.append(ids)
     pool = np.frombuffer(b"".join(found), dtype="<u4")
     sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
@@ -105,10 +134,10 @@ def token_ids(raw: np.ndarray, offs: np.ndarray, enc, cache: dict[int, bytes]) -
 
 def cut_pieces(docs: DataFrame, spec: PackSpec = PackSpec(), with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, the ids of every piece."""
-    capacity, end_id, path = spec.capacity, spec.end_id, spec.ranks_path
+    capacity, end_id, path, added = spec.capacity, spec.end_id, spec.ranks_path, spec.added_path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, cache = encoder(path), {}
+        enc, cache = encoder(path, added), {}
         for batch in batches:
             for part, raw, offs in tb.slices(batch, "text"):
                 ids, at = token_ids(raw, offs, enc, cache)

@@ -105,7 +105,7 @@ def id_remainder(n: int):
 
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), packing.CONTRACT)
 
 
 #: The rules of the contract, (verdict, host/path).

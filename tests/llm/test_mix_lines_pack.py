@@ -192,6 +192,20 @@ def test_packing_tokens_and_places(spark, many):
     assert len(places) <= -(-sum(r.length for r in got) // 1024) + 1
 
 
+def test_added_tokens_as_the_tokenizer_file_has_them(spark):
+    """The queries' setting equals `tokenizers` as it is loaded."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    eot = "<|endoftext|>"
+    texts = [f"a {eot} b", eot, f"{eot}{eot}", f"x  {eot}  y", f"{eot}b\n\n{eot}\u00a0c", f"<|endof text|> <{eot}> {eot[:-1]}", f"it's\u2003{eot}'s 12{eot}34", "none"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r.doc_id: r.ids for r in packing.pack(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), packing.CONTRACT, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == tokenizer.encode(text, add_special_tokens=False).ids + [2]
+    assert got[0] == [64, 220, 50256, 275, 2]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_uses_every_piece_once(seed):
     rng = np.random.default_rng(seed)
