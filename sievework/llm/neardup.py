@@ -4,7 +4,8 @@
    the set, and a SuperMinHash signature. An element draws, level after level, a random value and
    the next slot of its own random permutation; a text is finished as soon as every slot holds a
    value below the next level. The levels run for all texts of a slice at once.
-2. Texts of equal sets are one node (the smallest id stands for them), however many there are.
+2. Texts of equal sets are one node, however many there are; a text of the smallest id stands for
+   them. The nodes of one id's texts are linked from the start.
 3. Nodes that agree on all ``rows`` registers of a band share a bucket. Two sets of similarity 0.75
    miss each other in all 32 bands of 4 with a probability of 5e-6.
 4. Star round: each node of a bucket is compared with the bucket's hub, the node that meets the
@@ -21,7 +22,8 @@
 
 A null or empty text, or one without words, has an empty set and is linked with nothing. Fewer
 words than ``shingle`` make one shingle. Rows of one id are one document: they share their
-component. A null id is one document, after all others.
+component. A null id is one document, after all others; only when near copies are dropped a row
+without an id goes by its own text.
 """
 
 from __future__ import annotations
@@ -119,8 +121,13 @@ def superminhash(elements: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     return registers.reshape(n, m)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (a number for a null id too), th (hash of the text), text."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("doc"), F.xxhash64("text").alias("th"), "text")
+
+
 def sketches(docs: DataFrame, spec: NearSpec) -> DataFrame:
-    """doc, n (size of the set), d1, d2 (digest of the set), sig (16 bits of each register)."""
+    """doc, th (hash of the text), n (size of the set), d1, d2 (digest of the set), sig (16 bits of each register)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,12 +145,11 @@ def sketches(docs: DataFrame, spec: NearSpec) -> DataFrame:
                     for i, row in zip(some.tolist(), short):
                         sig[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(sig, pa.binary())],
-                    ["doc", "n", "d1", "d2", "sig"],
+                    [part.column("doc"), part.column("th"), pa.array(n), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array(sig, pa.binary())],
+                    ["doc", "th", "n", "d1", "d2", "sig"],
                 )
 
-    rows = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("doc"), "text")
-    return rows.mapInArrow(run, "doc long, n long, d1 long, d2 long, sig binary")
+    return keyed(docs).mapInArrow(run, "doc long, th long, n long, d1 long, d2 long, sig binary")
 
 
 # --- candidates --------------------------------------------------------------------------
@@ -332,14 +338,16 @@ def components(links: DataFrame) -> DataFrame:
     return found if found is not None else links.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
-def node_components(docs: DataFrame, nodes: DataFrame, spec: NearSpec) -> DataFrame:
-    """node, comp for every linked node; ``nodes`` has node, n and sig."""
+def node_components(docs: DataFrame, nodes: DataFrame, links: DataFrame | None, spec: NearSpec) -> DataFrame:
+    """node, comp for every linked node; ``nodes`` has node, doc and th (of its text), n and sig; ``links`` are given."""
     shared = buckets(nodes, spec)
-    involved = shared.select("node").distinct()
-    ids = docs.select(F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long").alias("node"), "text")
-    texts = written(ids.join(involved, "node", "left_semi"), "texts")
-    marks = nodes.groupBy("node").agg(F.first(F.struct("n", "sig")).alias("s")).select("node", "s.n", "s.sig")
-    links, tested, comps = None, None, None
+    involved = nodes.select("node", "doc", "th").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = written(keyed(docs).join(involved, ["doc", "th"]).select("node", "text"), "texts")
+    if texts.count() > involved.count():  # repeated rows
+        texts = written(texts.dropDuplicates(["node"]), "texts")
+    marks = nodes.select("node", "n", "sig")
+    tested = None
+    comps = components(links) if links is not None else None
     members = shared.withColumn("comp", F.col("node"))
     steps = ["star"] * spec.star_rounds + ["best"] * spec.best_rounds + ["all"]
     while steps:
@@ -382,25 +390,57 @@ def mixed_buckets(shared: DataFrame, comps: DataFrame) -> DataFrame:
     return written(marked.join(once, "key", "left_semi"), "mixed-buckets")
 
 
-def near_groups(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+DIGEST = ["d1", "d2", "n"]
+
+
+def grouped(docs: DataFrame, spec: NearSpec, null_is_one: bool) -> DataFrame:
+    """doc, th, n, root (the smallest doc of the component) and kept for each row of ``docs``.
+
+    With ``null_is_one`` the rows without an id are one document. Otherwise each goes by its own
+    text, and in a component without any id the rows of one set are kept.
+    """
     rows = written(sketches(docs, spec), "sketches")
-    digest = ["d1", "d2", "n"]
-    classes = rows.filter("n > 0").groupBy(*digest).agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
+    classes = rows.filter("n > 0").groupBy(*DIGEST).agg(F.min(F.struct("doc", "th")).alias("t"), F.first("sig").alias("sig"))
+    # Numbered as they are written, so that every set has a node of its own.
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "t.doc", "t.th", *DIGEST, "sig")
     classes = written(classes, "classes")
-    # A document of several rows links their classes as it carries one id.
-    comps = node_components(docs, classes, spec)
-    label = classes.select(*digest, "node").join(comps, "node", "left").select(*digest, F.coalesce("comp", "node").alias("comp"))
-    named = rows.drop("sig").join(label, digest, "left")
-    found = F.coalesce(F.col("comp"), F.col("doc"))
-    by_id = lambda c: F.when(c != LAST_ID, c)
-    return named.select(
-        by_id(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), by_id(found).alias("component_id"), (F.col("doc") == found).alias("kept")
-    )
+    named = rows.select("doc", "th", *DIGEST)
+    one = named if null_is_one else named.filter(F.col("doc") != LAST_ID)
+    several = one.groupBy("doc").agg(F.min(F.struct(*DIGEST)).alias("lo"), F.max(F.struct(*DIGEST)).alias("hi"))
+    several = written(several.filter("lo <> hi").select("doc"), "several")
+    links = held = None
+    if not several.isEmpty():
+        # A document of several texts links their nodes as it carries one id.
+        held = named.filter("n > 0").join(several, "doc", "left_semi").select("doc", *DIGEST).distinct()
+        held = written(held.join(classes.select(*DIGEST, "node"), DIGEST).select("doc", "node"), "held")
+        links = held.join(held.groupBy("doc").agg(F.min("node").alias("a")), "doc").select("a", F.col("node").alias("b")).filter("a <> b")
+    comps = node_components(docs, classes, links, spec)
+    linked = written(classes.drop("sig", "th").join(comps, "node"), "linked-classes")
+    roots = linked.groupBy("comp").agg(F.min(F.struct("doc", *DIGEST)).alias("r"))
+    label = linked.join(roots, "comp").select("node", *DIGEST, F.col("r.doc").alias("root"), (F.struct(*[F.col(f"r.{c}") for c in DIGEST]) == F.struct(*DIGEST)).alias("first"))
+    own = classes.drop("sig", "th").join(label.select("node", "root", "first"), "node", "left")
+    own = own.select(*DIGEST, F.coalesce("root", "doc").alias("root"), F.coalesce("first", F.lit(True)).alias("first"))
+    named = named.join(own, DIGEST, "left")
+    if held is not None:  # a row without words goes with the others of its id
+        wordy = held.join(classes.select("node", *DIGEST), "node").join(own, DIGEST).groupBy("doc").agg(F.min("root").alias("of_doc"))
+        named = named.join(wordy, "doc", "left").withColumn("root", F.coalesce("root", "of_doc"))
+    root = F.coalesce("root", "doc")
+    kept = (F.col("doc") == root) & (F.lit(null_is_one) | (F.col("doc") != LAST_ID) | F.coalesce("first", F.lit(True)))
+    return named.select("doc", "th", "n", root.alias("root"), kept.alias("kept"))
+
+
+def near_groups(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
+    by_id = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
+    found = grouped(docs, spec, True)
+    return found.select(by_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), by_id("root").alias("component_id"), "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id."""
-    lost = near_groups(docs, spec).filter(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
+    """``docs`` with one document of each group, that of the smallest id; rows without an id go by their text."""
+    lost = grouped(docs, spec, False).filter(~F.col("kept"))
+    lost = lost.select(F.col("doc").alias("__lost"), F.when(F.col("doc") == LAST_ID, F.col("th")).otherwise(0).alias("__hash")).distinct()
     lost = written(lost, "lost")
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__lost")), "left_anti")
+    doc = F.coalesce(F.col("doc_id"), F.lit(LAST_ID)).cast("long")
+    text = F.when(doc == LAST_ID, F.xxhash64("text")).otherwise(0)
+    return docs.join(lost, (doc == F.col("__lost")) & (text == F.col("__hash")), "left_anti")

@@ -104,6 +104,25 @@ def test_drop_near_duplicates(spark):
     assert neardup.near_groups(frame(spark, [])).collect() == []
 
 
+def test_ids_repeated_with_different_texts(spark):
+    """Rows of one id link their texts; each text is compared as itself."""
+    rng = np.random.default_rng(11)
+    a, b, c, d, e = (" ".join(prose(rng, 80)) for _ in range(5))
+    near = lambda t: t + " tail"
+    rows = [(3, a), (7, a), (7, b), (9, b), (20, c), (20, d), (20, e), (20, ""), (31, near(c)), (33, near(d)), (35, near(e)), (50, " ".join(prose(rng, 80)))]
+    rows = [(i, t, "en") for i, t in rows]
+    x, other = (" ".join(prose(rng, 80)) for _ in range(2))
+    nulls = [(None, t, "en") for t in (near(a), x, x, near(x), other, "", None)]
+    for case in (rows, rows + nulls):
+        got = neardup.near_groups(frame(spark, case)).collect()
+        assert collections.Counter(tuple(r) for r in got) == brute_groups(case)
+    left = neardup.drop_near_duplicates(frame(spark, rows + nulls)).collect()
+    assert sorted({r.doc_id for r in left if r.doc_id is not None}) == [3, 20, 50]
+    none = collections.Counter(r.text for r in left if r.doc_id is None)
+    assert none.pop(x, 0) + 2 * none.pop(near(x), 0) == 2  # the rows of one of the two texts
+    assert none == collections.Counter([other, "", None])
+
+
 def test_superminhash_equals_sequential_form():
     mask = 2**64 - 1
 
