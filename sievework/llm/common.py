@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sievework.session import ensure_checkpoint_dir
 
@@ -29,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow schema of rows that ``mapInArrow`` returns under ``ddl``."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import contexttree, fingerprints, hamming, langid, linededup, mixing, neardup, packing, urltree, warc
+from sievework.llm import (
+    contexttree,
+    fingerprints,
+    hamming,
+    langid,
+    linededup,
+    mixing,
+    neardup,
+    packing,
+    repair,
+    simplex,
+    urltree,
+    warc,
+)
 from sievework.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +206,104 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archive(table(spark, sf_dir, "pages"), folder)
     back = warc.read_archive(spark, folder)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _op11_sql(rounds: int = 3) -> str:
+    """A common table expression for the assignment and for the centroids of every round."""
+    distance = "list_sum(list_transform(list_zip(k.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS (SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d := d, j := j)) AS best "
+            f"FROM (SELECT k.*, c.j, {distance} AS d FROM k CROSS JOIN c{r} AS c) GROUP BY row)"
+        )
+        if r < rounds:
+            steps.append(
+                f"m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS c FROM ("
+                f"SELECT best.j AS j, i, sum(v)::HUGEINT AS s, count(*) AS n FROM (SELECT best, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM a{r}) "
+                f"GROUP BY best.j, i) GROUP BY j)"
+            )
+            steps.append(f"c{r + 1} AS (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (j))")
+    last = f"a{rounds}"
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c
+  FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM k ORDER BY h, x LIMIT 16)),
+{", ".join(steps)}
+SELECT vec_id, best.j::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.j))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} AS c ON c.j = best.j
+"""
+
+
+@query("op11_centroid_clusters", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.report(simplex.cluster(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE
+crc AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+              ORDER BY n) AS tab FROM range(256) AS r(n)),
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+             lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS code
+  FROM conversations, crc),
+a AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role,
+         CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(CASE WHEN code = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM d WHERE code <> 0),
+f AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS k, left(role, 1) AS i,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+         coalesce(lag(left(role, 1)) OVER w || left(role, 1), 'su') NOT IN ('su', 'ua', 'au') AS odd
+  FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(role, 1), role, text, copy)),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal
+  FROM f GROUP BY conv_id),
+step(p, i, q) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(p, q, m) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (2, 3, 1), (3, 2, 1), (0, 3, 2), (1, 3, 2)),
+edit AS (
+  SELECT p, p AS q, NULL AS i, 2 AS cost, 'D' AS e FROM (VALUES (0), (1), (2), (3)) s(p)
+  UNION ALL SELECT p, q, i, 0, 'K' FROM step UNION ALL SELECT p, q, NULL, 1, 'R' FROM step WHERE i <> 's'),
+best AS (
+  SELECT conv_id, 0 AS k, q, lpad((5 * m)::VARCHAR, 9, '0') || repeat('I', m) AS cell FROM counts, ins WHERE p = 0
+  UNION ALL
+  SELECT f.conv_id, f.k, ins.q,
+         min(lpad((left(b.cell, 9)::INTEGER + edit.cost + CASE WHEN edit.e <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END + 5 * ins.m)::VARCHAR, 9, '0')
+             || substr(b.cell, 10) || edit.e || repeat('I', ins.m))
+  FROM best AS b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.k = b.k + 1
+  JOIN edit ON edit.p = b.q AND (edit.i IS NULL OR edit.i = f.i) AND (edit.e = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+  JOIN ins ON ins.p = edit.q
+  GROUP BY f.conv_id, f.k, ins.q),
+root AS (
+  SELECT c.conv_id, left(min(cell), 9)::BIGINT AS cost, substr(min(cell), 10) AS audit
+  FROM counts AS c JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM c.conv_id AND b.k = c.n AND b.q IN (0, 3) GROUP BY c.conv_id),
+walk AS (
+  SELECT conv_id, length(replace(audit, 'D', '')) AS size, e, length(replace(left(audit, pos), 'I', '')) AS k, length(replace(left(audit, pos - 1), 'D', '')) AS place
+  FROM (SELECT *, unnest(string_split(audit, '')) AS e, unnest(range(1, length(audit) + 1)) AS pos FROM root WHERE audit <> '')),
+fixed AS (
+  SELECT w.conv_id, string_agg(CASE WHEN e = 'K' THEN f.role WHEN (w.place - w.size % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END
+                               || ':' || CASE WHEN e = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY w.place) AS lines
+  FROM walk AS w LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k WHERE e <> 'D' GROUP BY w.conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS e LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN root AS r ON r.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN fixed AS x ON x.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
