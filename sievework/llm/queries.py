@@ -18,6 +18,7 @@ from sievework.llm import (
     packing,
     repair,
     simplex,
+    sitestyle,
     urltree,
     warc,
 )
@@ -244,6 +245,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simplex.report(simplex.cluster(table(spark, sf_dir, "embeddings")))
 
 
+@query("op12_main_text")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitestyle.extract(table(spark, sf_dir, "pages"))
+
+
 OP13_SQL = r"""
 WITH RECURSIVE
 crc AS (
