@@ -38,6 +38,7 @@ import hashlib
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -161,6 +162,7 @@ class Page:
         self.spec, self.noisy = spec, noisy
         root = _hash(0, host)
         self.stack = [_Open("", root, "", 0, 0, False, False, False)]
+        self.opened: Counter[str] = Counter()
         self.blocks: list[tuple[str, bool, int, int]] = []  # text, inside an article, characters, of them in links
         self._begin()
         at = 0
@@ -226,11 +228,15 @@ class Page:
     def _pop(self, size: int) -> None:
         if any(e.tag in BLOCK_TAGS for e in self.stack[size:]):
             self._end()
+        for e in self.stack[size:]:
+            self.opened[e.tag] -= 1
         del self.stack[size:]
 
     def _close(self, tag: str) -> None:
         if tag == "br":
             self._text(" ")
+        if not self.opened[tag]:
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at].tag == tag:
                 self._pop(at)
@@ -247,6 +253,8 @@ class Page:
                     self._pop(at)
                     break
         ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCK_TAGS else set())
+        if not any(self.opened[end] for end in ends):
+            return
         for at in range(len(self.stack) - 1, 0, -1):
             own = self.stack[at].tag
             if own in ends:
@@ -287,6 +295,7 @@ class Page:
                 self._child(up.node, node)
         if node in self.noisy and self.nodes[node].judged:
             noise = 2
+        self.opened[tag] += 1
         self.stack.append(_Open(tag, node, path, level, noise, main, flow, up.link or tag == "a"))
 
     # results
