@@ -333,16 +333,21 @@ class Repair:
 
         def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                out = []
                 for r in batch.to_pylist():
-                    out = list(_apply(r))
-                    if out:
+                    out += _apply(r)
+                    if len(out) >= 4 * PIECE:
                         yield pa.RecordBatch.from_pylist(out, schema)
-
-        edits = both.mapInArrow(expand, ddl)
-        texts = self.prepared.groupBy("key", "turn").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-        same = (edits["key"] == texts["key"]) & edits["turn"].eqNullSafe(texts["turn"])
-        return edits.join(texts, same, "left").select(
-            edits["conv"].alias("conv_id"), "place", "edit", edits["turn"], F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text")
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema)
+
+        # One key for both the aggregation and the join, so that texts are shuffled once.
+        row = F.concat("key", F.encode(F.coalesce(F.col("turn").cast("string"), F.lit("")), "UTF-8"))
+        edits = both.mapInArrow(expand, ddl).withColumn("row", row).drop("key")
+        texts = self.prepared.groupBy(row.alias("row")).agg(F.first("role").alias("role"), F.first("text").alias("text"))
+        return edits.join(texts, "row", "left").select(
+            F.col("conv").alias("conv_id"), "place", "edit", "turn", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text")
         )
 
 
