@@ -9,17 +9,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    OneVsRest,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +22,7 @@ from sievework.operators.encode import label_decode, label_dictionary, label_enc
 from sievework.operators.missing import fill_mean
 from sievework.operators.neighbors import classify_nearest
 from sievework.operators.schema import id_like_columns
+from sievework.operators.trees import Forest, TreeSpec, fit_forest
 from sievework.session import cut_lineage
 
 MAX_CLASSES = 50
@@ -112,38 +106,52 @@ def _as_double(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-#: What the models do if the caller says nothing: as many steps as it takes, grown-out trees.
+#: What the models do if the caller says nothing: as many steps as it takes.
 DEFAULTS = {
     "logistic_regression": {"maxIter": 1000},
     "svm_classifier": {"maxIter": 100},
-    "decision_tree_classifier": {"maxDepth": 30},
-    "decision_tree_regressor": {"maxDepth": 30},
-    "random_forest_classifier": {"numTrees": 100},
-    "random_forest_regressor": {"numTrees": 100},
 }
+TREES = ("decision_tree_classifier", "decision_tree_regressor", "random_forest_classifier", "random_forest_regressor")
+VECTOR_MODELS = ("knn_classifier", "adaboost", "lda")
 
 
 def estimator(name: str, **params):
-    """Depth of forests stays a parameter (5 if not given): full depth takes a pass per level."""
     params = DEFAULTS.get(name, {}) | params
     made = {
         "logistic_regression": LogisticRegression,
-        "decision_tree_classifier": DecisionTreeClassifier,
-        "random_forest_classifier": RandomForestClassifier,
         "naive_bayes": lambda **p: NaiveBayes(modelType="gaussian", **p),
         "svm_classifier": lambda **p: OneVsRest(classifier=LinearSVC(**p), parallelism=4),
         "linear_regression": LinearRegression,
-        "decision_tree_regressor": DecisionTreeRegressor,
-        "random_forest_regressor": RandomForestRegressor,
     }
     if name not in made:
         raise ValueError(f"unknown model: {name}")
     return made[name](**params)
 
 
+def tree_spec(name: str, slots: int, classes: int | None, seed: int, maxDepth: int | None = None, numTrees: int = 100, **params) -> TreeSpec:
+    """Trees are grown to their end unless ``maxDepth`` says otherwise; forests of classes look at
+    the square root of the features in each node, those of numbers at all."""
+    if name.startswith("decision_tree"):
+        return TreeSpec(classes=classes, max_depth=maxDepth, seed=seed, **params)
+    few = max(1, int(slots**0.5)) if classes else None
+    return TreeSpec(trees=numTrees, classes=classes, features=few, bootstrap=True, max_depth=maxDepth, seed=seed, **params)
+
+
+def fit_own(name: str, points: DataFrame, key: str, slots: int, classes: int | None, seed: int, **params):
+    """A model of this library on ``points`` (key, x, label)."""
+    if name in TREES:
+        return fit_forest(points, key, tree_spec(name, slots, classes, seed, **params))
+    if name == "adaboost":
+        return fit_boosted(points, **params)
+    if name == "lda":
+        return fit_discriminant(points)
+    return Nearest(cut_lineage(points.select(F.col(key).alias("id"), "x", "label")), **params)
+
+
 @dataclass
 class Trained:
-    """A fitted pipeline with what is needed to read its output."""
+    """A fitted pipeline with what is needed to read its output; ``final`` is a model of this
+    library after it, or None if the pipeline's last stage is the model."""
 
     model: PipelineModel
     problem: str
@@ -153,17 +161,27 @@ class Trained:
     doubles: list[str] = field(default_factory=list)
     target: str = ""
     description: str = ""
+    final: Forest | Boosted | Discriminant | Nearest | None = None
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction`` as a number and, where there is one, ``probability``."""
+        out = self.model.transform(df)
+        if self.final is None:
+            return out
+        x = vector_to_array("features") if self.slots else F.array().cast("array<double>")
+        return self.final.transform(out.select(*df.columns, x.alias("__x")), "__x").drop("__x")
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction`` and, for classes, ``probabilities`` by label where the model has them."""
-        out = self.model.transform(_as_double(df, self.doubles))
+        out = self.transform(_as_double(df, self.doubles))
         if self.problem != "classification":
             return out.select(*df.columns, F.col("prediction"))
         names = F.array(*[F.lit(str(v)) for v in self.labels])
         label = F.element_at(names, F.col("prediction").cast("int") + 1)
         cols = [*df.columns, label.alias("prediction")]
         if "probability" in out.columns:
-            cols.append(F.map_from_arrays(names, vector_to_array("probability")).alias("probabilities"))
+            shares = "probability" if self.final is not None else vector_to_array("probability")
+            cols.append(F.map_from_arrays(names, shares).alias("probabilities"))
         return out.select(*cols)
 
     def save(self, path: str) -> None:
@@ -174,6 +192,9 @@ class Trained:
             "problem": self.problem, "slots": self.slots, "labels": [str(v) for v in self.labels],
             "doubles": self.doubles, "target": self.target, "description": self.description,
         }
+        if self.final is not None:
+            meta["final"] = {"kind": self.final.kind, **self.final.meta()}
+            self.final.save(f"{path}/final")
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
         if self.metrics is not None:
             self.metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
@@ -182,9 +203,12 @@ class Trained:
     def load(spark, path: str, with_metrics: bool = True) -> Trained:
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         metrics = spark.read.parquet(f"{path}/metrics") if with_metrics else None
+        kinds = {c.kind: c for c in (Forest, Boosted, Discriminant, Nearest)}
+        own = meta.get("final")
         return Trained(
             PipelineModel.load(f"{path}/model"), meta["problem"], meta["slots"], meta["labels"], metrics,
             meta["doubles"], meta["target"], meta["description"],
+            kinds[own["kind"]].load(spark, f"{path}/final", own) if own else None,
         )
 
 
@@ -222,10 +246,16 @@ def train(
     rows = spread(rows.select(key, *numeric, *categorical, "label"), key)
     fit_rows, test_rows = split_rows(rows, key, test_share, seed)
     stages, slots = preprocessing(fit_rows, numeric, categorical)
-    fitted = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
-    scored = fitted.transform(test_rows).select(key, "label", "prediction")
-    metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
-    return Trained(fitted, problem, slots, labels, metrics, numeric, target, description)
+    trained = Trained(None, problem, slots, labels, None, numeric, target, description)
+    if model in TREES or model in VECTOR_MODELS:
+        trained.model = Pipeline(stages=stages).fit(fit_rows)
+        points = trained.model.transform(fit_rows).select(key, vector_to_array("features").alias("x"), "label")
+        trained.final = fit_own(model, points, key, len(slots), len(labels) or None, seed, **params)
+    else:
+        trained.model = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
+    scored = trained.transform(test_rows).select(key, "label", "prediction")
+    trained.metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
+    return trained
 
 
 # --- metrics ------------------------------------------------------------------------------
@@ -279,10 +309,10 @@ def regression_metrics(scored: DataFrame, label: str = "label", prediction: str
 
 
 def feature_importance(trained: Trained) -> DataFrame:
-    """(feature, importance) by slot name: tree importances, |coef|, or mean |coef| over classes."""
+    """(feature, importance) by slot name: tree importances, weights of stumps, |coef|, or mean |coef| over classes."""
     last = trained.model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        values = last.featureImportances.toArray()
+    if trained.final is not None:
+        values = trained.final.importance()
     elif hasattr(last, "models"):
         values = np.mean([np.abs(m.coefficients.toArray()) for m in last.models], axis=0)
     elif hasattr(last, "coefficientMatrix"):
@@ -302,10 +332,43 @@ def feature_importance(trained: Trained) -> DataFrame:
 class Boosted:
     """Weighted votes of one-split trees (SAMME): (slot, cut, class below, class above, weight)."""
 
-    def __init__(self, stumps: list[tuple[int, float, int, int, float]], classes: int):
-        self.stumps, self.classes = stumps, classes
+    kind = "boosted"
+
+    def __init__(self, stumps: list[tuple[int, float, int, int, float]], classes: int, slots: int = 0):
+        self.stumps, self.classes, self.slots = stumps, classes, slots
+
+    def importance(self) -> np.ndarray:
+        """Share of the votes' weight that each feature decides."""
+        values = np.zeros(self.slots)
+        for slot, *_, weight in self.stumps:
+            values[slot] += weight
+        return values / max(values.sum(), 1e-300)
+
+    def meta(self) -> dict:
+        return {"stumps": self.stumps, "classes": self.classes, "slots": self.slots}
+
+    def save(self, path: str) -> None:
+        """All is in the metadata."""
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, meta: dict) -> Boosted:
+        return Boosted([tuple(v) for v in meta["stumps"]], meta["classes"], meta["slots"])
+
+    def transform(self, df: DataFrame, x: str = "x") -> DataFrame:
+        """Adds ``prediction`` and ``probability``, the softmax of each class's votes against the others'."""
+        k, weight = self.classes, sum(v[4] for v in self.stumps) or 1.0
+        votes = F.array(*self._votes(x))
+        decided = F.transform(votes, lambda v: F.exp((v - (weight - v) / max(k - 1, 1)) / (weight * max(k - 1, 1))))
+        out = df.withColumn("__p", decided)
+        total = F.aggregate("__p", F.lit(0.0), lambda s, v: s + v)
+        return self.predict(out.withColumn("probability", F.transform("__p", lambda v: v / total)), x).drop("__p")
 
     def predict(self, df: DataFrame, x: str = "x") -> DataFrame:
+        sums = [F.struct(v.alias("v"), F.lit(-float(k)).alias("k")) for k, v in enumerate(self._votes(x))]
+        return df.withColumn("prediction", -F.array_max(F.array(*sums))["k"])
+
+    def _votes(self, x: str) -> list[Column]:
+        """Weight of the votes for every class."""
         col = F.col(x)
         votes = [
             (F.when(col[slot] < F.lit(cut), F.lit(below)).otherwise(F.lit(above)), weight)
@@ -316,8 +379,8 @@ class Boosted:
             total = F.lit(0.0)
             for vote, weight in votes:
                 total = total + F.when(vote == k, weight).otherwise(0.0)
-            sums.append(F.struct(total.alias("v"), F.lit(-float(k)).alias("k")))
-        return df.withColumn("prediction", -F.array_max(F.array(*sums))["k"])
+            sums.append(total)
+        return sums
 
 
 def fit_boosted(df: DataFrame, x: str = "x", label: str = "label", rounds: int = 50, bins: int = 64) -> Boosted:
@@ -371,22 +434,49 @@ def fit_boosted(df: DataFrame, x: str = "x", label: str = "label", rounds: int =
         formula = formula + F.when(vote != F.col("label"), alpha).otherwise(0.0)
         if err <= 1e-10:
             break
-    return Boosted(stumps, classes)
+    return Boosted(stumps, classes, slots)
 
 
 class Discriminant:
     """Linear scores from class means and the pooled covariance."""
 
-    def __init__(self, weights: np.ndarray, offsets: np.ndarray):
-        self.weights, self.offsets = weights, offsets
+    kind = "discriminant"
+
+    def __init__(self, weights: np.ndarray, offsets: np.ndarray, priors: np.ndarray):
+        self.weights, self.offsets, self.priors = weights, offsets, priors
+
+    def importance(self) -> np.ndarray:
+        """Mean over classes of |coefficient|, the coefficients taken about the overall mean."""
+        return np.abs(self.weights - self.priors @ self.weights).mean(axis=0)
+
+    def meta(self) -> dict:
+        return {"weights": self.weights.tolist(), "offsets": self.offsets.tolist(), "priors": self.priors.tolist()}
+
+    def save(self, path: str) -> None:
+        """All is in the metadata."""
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, meta: dict) -> Discriminant:
+        return Discriminant(np.array(meta["weights"]), np.array(meta["offsets"]), np.array(meta["priors"]))
+
+    def transform(self, df: DataFrame, x: str = "x") -> DataFrame:
+        """Adds ``prediction`` and ``probability``, the softmax of the scores."""
+        out = df.withColumn("__s", F.array(*[s["v"] for s in self._scores(x)]))
+        raised = F.transform("__s", lambda v: F.exp(v - F.array_max("__s")))
+        out = out.withColumn("__p", raised)
+        total = F.aggregate("__p", F.lit(0.0), lambda s, v: s + v)
+        return self.predict(out.withColumn("probability", F.transform("__p", lambda v: v / total)), x).drop("__s", "__p")
 
     def predict(self, df: DataFrame, x: str = "x") -> DataFrame:
+        return df.withColumn("prediction", -F.array_max(F.array(*self._scores(x)))["k"])
+
+    def _scores(self, x: str) -> list[Column]:
         scores = []
         for k, (w, b) in enumerate(zip(self.weights, self.offsets)):
             coef = F.array(*[F.lit(float(v)) for v in w])
             dot = F.aggregate(F.zip_with(F.col(x), coef, lambda a, c: a * c), F.lit(float(b)), lambda s, v: s + v)
             scores.append(F.struct(dot.alias("v"), F.lit(-float(k)).alias("k")))
-        return df.withColumn("prediction", -F.array_max(F.array(*scores))["k"])
+        return scores
 
 
 def fit_discriminant(df: DataFrame, x: str = "x", label: str = "label") -> Discriminant:
@@ -421,7 +511,35 @@ def fit_discriminant(df: DataFrame, x: str = "x", label: str = "label") -> Discr
     inverse = np.linalg.pinv(within)
     weights = mean @ inverse
     offsets = -0.5 * (weights * mean).sum(axis=1) + np.log(n / n.sum())
-    return Discriminant(weights, offsets)
+    return Discriminant(weights, offsets, n / n.sum())
+
+
+class Nearest:
+    """The training points of a nearest-neighbour classifier: id, x, label."""
+
+    kind = "nearest"
+
+    def __init__(self, points: DataFrame, k: int = 5, weights: str = "uniform"):
+        self.points, self.k, self.weights = points, k, weights
+
+    def importance(self) -> np.ndarray:
+        raise ValueError("this model has no feature importance")
+
+    def meta(self) -> dict:
+        return {"k": self.k, "weights": self.weights}
+
+    def save(self, path: str) -> None:
+        self.points.write.mode("overwrite").parquet(f"{path}/points")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, meta: dict) -> Nearest:
+        return Nearest(spark.read.parquet(f"{path}/points"), meta["k"], meta["weights"])
+
+    def transform(self, df: DataFrame, x: str = "x") -> DataFrame:
+        rows = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+        asked = rows.select(F.col("__row").alias("id"), F.col(x).alias("x"))
+        found = classify_nearest(self.points, asked, "label", self.k, self.weights).withColumnRenamed("id", "__row")
+        return rows.join(found.withColumn("prediction", F.col("prediction").cast("double")), "__row", "left").drop("__row")
 
 
 def train_vector_model(

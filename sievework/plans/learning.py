@@ -242,6 +242,29 @@ def _order_line(spark, sf_dir):
     return o, models.train(o, "o_orderkey", ["x"], "o_totalprice", "linear_regression")
 
 
+# One feature: a tree grown to its end gives every value of it a leaf of its own.
+
+
+@query(
+    "m10_tree_leaf_means",
+    f"""SELECT o_orderkey, round(m, 2) AS prediction FROM {_ORDERS_X} JOIN (SELECT x, avg(o_totalprice) AS m FROM {_ORDERS_X} WHERE {_BUCKET.format('o_orderkey')} >= 200 GROUP BY x) USING (x)""",
+)
+def tree_leaf_means(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", (F.col("o_custkey") % 97).cast("double").alias("x"))
+    return rounded(models.train(o, "o_orderkey", ["x"], "o_totalprice", "decision_tree_regressor").score(o).select("o_orderkey", "prediction"), 2)
+
+
+@query(
+    "m05_tree_leaf_classes",
+    f"""WITH r AS (SELECT o_orderkey, o_orderpriority AS c, (o_custkey % 97)::DOUBLE AS x FROM orders),
+    n AS (SELECT x, c, count(*) AS n FROM r WHERE {_BUCKET.format('o_orderkey')} >= 200 GROUP BY ALL)
+    SELECT o_orderkey, prediction FROM r JOIN (SELECT x, first(c ORDER BY n DESC, c) AS prediction FROM n GROUP BY x) USING (x)""",
+)
+def tree_leaf_classes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 97).cast("double").alias("x"))
+    return models.train(o, "o_orderkey", ["x"], "o_orderpriority", "decision_tree_classifier").score(o).select("o_orderkey", "prediction")
+
+
 @query("m14_batch_scoring_line", f"SELECT o_orderkey, round(a + b * x, 3) AS prediction FROM {_ORDERS_X}, {_ORDER_FIT.format(_ORDERS_X)}")
 def batch_scoring_line(spark, sf_dir):
     o, line = _order_line(spark, sf_dir)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import clustering, models, neighbors, selection
+from sievework.operators import clustering, models, neighbors, selection, trees
 
 
 def cloud(spark, n, dims, seed=0, hot=0.0):
@@ -188,3 +188,129 @@ def test_boosting_needs_several_stumps(spark):
     boosted = models.fit_boosted(df, rounds=20)
     assert len(boosted.stumps) > 1
     assert boosted.predict(df).where("prediction = label").count() >= 97
+
+
+# --- trees --------------------------------------------------------------------------------
+
+
+def plain_tree(x, y, w, classes):
+    """Predictions of a grown-out tree by recursion over single cuts."""
+
+    def loss(rows):
+        v = [w[r] * (np.eye(classes)[int(y[r])] if classes else np.array([1.0, y[r], y[r] ** 2])) for r in rows]
+        s, total = np.sum(v, axis=0), sum(w[r] for r in rows)
+        return total - (s**2).sum() / total if classes else s[2] - s[1] ** 2 / total
+
+    out = {}
+
+    def visit(rows):
+        cuts = []
+        if len({y[r] for r in rows}) > 1:
+            for j in range(x.shape[1]):
+                values = sorted({x[r, j] for r in rows})
+                for a, b in zip(values, values[1:]):
+                    left, right = [r for r in rows if x[r, j] <= a], [r for r in rows if x[r, j] > a]
+                    cuts.append((round(loss(left) + loss(right), 9), j, a, left, right))
+        if cuts:
+            *_, left, right = min(cuts, key=lambda c: c[:3])
+            visit(left)
+            visit(right)
+        else:
+            total = sum(w[r] for r in rows)
+            value = [sum(w[r] for r in rows if y[r] == k) / total for k in range(classes)] if classes else [sum(w[r] * y[r] for r in rows) / total]
+            out.update({r: value for r in rows})
+
+    visit(list(range(len(x))))
+    return np.array([out[r] for r in range(len(x))])
+
+
+@pytest.mark.parametrize("classes", [None, 3])
+def test_grown_tree_equals_recursion(classes):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60):
+        x = np.column_stack([rng.integers(0, 9, n), rng.random(n).round(1), np.ones(n)]).astype(float)
+        y = rng.integers(0, 3, n).astype(float) if classes else rng.normal(size=n).round(1)
+        w = rng.integers(1, 4, n).astype(float)
+        part = trees.grow(x, y, w, trees.TreeSpec(classes=classes), [1], None)
+        assert np.allclose(part.predict(x), plain_tree(x, y, w, classes))
+        assert np.allclose(trees.Part.read(part.blob()).predict(x), part.predict(x))
+
+
+def tree_rows(spark, n=4000, constant=False):
+    rng = np.random.default_rng(5)
+    data = []
+    for i in range(n):
+        a, b, c = (1.0 if constant else float(rng.integers(0, 40))), float(rng.normal()), float(rng.integers(0, 3))
+        data.append((i, [a, b, c], float(3 * a + b * c), float((a > 20) + (b > 0) * (c > 1))))
+    return spark.createDataFrame(data, "id long, x array<double>, y double, k double")
+
+
+@pytest.mark.parametrize(("label", "classes"), [("y", None), ("k", 3)])
+def test_histograms_above_and_exact_parts_below(spark, label, classes):
+    rows = tree_rows(spark)
+    spec = trees.TreeSpec(classes=classes, finish_rows=150)
+    forest = trees.fit_forest(rows, "id", spec, y=label)
+    assert forest.parts.count() > 20 and len(forest.tops[0].feature) > 40
+    scored = forest.transform(rows.withColumn("truth", F.col(label)))
+    assert scored.where(F.abs(F.col("prediction") - F.col("truth")) > 1e-9).count() == 0
+    whole = trees.fit_forest(rows, "id", trees.TreeSpec(classes=classes), y=label)
+    assert len(whole.tops[0].feature) == 1
+    assert np.allclose(forest.importance(), whole.importance(), atol=0.05)
+
+
+def test_large_nodes_of_equal_rows_end(spark):
+    rows = spark.range(1000).select("id", F.array(F.lit(1.0), (F.col("id") % 2).cast("double")).alias("x"), (F.col("id") % 4).cast("double").alias("label"))
+    forest = trees.fit_forest(rows, "id", trees.TreeSpec(finish_rows=100))
+    got = {tuple(r.x): r.prediction for r in forest.transform(rows).select("x", "prediction").distinct().collect()}
+    assert got == {(1.0, 0.0): 1.0, (1.0, 1.0): 2.0}
+
+
+def test_narrow_nodes_get_cuts_of_their_own(spark):
+    # One value holds nearly everything for the shared quantiles; the rest lies close together.
+    data = [(i, [0.0 if i % 20 else 1 + i * 1e-6], float(i // 100)) for i in range(4000)]
+    rows = spark.createDataFrame(data, "id long, x array<double>, label double")
+    forest = trees.fit_forest(rows, "id", trees.TreeSpec(finish_rows=20, bins=4))
+    off = forest.transform(rows.where("id % 20 = 0")).where(F.abs(F.col("prediction") - F.col("label")) > 1e-9)
+    assert off.count() == 0
+
+
+@pytest.mark.parametrize("shared", [0, 10**9])
+def test_forest_by_either_way(spark, shared, monkeypatch):
+    rows = tree_rows(spark, 1500)
+    spec = trees.TreeSpec(trees=12, classes=3, features=2, bootstrap=True, shared_bytes=shared, finish_rows=1000 if shared == 0 else 10**6)
+    forest = trees.fit_forest(rows, "id", spec, y="k")
+    small = {r.id: (r.prediction, r.probability) for r in forest.transform(rows).collect()}
+    monkeypatch.setattr(trees, "MODEL_BYTES", 0)
+    monkeypatch.setattr(trees, "CHUNK_ROWS", 100)
+    large = {r.id: (r.prediction, r.probability) for r in forest.transform(rows).collect()}
+    assert set(small) == set(large)
+    for i, (p, share) in small.items():
+        assert share == pytest.approx(large[i][1]) and sum(share) == pytest.approx(1.0)
+    truth = {r.id: r.k for r in rows.collect()}
+    assert np.mean([small[i][0] == truth[i] for i in truth]) > 0.98
+    again = trees.fit_forest(rows.repartition(7), "id", spec, y="k")
+    monkeypatch.undo()
+    assert {r.id: r.prediction for r in again.transform(rows).collect()} == {i: p for i, (p, _) in small.items()}
+
+
+def test_bootstrap_weights_are_poisson():
+    w = trees.bootstrap_weights(np.arange(200_000), 3, 42)
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+    assert (w != trees.bootstrap_weights(np.arange(200_000), 4, 42)).mean() > 0.5
+
+
+@pytest.mark.parametrize("name", ["decision_tree_classifier", "random_forest_classifier", "adaboost", "lda", "knn_classifier"])
+def test_every_model_is_saved_and_scored_alike(spark, name, tmp_path):
+    params = {"rounds": 10} if name == "adaboost" else {"numTrees": 10} if name.startswith("random") else {}
+    t = models.train(blobs(spark), "id", ["a", "b"], "colour", name, **params)
+    assert t.metrics.first()["accuracy"] > 0.97
+    t.save(str(tmp_path))
+    again = models.Trained.load(spark, str(tmp_path))
+    a, b = t.score(blobs(spark)).orderBy("id").collect(), again.score(blobs(spark)).orderBy("id").collect()
+    assert a == b and len(a) == 300
+    if name == "knn_classifier":
+        with pytest.raises(ValueError):
+            models.feature_importance(again)
+    else:
+        assert sum(a[0]["probabilities"].values()) == pytest.approx(1.0)
+        assert models.feature_importance(again).count() == 2
