@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.operators.timeseries import exponential_mean
+from sievework.functions.scans import Run, scan_series
+from sievework.operators.timeseries import exponential_mean, long_series, with_moving_mean
 from sievework.session import union_rows
 
 BROADCAST_ROWS = 1_000_000
@@ -49,11 +51,18 @@ def top_rows(df: DataFrame, by: str, n: int, key: str, ascending: bool = False)
 
 def rolling_mean(df: DataFrame, keys: Sequence[str], rows: int, name: str = "rolling") -> DataFrame:
     """Mean of the last ``rows`` points of a (keys, ts, value) series, NULL until there are enough."""
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(-(rows - 1), 0)
-    return df.withColumn(name, F.when(F.count("value").over(w) == rows, F.avg("value").over(w)))
+    return with_moving_mean(df, keys, rows, name)
 
 
 def lag_difference(df: DataFrame, keys: Sequence[str], name: str = "diff") -> DataFrame:
+    """Value less the value before it in its series."""
+    if long_series(df, keys):
+
+        def less_previous(run: Run) -> dict[str, np.ndarray]:
+            before = run.left[-1:] if len(run.left) else np.array([np.nan])
+            return {name: run.values - np.concatenate([before, run.values[:-1]])}
+
+        return scan_series(df, keys, "ts", "value", {name: "double"}, less_previous, before=1)
     w = Window.partitionBy(*keys).orderBy("ts")
     return df.withColumn(name, F.col("value") - F.lag("value").over(w))
 

@@ -2,19 +2,25 @@
 
 Raw rows are first reduced to one row per series and calendar bucket, with a map-side
 combine, so that even a series holding a third of all rows is then only as long as its
-calendar.  Windows and per-series folds run on that reduced table.
+calendar.  Windows run on that reduced table; a series that is long all the same is scanned
+in slices (``functions.scans``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.order_stats import grouped_quantiles
+from sievework.functions.scans import Run, centred_mean, exponential_means, moving_mean, scan_series
 from sievework.session import union_rows
 
+#: Points of one series that a window sorts in one task; longer ones are scanned in slices.
+WINDOW_ROWS = 1_000_000
+
 STEP = {"H": "1 hour", "D": "1 day", "W": "7 days", "M": "1 month", "Q": "3 months", "Y": "1 year"}
 
 
@@ -131,27 +137,13 @@ def decompose(
     the nearest ``period`` trend points.
     """
     keys = list(keys)
-    half = period // 2
-    w = _ordered(keys)
-    span = w.rowsBetween(-half, half)
-    weight_sum = F.sum("value").over(span)
-    if period % 2 == 0:
-        ends = F.lag("value", half).over(w) + F.lead("value", half).over(w)
-        smooth = (weight_sum - ends / 2) / period
-    else:
-        smooth = weight_sum / period
-    full = F.count("value").over(span) == 2 * half + 1
-    t = (
-        df.withColumn("_i", F.row_number().over(w) - 1)
-        .withColumn("trend", F.when(full, smooth))
-    )
+    t = _with_trend(df, keys, period)
     if extrapolate:
-        known = t.where("trend IS NOT NULL")
-        ranked = known.withColumn("_up", F.row_number().over(Window.partitionBy(*keys).orderBy("_i"))).withColumn(
-            "_down", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_i")))
-        )
+        known = with_position(t.where("trend IS NOT NULL"), keys, "_up")
+        counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_known"))
+        ranked = _join_back(known, counts, keys)
         # The line goes through the first (last) ``period`` trend points.
-        head, tail = F.col("_up") <= period, F.col("_down") <= period
+        head, tail = F.col("_up") < period, F.col("_up") >= F.col("_known") - period
         fit = []
         for tag, part in (("h", head), ("t", tail)):
             y, x = F.when(part, F.col("trend")), F.when(part, F.col("_i").cast("double"))
@@ -178,6 +170,27 @@ def decompose(
     return out.select(*keys, "ts", "value", "trend", "seasonal", rest.alias("residual"))
 
 
+def _with_trend(df: DataFrame, keys: list[str], period: int) -> DataFrame:
+    """Adds position ``_i`` and the centred moving average ``trend``."""
+    half = period // 2
+    if long_series(df, keys):
+
+        def parts(run: Run) -> dict[str, np.ndarray]:
+            return {"_i": run.position + np.arange(len(run.values)), "trend": centred_mean(run, period)}
+
+        return scan_series(df, keys, "ts", "value", {"_i": "long", "trend": "double"}, parts, before=half, after=half)
+    w = _ordered(keys)
+    span = w.rowsBetween(-half, half)
+    weight_sum = F.sum("value").over(span)
+    if period % 2 == 0:
+        ends = F.lag("value", half).over(w) + F.lead("value", half).over(w)
+        smooth = (weight_sum - ends / 2) / period
+    else:
+        smooth = weight_sum / period
+    full = F.count("value").over(span) == 2 * half + 1
+    return df.withColumn("_i", F.row_number().over(w) - 1).withColumn("trend", F.when(full, smooth))
+
+
 def _join_back(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Null-safe join on the keys that keeps the left column names; with no key, one row right."""
     extra = [c for c in right.columns if c not in keys]
@@ -206,9 +219,28 @@ def _history_and_future(history: DataFrame, future: DataFrame) -> DataFrame:
 def forecast_sma(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 10, window: int = 3) -> DataFrame:
     """Moving average of the last ``window`` points, flat after the end."""
     keys = list(keys)
-    span = _ordered(keys).rowsBetween(-(window - 1), 0)
-    fit = F.when(F.count("value").over(span) == window, F.avg("value").over(span))
-    return _flat_forecast(df.withColumn("fitted", fit), keys, freq, periods)
+    return _flat_forecast(with_moving_mean(df, keys, window, "fitted"), keys, freq, periods)
+
+
+def with_moving_mean(df: DataFrame, keys: Sequence[str], rows: int, name: str) -> DataFrame:
+    """Mean of the last ``rows`` points of a (keys, ts, value) series, NULL until there are enough."""
+    if long_series(df, keys):
+        return scan_series(df, keys, "ts", "value", {name: "double"}, lambda run: {name: moving_mean(run, rows)}, before=rows - 1)
+    w = _ordered(keys).rowsBetween(-(rows - 1), 0)
+    return df.withColumn(name, F.when(F.count("value").over(w) == rows, F.avg("value").over(w)))
+
+
+def with_position(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Adds the number of points of the series before each one."""
+    if long_series(df, keys):
+        return scan_series(df, keys, "ts", "value", {name: "long"}, lambda run: {name: run.position + np.arange(len(run.values))})
+    return df.withColumn(name, (F.row_number().over(_ordered(keys)) - 1).cast("long"))
+
+
+def long_series(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether some series has more points than one window task should sort."""
+    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (top or 0) > WINDOW_ROWS
 
 
 def _flat_forecast(fitted: DataFrame, keys: list[str], freq: str, periods: int) -> DataFrame:
@@ -229,29 +261,18 @@ def forecast_ema(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 1
 def exponential_mean(df: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
     """Adds ``fitted``: weights (1 - alpha)^age over the known values so far, scaled to sum to one.
 
-    A fold over the date-ordered, calendar-sized points of a series; a missing value ages the
-    others and shows their mean.
+    A linear recurrence scanned over slices of the sorted series; a missing value ages the others
+    and shows their mean.
     """
-    points = F.array_sort(F.collect_list(F.struct("ts", F.col("value").cast("double").alias("value"))))
-    series = df.groupBy(*keys).agg(points.alias("_p"))
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("weight"), F.array().cast("array<double>").alias("fitted"))
-    keep = F.lit(1.0 - alpha)
-
-    def step(s: Column, p: Column) -> Column:
-        total = s["sum"] * keep + F.coalesce(p["value"], F.lit(0.0))
-        weight = s["weight"] * keep + p["value"].isNotNull().cast("double")
-        return F.struct(total.alias("sum"), weight.alias("weight"), F.concat(s["fitted"], F.array(F.try_divide(total, weight))).alias("fitted"))
-
-    fitted = F.aggregate("_p", start, step, lambda s: s["fitted"])
-    return series.select(*keys, F.inline(F.arrays_zip(F.col("_p"), fitted.alias("fitted")))).select(
-        *keys, F.col("_p.ts").alias("ts"), F.col("_p.value").alias("value"), "fitted"
-    )
+    keep = 1.0 - alpha
+    rows = df.select(*keys, "ts", F.col("value").cast("double").alias("value"))
+    return scan_series(rows, keys, "ts", "value", {"fitted": "double"}, lambda run: {"fitted": exponential_means(run, keep)}, keep=keep)
 
 
 def forecast_linear(df: DataFrame, keys: Sequence[str], freq: str, periods: int = 10) -> DataFrame:
     """Least-squares line on the position of the point, continued after the end."""
     keys = list(keys)
-    t = df.withColumn("_i", (F.row_number().over(_ordered(keys)) - 1).cast("double"))
+    t = with_position(df, keys, "_i").withColumn("_i", F.col("_i").cast("double"))
     lines = t.groupBy(*keys).agg(
         F.regr_slope("value", "_i").alias("_s"), F.regr_intercept("value", "_i").alias("_c"), F.max("_i").alias("_n")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from sievework.functions import scans
 from sievework.operators import encode, joins, timeseries as ts
 from sievework.operators.customer import add_segment
 from sievework.plans.registry import query, rounded, table
@@ -96,6 +98,33 @@ def rolling_lag_smoothed(spark, sf_dir):
     return rounded(joins.lag_difference(joins.rolling_mean(d, ["event_type"], 7), ["event_type"]), 4)
 
 
+@query(
+    "j09_raw_series_scan",
+    """WITH e AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events),
+    s AS (SELECT a.event_id, sum(b.value * pow(0.5, a.i - b.i)) / sum(pow(0.5, a.i - b.i)) AS smoothed FROM e a JOIN e b ON b.i BETWEEN a.i - 80 AND a.i GROUP BY 1)
+    SELECT event_id, i AS "position", round(CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END, 4) AS rolling, round(value - lag(value) OVER o, 4) + 0.0 AS diff,
+      round(CASE WHEN count(*) OVER c = 7 THEN avg(value) OVER c END, 4) AS centred, round(smoothed, 4) AS smoothed FROM e JOIN s USING (event_id)
+    WINDOW o AS (ORDER BY i), w AS (ORDER BY i ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), c AS (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""",
+)
+def raw_series_scan(spark, sf_dir):
+    """All events as one series, never in one task."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "value")
+
+    def parts(run):
+        before = run.left[-1:] if len(run.left) else np.array([np.nan])
+        return {
+            "position": run.position + np.arange(len(run.values)),
+            "rolling": scans.moving_mean(run, 7),
+            "diff": run.values - np.concatenate([before, run.values[:-1]]),
+            "centred": scans.centred_mean(run, 7),
+            "smoothed": scans.exponential_means(run, 0.5),
+        }
+
+    kinds = {"position": "long", "rolling": "double", "diff": "double", "centred": "double", "smoothed": "double"}
+    out = scans.scan_series(events, [], "ts", "value", kinds, parts, before=6, after=3, keep=0.5, tie="event_id")
+    return rounded(out.drop("ts", "value"), 4)
+
+
 @query(
     "j10_row_functions",
     """SELECT l_orderkey, l_linenumber, l_linenumber + 6 AS rfm_score, CASE WHEN l_linenumber + 6 >= 13 THEN 'Champions' WHEN l_linenumber + 6 >= 10 THEN 'Loyal Customers' WHEN l_linenumber + 6 >= 7 THEN 'Potential Loyalists'
