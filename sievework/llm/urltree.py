@@ -5,10 +5,14 @@
    more than ``max_children`` different segments and it is rare itself, with fewer than
    ``few_pages`` pages and fewer than ``few_labels`` labels: the rare children of such a node are
    one wildcard branch, the others keep their names. Paths are followed to their end.
-2. Sibling branches are merged if they are statistically alike: siblings of equal counts are one;
-   then, by rising share of bad labels, each is compared with all merged before it. Their smoothed
-   shares may differ, on the arcsine scale, by ``alike`` standard deviations of the two compared.
-   A sibling without labels merges with none and has the share of its host.
+2. Sibling branches are merged if they are statistically alike. If the labels of a place are spread
+   over its siblings as chance would spread them (Pearson's statistic at most ``alike`` deviations
+   above its mean), all are one branch. Else a sibling is distinct if its own share, on the arcsine
+   scale, is more than ``alike`` standard deviations from that of all the others of the place
+   together; what is not distinct is one branch, however its single labels fell. Distinct siblings
+   come by rising share, and one joins the branch before it unless the two differ by more than that;
+   a sibling is always tested with its own labels, never with those of others like it. A sibling
+   without labels merges with none and has the share of its host.
 3. The bad share of a merged template is smoothed towards that of its host, which is smoothed
    towards that of all labelled pages. A template is rejected if its good share, the purity, is
    below ``purity``.
@@ -16,8 +20,8 @@
 A hand-written rule list comes before the tree: the longest rule that fits decides.
 
 Pages are reduced to the distinct shapes of their paths before the tree is built; the one join
-with pages is by host and shape and can be split where one of them has many rows. A null url, or one without ``://``, has an empty host and path
-and one template of its own. Labels of pages that do not exist are ignored; several labels of a
+with pages is by host and shape and can be split where one of them has many rows. A null url, or one
+without ``://``, has an empty host and path and one template of its own. Labels of pages that do not exist are ignored; several labels of a
 page all count.
 """
 
@@ -137,16 +141,33 @@ def judge(rows: DataFrame, spec: TreeSpec = TreeSpec()) -> DataFrame:
     )
 
 
-def alike_branches(equal: DataFrame, spec: TreeSpec) -> DataFrame:
-    """host, parent, n, b, k, branch; ``equal`` has k siblings of n labels, b of them bad, and p1.
+def _angle(n: Column, b: Column, p1: Column, w: float) -> Column:
+    """On the scale 2 asin(sqrt(p)) the standard deviation of a share of n labels is 1 / sqrt(n)."""
+    return 2 * F.asin(F.sqrt(F.least(F.lit(1.0), (b + w * p1) / (n + w))))
 
-    Siblings come by rising share. One joins the branch before it if the two differ by at most
-    ``alike`` standard deviations of their difference, else it begins a branch.
-    """
+
+def distinct_siblings(equal: DataFrame, spec: TreeSpec) -> DataFrame:
+    """``equal`` with ``distinct``: whether a sibling differs from the others of an uneven place."""
+    w = spec.weight
+    n, b, k = F.col("n"), F.col("b"), F.col("k")
+    place = equal.groupBy("host", "parent").agg(F.sum(k * n).alias("pn"), F.sum(k * b).alias("pb"), F.sum(k).alias("pk"))
+    rows = equal.join(place, ["host", "parent"])
+    p = F.col("pb") / F.col("pn")
+    spread = rows.groupBy("host", "parent").agg(F.sum(F.try_divide(k * (b - n * p) * (b - n * p), n * p * (1 - p))).alias("spread"))
+    free = F.col("pk") - 1
+    uneven = F.coalesce(F.col("spread"), F.lit(0.0)) > free + spec.alike * F.sqrt(2 * free)
+    others = (F.col("pn") - n, F.col("pb") - b)
+    apart = F.abs(_angle(n, b, F.col("p1"), w) - _angle(*others, F.col("p1"), w))
+    own = apart > spec.alike * F.sqrt(1 / (n + w) + 1 / (others[0] + w))
+    return rows.join(spread, ["host", "parent"]).select(*equal.columns, (uneven & own).alias("distinct"))
+
+
+def alike_branches(equal: DataFrame, spec: TreeSpec) -> DataFrame:
+    """host, parent, n, b, k, branch; ``equal`` has k siblings of n labels, b of them bad, and p1."""
     w, alike = spec.weight, spec.alike
+    marked = written(distinct_siblings(equal, spec), "siblings")
 
     def angle(n: int, b: int, p1: float) -> float:
-        # On the scale 2 asin(sqrt(p)) the standard deviation of a share of n labels is 1 / sqrt(n).
         return 2 * math.asin(math.sqrt(min(1.0, (b + w * p1) / (n + w))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,20 +175,21 @@ def alike_branches(equal: DataFrame, spec: TreeSpec) -> DataFrame:
         for batch in batches:
             found = []
             for host, parent, n, b, k, p1 in zip(*(c.to_pylist() for c in batch.columns)):
-                n, b = n * k, b * k
                 if (host, parent) != place:
-                    place, branch, mn, mb = (host, parent), 0, n, b
+                    place, branch, mn, mb = (host, parent), 1, n * k, b * k
                 elif abs(angle(n, b, p1) - angle(mn, mb, p1)) <= alike * math.sqrt(1 / (n + w) + 1 / (mn + w)):
-                    mn, mb = mn + n, mb + b
+                    mn, mb = mn + n * k, mb + b * k
                 else:
-                    branch, mn, mb = branch + 1, n, b
+                    branch, mn, mb = branch + 1, n * k, b * k
                 found.append(branch)
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.int64())], [*batch.schema.names[:5], "branch"])
 
-    share = (F.col("k") * F.col("b") + w * F.col("p1")) / (F.col("k") * F.col("n") + w)
-    rows = equal.select("host", "parent", "n", "b", "k", "p1", share.alias("share"))
+    share = (F.col("b") + w * F.col("p1")) / (F.col("n") + w)
+    rows = marked.filter("distinct").select("host", "parent", "n", "b", "k", "p1", share.alias("share"))
     rows = rows.repartition("host", "parent").sortWithinPartitions("host", "parent", "share", "n", "b")
-    return rows.drop("share").mapInArrow(run, "host string, parent string, n long, b long, k long, branch long")
+    found = rows.drop("share").mapInArrow(run, "host string, parent string, n long, b long, k long, branch long")
+    rest = marked.filter("not distinct").select("host", "parent", "n", "b", "k", F.lit(0).cast("long").alias("branch"))
+    return found.unionAll(rest)
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], spec: TreeSpec = TreeSpec()) -> DataFrame:

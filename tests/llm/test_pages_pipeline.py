@@ -4,7 +4,9 @@ import base64
 import collections
 import hashlib
 import json
+import math
 import os
+import random
 import re
 
 import pytest
@@ -140,6 +142,76 @@ def test_deep_paths_keep_their_verdicts(spark):
     assert got[5000][0] == "/a" * 3000
 
 
+def plain_verdicts(places, w=5.0, alike=2.0, purity=0.5):
+    """{(host, place, sibling): (purity, verdict)} of {(host, place): {sibling: (n, b)}} by loops."""
+    every = [c for s in places.values() for c in s.values()]
+    overall = (sum(b for _, b in every) + 0.5) / (sum(n for n, _ in every) + 1)
+    out = {}
+    for (host, place), siblings in places.items():
+        own = [c for (h, _), s in places.items() if h == host for c in s.values()]
+        p1 = (sum(b for _, b in own) + w * overall) / (sum(n for n, _ in own) + w)
+
+        def angle(n, b, p1=p1):
+            return 2 * math.asin(math.sqrt(min(1.0, (b + w * p1) / (n + w))))
+
+        def differ(x, y, angle=angle):
+            return abs(angle(*x) - angle(*y)) > alike * math.sqrt(1 / (x[0] + w) + 1 / (y[0] + w))
+
+        seen = {s: c for s, c in siblings.items() if c[0]}
+        n, b = sum(c[0] for c in seen.values()), sum(c[1] for c in seen.values())
+        p = b / n if n else 0
+        spread = sum((c[1] - c[0] * p) ** 2 / (c[0] * p * (1 - p)) for c in seen.values()) if 0 < p < 1 else 0
+        uneven = spread > len(seen) - 1 + alike * math.sqrt(2 * (len(seen) - 1))
+        apart = [s for s, c in seen.items() if uneven and differ(c, (n - c[0], b - c[1]))]
+        branches = [[s for s in seen if s not in apart]]
+        for s in sorted(apart, key=lambda s: ((seen[s][1] + w * p1) / (seen[s][0] + w), seen[s])):
+            # Siblings of equal counts are one class: they come in one go.
+            pool = [sum(seen[m][i] for m in branches[-1]) for i in (0, 1)]
+            equal = len(branches) > 1 and seen[branches[-1][-1]] == seen[s]
+            if len(branches) > 1 and (equal or not differ(seen[s], pool)):
+                branches[-1].append(s)
+            else:
+                branches.append([s])
+        for members in [*branches, *[[s] for s in siblings if s not in seen]]:
+            mn, mb = sum(siblings[m][0] for m in members), sum(siblings[m][1] for m in members)
+            good = 1 - (mb + w * p1) / (mn + w)
+            out.update({(host, place, m): (good, "block" if good < purity else "allow") for m in members})
+    return out
+
+
+def test_single_labels_do_not_judge_their_own_page(spark):
+    """48 sibling leaves with one label each, every third bad: the labels fall as chance would have it."""
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    rows = [(i, f"http://a.net/x/{name(i)}", None) for i in range(48)]
+    got = urltree.filter_urls(pages(spark, rows), spark.createDataFrame([(i, i % 3 == 0) for i in range(48)], "page_id long, bad boolean"), []).collect()
+    assert {(r.verdict, round(r.purity, 2)) for r in got} == {("allow", 0.67)}
+
+
+def test_branches_equal_a_plain_version(spark):
+    rng = random.Random(5)
+    places = {}
+    for host in ("a.net", "b.org"):
+        for place in "pqrstuv":
+            kind = rng.choice(["even", "light", "mixed"])
+            siblings = {}
+            for i in range(rng.choice([1, 2, 5, 20])):
+                n = rng.choice([0, 1, 1, 2]) if kind == "light" else rng.choice([1, 8, 8, 60, 400])
+                share = 0.3 if kind == "even" else rng.choice([0.1, 0.15, 0.7])
+                siblings[chr(97 + i // 26) + chr(97 + i % 26)] = (n, sum(rng.random() < share for _ in range(n)))
+            places[host, place] = siblings
+    rows, labels = [], []
+    for (host, place), siblings in places.items():
+        for s, (n, b) in siblings.items():
+            rows.append((len(rows), f"http://{host}/{place}/{s}", None))
+            labels += [(len(rows) - 1, i < b) for i in range(n)]
+    got = urltree.filter_urls(pages(spark, rows), spark.createDataFrame(labels, "page_id long, bad boolean"), []).collect()
+    want = plain_verdicts(places)
+    assert len({p for p, _ in want.values()}) > 10
+    for r in got:
+        _, place, s = r.path.split("/")
+        assert (r.purity, r.verdict) == (pytest.approx(want[r.host, place, s][0]), want[r.host, place, s][1])
+
+
 # --- archives ----------------------------------------------------------------------------
 
 HTML = "<html>" + "line of text é\n" * 50
