@@ -15,9 +15,9 @@ The index is cut by hash into blocks of about ``block_rows`` codes and the queri
 block meets every chunk in a group of bounded size, which returns the best k only. Vectors that are
 equal share one entry with their k + 1 smallest ids; no other copy can be among k results.
 
-Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do those
-of another length than the most frequent one. Rows of one id are searched one by one; an id that is
-a query is not its own result. Ties go to the smaller id.
+Vectors that are null, empty, zero or hold a null or non-finite component take no part. Vectors of
+one length are an index of their own: a query meets the vectors of its length. Rows of one id are
+searched one by one; an id that is a query is not its own result. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -99,8 +99,6 @@ def usable(vectors: DataFrame, asked: Column, id_col: str, vector_col: str) -> D
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), asked.alias("asked"))
     whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & (F.size(v) > 0) & whole & F.exists(v, lambda x: x != 0))
-    common = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size(v) == (common[0] if common else 0))
     # Scaled by the largest component first, so that no square over- or underflows.
     top = F.array_max(F.transform(v, F.abs))
     rows = rows.withColumn("unit", F.transform(v, lambda x: x / top))
@@ -158,10 +156,15 @@ def _search(index: pd.DataFrame, asked: pd.DataFrame, codes: Codes, radius: int,
 def search(vectors: DataFrame, asked: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", spec: IndexSpec = IndexSpec()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine for each row where ``asked`` holds."""
     rows = written(usable(vectors, asked, id_col, vector_col), "vectors")
-    spark = rows.sparkSession
-    total = rows.count()
-    if total == 0:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    counts = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("total"), F.count_if("asked").alias("queries"))
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sorted(counts.filter("queries > 0").collect()):
+        found = found.unionAll(_search_length(rows.filter(F.size("vector") == r.n), r.total, k, spec))
+    return found
+
+
+def _search_length(rows: DataFrame, total: int, k: int, spec: IndexSpec) -> DataFrame:
+    """The results among ``total`` vectors of one length."""
     codes = fit(rows, k, spec)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +178,11 @@ def search(vectors: DataFrame, asked: Column, k: int = 5, id_col: str = "vec_id"
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
         return df.mapInArrow(encode, f"{schema}, code binary")
 
-    # Copies: of each vector the k + 1 smallest ids; the limit also works before the shuffle.
+    # Copies: of each vector the k + 1 smallest distinct ids; the limit also works before the shuffle.
     same = [F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit("vector"), F.col("vector")).alias("h2")]
-    copies = rows.select(*same, "id", "unit").withColumn("at", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
+    copies = rows.select(*same, "id", "unit").dropDuplicates(["h1", "h2", "id"]).withColumn("at", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id")))
     entries = copies.filter(F.col("at") <= k + 1).groupBy("h1", "h2").agg(
-        F.first("unit").alias("unit"), F.array_distinct(F.array_sort(F.collect_list("id"))).alias("ids")
+        F.first("unit").alias("unit"), F.array_sort(F.collect_list("id")).alias("ids")
     )
     entries = written(encoded(entries.select("unit", "ids")), "index")
     queries = rows.filter("asked").withColumn("number", F.monotonically_increasing_id())
