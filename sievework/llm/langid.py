@@ -177,7 +177,8 @@ def _vote(x: np.ndarray, classes: list[str], pairs: dict[tuple[str, str], np.nda
 
 
 def predict(docs: DataFrame, model: LangModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two more columns; only ``text`` is looked at."""
+    """``docs`` with two more columns, which replace others of their names; only ``text`` is looked at."""
+    docs = docs.drop(lang, score)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
