@@ -16,8 +16,8 @@ from sievework.llm.common import written
 
 
 #: Languages to keep, None for all that could be learned; and the score below which no learned
-#: language claims a text. Of the given documents held out from learning the lowest has 0.37, text
-#: of two languages; votes that contradict each other give less than 0.3.
+#: language claims a text. Of 51,282 given documents the lowest has 0.37, of those held out from
+#: learning 0.41: texts of two languages.
 LANGUAGES: tuple[str, ...] | None = None
 LEAST_SCORE = 0.3
 
