@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,27 +80,86 @@ def parse_datetime(c: str | Column, pattern: str | None = None) -> Column:
 
 _ISO = r"^\d{4}-\d{1,2}(-\d{1,2}.*)?$"
 
-# Date forms of common texts, each also with hours and minutes or with seconds.
+# Date forms of common texts, each also with a time of day behind it.
 COMMON_FORMS = (
     "MM/dd/yyyy", "yyyy/MM/dd", "MM/dd/yy",
+    "MM-dd-yyyy", "MM.dd.yyyy", "yyyy.MM.dd", "yyyyMMdd",
     "dd-MMM-yyyy", "dd-MMMM-yyyy", "dd-MMM-yy", "dd-MMMM-yy",
     "dd MMM yyyy", "dd MMMM yyyy",
     "MMM dd, yyyy", "MMMM dd, yyyy", "MMM dd yyyy", "MMMM dd yyyy",
 )
 
+LONGEST = 64
+#: Date, then hours, minutes, perhaps seconds with a fraction, perhaps AM or PM.
+_TIMED = r"^(.*\S)\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d{1,9})?))?(?:\s?([AaPp])[Mm])?$"
+
+
+def _shape(text: Column) -> Column:
+    """What a date form can be told by: runs of digits by length (8: D, 4: y, 1 or 2: 9), words by length."""
+    shape = F.translate(text, "0123456789", "9" * 10)
+    shape = F.regexp_replace(F.regexp_replace(shape, "[A-Za-z]{4,}", "L"), "[A-Za-z]{3}", "m")
+    for run, sign in (("9" * 8, "D"), ("9" * 4, "y"), ("99", "9")):
+        shape = F.replace(shape, F.lit(run), F.lit(sign))
+    return shape
+
+
+def _shape_of_form(form: str) -> str:
+    signs = {"yyyyMMdd": "D", "yyyy": "y", "yy": "9", "MMMM": "L", "MMM": "m", "MM": "9", "dd": "9"}
+    return re.sub("yyyyMMdd|y+|M+|d+", lambda m: signs[m.group()], form)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once; a chain of conditions would repeat it in every branch."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _by_shape(text: Column, shape: Column) -> Column:
+    out = F
+    for form in COMMON_FORMS:
+        pattern = _lenient(form) if form != "yyyyMMdd" else form
+        ts = F.try_to_timestamp(text, F.lit(pattern))
+        if form.startswith("MM") and form[2] in "/-.":
+            swapped = F.try_to_timestamp(text, F.lit(pattern.replace("M", "#").replace("d", "M").replace("#", "d")))
+            ts = F.when(F.substring_index(text, form[2], 1).try_cast("int") > 12, swapped).otherwise(ts)
+        if "yyyy" not in form:
+            # Two digits mean 1969 to 2068.
+            ts = F.when(F.year(ts) > 2068, ts - F.make_ym_interval(F.lit(100))).otherwise(ts)
+        out = out.when(shape == _shape_of_form(form), ts.cast("timestamp_ntz"))
+    return out
+
+
+def _date_of(text: Column) -> Column:
+    """Midnight of the date that ``text`` names in one of the common forms; a weekday in front is left out.
+
+    Numbers are month, day; where the first is above 12, day, month.
+    """
+    comma = F.instr(text, ",")
+    weekday = _shape(F.left(text, comma)).isin("m,", "L,")
+    bare = F.when((comma > 0) & weekday, F.ltrim(F.substr(text, comma + 1))).otherwise(text)
+    return _let(bare, lambda t: _let(_shape(t), lambda shape: _by_shape(t, shape)))
+
 
 def parse_datetime_any(c: str | Column) -> Column:
-    """ISO text, then the first of the common forms whose shape fits; any date column as it is.
+    """ISO text, then the common form that the text's shape belongs to; any date column as it is.
 
-    The branch is chosen by shape alone, so a text is parsed once.
+    The form is looked up by shape, so a text meets one parser; a time of day is read apart from it.
+    No common form is longer than ``LONGEST`` bytes.
     """
     c = F.col(c) if isinstance(c, str) else c
-    text = c.cast("string")
-    out = F.when(text.rlike(_ISO), parse_datetime(c))
-    for form in COMMON_FORMS:
-        for time in ("", " HH:mm", " HH:mm:ss"):
-            out = out.when(text.rlike(date_shape(form + time)), parse_datetime(text, form + time))
-    return out
+    text = F.trim(c.cast("string"))
+    timed = F.contains(text, F.lit(":"))
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _TIMED, i)
+
+    hour, minute = part(2).try_cast("int"), part(3).try_cast("int")
+    second = F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("decimal(18,6)"))
+    half = F.lower(part(5))
+    hour = F.when(half == "", F.when(hour < 24, hour)).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
+    clock = F.when((minute < 60) & (second < 60), F.make_dt_interval(F.lit(0), hour, minute, second))
+    date = _date_of(F.when(timed, part(1)).otherwise(text))
+    common = F.when(F.octet_length(text) <= LONGEST, F.when(timed, date + clock).otherwise(date))
+    return F.when(c.cast("string").rlike(_ISO), parse_datetime(c)).otherwise(common)
 
 
 # Coefficients of Acklam's published rational approximation of the inverse

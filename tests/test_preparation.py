@@ -18,6 +18,31 @@ def test_nan_becomes_null(spark):
     assert col(nan_to_null(df), "v") == [None, None, 4.0]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("12/1/2010 8:26 PM", dt.datetime(2010, 12, 1, 20, 26)),
+        ("12/1/2010 12:05 am", dt.datetime(2010, 12, 1, 0, 5)),
+        ("01/05/2024 10:00:00.5", dt.datetime(2024, 1, 5, 10, 0, 0, 500000)),
+        ("05.01.2024", dt.datetime(2024, 5, 1)),
+        ("2024.01.05", dt.datetime(2024, 1, 5)),
+        ("20240105", dt.datetime(2024, 1, 5)),
+        ("13/01/2024", dt.datetime(2024, 1, 13)),
+        ("31-12-2024 23:59", dt.datetime(2024, 12, 31, 23, 59)),
+        ("Thu, 05 Jan 2024", dt.datetime(2024, 1, 5)),
+        ("Thursday, September 5, 2024", dt.datetime(2024, 9, 5)),
+        ("05-01-2024", dt.datetime(2024, 5, 1)),
+        ("13/13/2024", None),
+        ("01/05/2024 25:00", None),
+        ("01/05/2024 13:00 PM", None),
+        ("12:30", None),
+        ("2", None),
+    ],
+)
+def test_common_date_texts(spark, text, want):
+    assert spark.createDataFrame([(text,)], "d string").select(parse_datetime_any("d")).first()[0] == want
+
+
 def test_names(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`Unit Price` int, `unit price` int, x int")
     assert schema.with_unique_names(schema.standardise_names(df)).columns == ["unit_price", "unit_price_1", "x"]
