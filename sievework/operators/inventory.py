@@ -242,7 +242,12 @@ def price_grid(df: DataFrame, keys: Sequence[str], base_demand: Value, base_pric
 
 
 def price_optimum(df: DataFrame, keys: Sequence[str], base_demand: Value, base_price: Value, unit_cost: Value, a: float = -2.0, b: float = 0.5, points: int = 200) -> DataFrame:
-    """Price of highest profit, the lowest such price on ties: one row per row, without a shuffle."""
+    """Price of highest profit, the lowest such price on ties: one row per row, without a shuffle.
+
+    Profit is a multiple of (price / p0)^b * (price - cost), which turns only where price is
+    b * cost / (b + 1): the best of the grid is one of its ends or beside that turning point (or
+    beside price 0, where the curve ends if the base price is negative).
+    """
     p0, low = _c(base_price), F.greatest(F.lit(0.01), _c(base_price) * 0.1)
 
     def point(step: Column) -> Column:
@@ -250,7 +255,13 @@ def price_optimum(df: DataFrame, keys: Sequence[str], base_demand: Value, base_p
         demand = _c(base_demand) * F.exp(F.lit(float(a)) + F.lit(float(b)) * F.ln(F.try_divide(price, p0)))
         return F.struct(((price - _c(unit_cost)) * demand).alias("profit"), (-step).alias("s"), price.alias("price"), demand.alias("demand"))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), point))
+    def beside(price: Column) -> list[Column]:
+        at = F.floor(F.try_divide((price - low) * (points - 1), p0 * 2 - low))
+        return [F.greatest(F.lit(0), F.least(F.lit(points - 1), at + i)).cast("int") for i in (-1, 0, 1, 2)]
+
+    turn = F.try_divide(_c(unit_cost) * float(b), F.lit(float(b) + 1))
+    steps = [F.lit(0), F.lit(points - 1), *beside(turn), *beside(F.lit(0.0))]
+    best = F.array_max(F.array(*[point(s) for s in steps]))
     return df.select(*keys, best.alias("_b")).select(
         *keys, F.col("_b.price").alias("price"), F.col("_b.demand").alias("quantity"), F.col("_b.profit").alias("profit"), F.lit(float(b)).alias("elasticity")
     )

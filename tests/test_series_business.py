@@ -154,6 +154,15 @@ def test_price_optimum_is_the_grid_maximum(spark):
     assert best["profit"] == pytest.approx(max(r["profit"] for r in grid))
 
 
+@pytest.mark.parametrize("b", [-3.0, -1.5, -1.0, -0.4, 0.0, 0.5])
+def test_price_optimum_of_every_elasticity(spark, b):
+    data = [(i, d, p, c) for i, (d, p, c) in enumerate([(100.0, 10.0, 5.0), (7.0, 3.0, 2.9), (9.0, 20.0, 0.0), (5.0, 4.0, 11.0), (0.0, 8.0, 2.0), (3.0, -6.0, 1.0)])]
+    df = spark.createDataFrame(data, "sku int, d double, p double, c double")
+    best = {r.sku: r.profit for r in inv.price_optimum(df, ["sku"], "d", "p", "c", -2.0, b).collect()}
+    grid = inv.price_grid(df, ["sku"], "d", "p", "c", -2.0, b).groupBy("sku").agg({"profit": "max"}).collect()
+    assert best == pytest.approx({r[0]: r[1] for r in grid}, nan_ok=True)
+
+
 def test_shelf_space_default_case(spark):
     df = spark.createDataFrame([(1, 4000.0, 2500.0, 2000.0, 2.0, 3.0, 6.0)], "t int, d0 double, d1 double, d2 double, m0 double, m1 double, m2 double")
     effects = ((0.2, 0.2, 0.1), (0.2, 0.3, -0.2), (0.1, -0.2, 0.4))
