@@ -190,6 +190,23 @@ def test_boosting_needs_several_stumps(spark):
     assert boosted.predict(df).where("prediction = label").count() >= 97
 
 
+def test_boosting_rounds_cost_the_same(spark):
+    # Rows are packed once and a round counts blocks of them, not a row per feature; the plan of a
+    # prediction does not grow with the stumps.
+    data = [(i, [float(i % 7), float(i % 11)], (i % 7 + i % 11) % 3) for i in range(400)]
+    df = spark.createDataFrame(data, "id int, x array<double>, label int")
+    packed = models._packed_bins(df.coalesce(1), [[1.0, 3.0], [5.0]])
+    assert packed.count() == 1
+    cells = models._weighted_cells(packed, [np.zeros((3, 3)), np.log(2) * np.ones((2, 3))]).collect()
+    want = sum(2.0 for _, x, k in data if x[0] >= 3 and k == 1)
+    assert sum(r["w"] for r in cells if (r["slot"], r["code"], r["label"]) == (0, 2, 1)) == pytest.approx(want)
+    plans = []
+    for n in (1, 40):
+        many = models.Boosted([(i % 2, float(i % 5), 0, 2, 1.0 + i) for i in range(n)], 3, 2)
+        plans.append(len(many.predict(df)._jdf.queryExecution().optimizedPlan().toString()))
+    assert plans[1] < plans[0] + 100
+
+
 # --- trees --------------------------------------------------------------------------------
 
 
