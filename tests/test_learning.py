@@ -36,6 +36,35 @@ def test_nearest_join_with_fewer_donors_than_k(spark):
     assert neighbors.nearest_join(queries, donors, 5).count() == 6
 
 
+def test_nearest_join_of_wide_points_and_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    donors, d = cloud(spark, 300, 12, 1, 0.4)
+    queries, q = cloud(spark, 70, 12, 2)
+    both, all_q = queries.union(donors.where("id < 30").selectExpr("id + 1000", "x")), np.concatenate([q, d[:30]])
+    got = {}
+    for r in neighbors.nearest_join(both, donors, 3).collect():
+        got.setdefault(r["query_id"] if r["query_id"] < 1000 else r["query_id"] - 930, {})[r["rank"]] = (r["donor_id"], r["dist"])
+    dist = np.sqrt(((all_q[:, None] - d[None]) ** 2).sum(axis=2))
+    for i in range(len(all_q)):
+        want = np.lexsort((np.arange(len(d)), dist[i].round(12)))[:3].tolist()
+        assert [got[i][k][0] for k in (1, 2, 3)] == want
+        assert [got[i][k][1] for k in (1, 2, 3)] == pytest.approx(dist[i][want].tolist())
+
+
+def test_regions_stay_small_however_many_points():
+    # The number of regions grows with the points, so a query never meets more than about a block.
+    x = np.random.default_rng(3).normal(size=(400_000, 4))
+    regions = neighbors._Regions(x[::16], len(x), 5)
+    sizes = np.bincount(regions.own(x))
+    assert sizes.max() < 2 * neighbors.BLOCK and sizes[sizes > 0].min() >= 5
+    q = x[:500]
+    rows, cell = regions.within(q, np.full(500, 0.05))
+    at = regions.own(x)
+    for i in range(0, 500, 50):
+        near = np.flatnonzero(((x - q[i]) ** 2).sum(axis=1) <= 0.05**2)
+        assert set(at[near]) <= set(cell[rows == i])
+
+
 def test_nearest_fill(spark):
     data = [(1, 1.0, 10.0, "a"), (2, 2.0, 20.0, "a"), (3, 3.0, None, None), (4, 4.0, 40.0, "b"), (5, None, None, "a"), (6, None, 20.0, "a")]
     df = spark.createDataFrame(data, "id int, a double, b double, c string")
