@@ -339,6 +339,22 @@ def test_forest_by_either_way(spark, shared, monkeypatch):
     assert {r.id: r.prediction for r in again.transform(rows).collect()} == {i: p for i, (p, _) in small.items()}
 
 
+def test_rows_travel_packed(spark):
+    # One row per part and batch instead of one per tree and row, and all drawn rows are in them.
+    rows = tree_rows(spark, 3000).coalesce(1).select(F.xxhash64("id").alias("h"), "x", F.col("k").alias("y"))
+    spec = trees.TreeSpec(trees=5, classes=3, features=2, bootstrap=True)
+    tops = [trees.Top() for _ in range(5)]
+    for top in tops:
+        top.split(0, 0, 20.0)
+    packed = trees._routed_blobs(rows, tops, 3, spec).collect()
+    assert len(packed) == 10
+    h = rows.toArrow().column("h").to_numpy()
+    drawn = sum(int((trees.row_weights(h, t, spec) > 0).sum()) for t in range(5))
+    assert sum(len(r["w"]) for r in packed) == drawn and sum(len(r["x"]) for r in packed) == drawn * 3 * 8
+    x = np.frombuffer(packed[0]["x"], dtype=float).reshape(-1, 3)
+    assert len({bool(v) for v in x[:, 0] <= 20.0}) == 1
+
+
 def test_bootstrap_weights_are_poisson():
     w = trees.bootstrap_weights(np.arange(200_000), 3, 42)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
