@@ -179,6 +179,13 @@ class _Regions:
             rows, at = rows[keep], at[keep]
         return np.concatenate([r for r, _ in found] or [rows]), np.concatenate([c for _, c in found] or [at])
 
+    def visits(self, x: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``within`` finds, for so few rows at once that memory holds even if each reaches every region."""
+        step = max(1, 1_000_000 // len(self.feature))
+        for s in range(0, len(x), step):
+            rows, cell = self.within(x[s : s + step], bound[s : s + step])
+            yield rows + s, cell
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -378,13 +385,14 @@ def _search_regions(asked: DataFrame, members: DataFrame, k: int, n: int) -> Dat
             if batch.num_rows == 0:
                 continue
             x = _matrix(batch.column("x"))
-            rows, cell = regions.value.within(x, batch.column("bound").to_numpy())
-            # A point that is no number is near nothing.
-            more = (cell != batch.column("cell").to_numpy()[rows]) & ~np.isnan(x).any(axis=1)[rows]
-            rows, cell = rows[more], cell[more]
-            for s in range(0, len(rows), 50_000):
-                part = batch.select(["query_id", "x", "bound"]).take(pa.array(rows[s : s + 50_000]))
-                yield part.append_column("cell", pa.array(cell[s : s + 50_000].astype(np.int32)))
+            own, numbers = batch.column("cell").to_numpy(), ~np.isnan(x).any(axis=1)
+            for rows, cell in regions.value.visits(x, batch.column("bound").to_numpy()):
+                # A point that is no number is near nothing.
+                more = (cell != own[rows]) & numbers[rows]
+                rows, cell = rows[more], cell[more]
+                for s in range(0, len(rows), 50_000):
+                    part = batch.select(["query_id", "x", "bound"]).take(pa.array(rows[s : s + 50_000]))
+                    yield part.append_column("cell", pa.array(cell[s : s + 50_000].astype(np.int32)))
 
     more = first.select("query_id", "x", "cell", "bound").mapInArrow(visit, T.StructType([fields["query_id"], fields["x"], T.StructField("bound", T.DoubleType()), fields["cell"]]))
     second = _flat_search(*parted(cut_lineage(more)), keys, k, blocks)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +67,21 @@ def test_regions_stay_small_however_many_points():
         assert set(at[near]) <= set(cell[rows == i])
 
 
+def test_far_queries_visit_regions_in_bounded_memory():
+    x = np.random.default_rng(3).uniform(size=(20_000, 2))
+    regions = neighbors._Regions(x, 2_000 * neighbors.BLOCK, 5)
+    far, bound = np.full((3_000, 2), 50.0), np.full(3_000, 100.0)
+    leaves = int((regions.feature < 0).sum())
+    assert leaves > 1_000
+    tracemalloc.start()
+    seen = np.zeros(len(far), dtype=np.int64)
+    for rows, _ in regions.visits(far, bound):
+        seen += np.bincount(rows, minlength=len(far))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (seen == leaves).all() and peak < 200e6
+
+
 def test_nearest_fill(spark):
     data = [(1, 1.0, 10.0, "a"), (2, 2.0, 20.0, "a"), (3, 3.0, None, None), (4, 4.0, 40.0, "b"), (5, None, None, "a"), (6, None, 20.0, "a")]
     df = spark.createDataFrame(data, "id int, a double, b double, c string")
