@@ -7,7 +7,9 @@ the distances are one numpy calculation that returns the few rows that matter, n
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -579,17 +581,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, min_points: int = 5) -> DataFrame:
-    """Add ``cluster``: 0, 1, ... by smallest member key, or -1 for noise.
-
-    A point with at least ``min_points`` rows within ``eps`` (itself included) is a core point;
-    core points within eps share a cluster; other points join the first cluster in reach.
-    Equal points are merged first, so a mass of copies is one weighted point.
-    """
-    dims = len(cols)
-    x = F.array(*[F.col(c).cast("double") for c in cols])
-    rows = df.withColumn("_x", x)
-    points = cut_lineage(rows.groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("id")))
+def _block_components(points: DataFrame, eps: float, min_points: int, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(id, comp) of core points and of the points at their border, from blocks of all points in reach."""
     id_type = points.schema["id"].dataType
     h, v = _ball_blocks(points, eps, dims)
     keys = ["cell", "_hs", "_vs"]
@@ -631,6 +624,124 @@ def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float =
         .groupBy(F.col("a").alias("id"))
         .agg(F.min("comp").alias("comp"))
     )
+    return comps, border
+
+
+def _squared(parts: Iterable[Column]) -> Column:
+    """Sum of squares, in the order of ``_distances``."""
+    return reduce(lambda a, b: a + b, [p * p for p in parts])
+
+
+def _apart(a: Column, b: Column, dims: int) -> Column:
+    return _squared(a[j] - b[j] for j in range(dims))
+
+
+def _to_box(x: Column, low: Column, high: Column, dims: int) -> Column:
+    return _squared(F.greatest(low[j] - x[j], x[j] - high[j], F.lit(0.0)) for j in range(dims))
+
+
+def _grid_points(points: DataFrame, eps: float, dims: int) -> DataFrame | None:
+    """Finite points with ``cell``, whose points are all within eps of each other; points in reach are at
+    most two cells apart. None if that can not be: in many columns, far from zero, or if keys repeat."""
+    if dims > 3 or not eps > 0:
+        return None
+    side = eps / dims**0.5 * (1 - 1e-6)
+    finite = points.where(reduce(lambda a, b: a & b, [F.abs(F.col("x")[j]) < float("inf") for j in range(dims)]))
+    ends = finite.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.max(F.greatest(F.lit(0.0), *[F.abs(F.col("x")[j]) for j in range(dims)])).alias("far")
+    ).first()
+    if ends["n"] == 0 or ends["ids"] < ends["n"] or ends["far"] >= side * 2**30:
+        return None
+    return finite.withColumn("cell", F.array(*[F.floor(F.col("x")[j] / side) for j in range(dims)]))
+
+
+def _cells_around(rows: DataFrame, dims: int) -> DataFrame:
+    """Every row once for each other cell that can hold a point in reach."""
+    steps = [s for s in product(range(-2, 3), repeat=dims) if any(s)]
+    shifts = F.explode(F.array(*[F.array(*[F.lit(v).cast("bigint") for v in s]) for s in steps])).alias("_s")
+    moved = rows.select("*", shifts)
+    return moved.withColumn("cell", F.array(*[F.col("cell")[j] + F.col("_s")[j] for j in range(dims)]))
+
+
+def _grid_components(points: DataFrame, eps: float, min_points: int, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(id, comp) of core points and of the points at their border, from cells of the grid.
+
+    All points of a cell of ``min_points`` rows are core points; only the few points of smaller cells
+    are counted. Core points of a cell are linked; two cells are linked by the outermost points of each
+    in every direction, and only if those leave it open by the points that can be in reach.
+    """
+    limit2 = eps * eps
+    reach2 = limit2 * (1 + 1e-9)
+    box = [F.array(*[f(F.col("x")[j]) for j in range(dims)]).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+    cells = cut_lineage(points.groupBy("cell").agg(F.sum("w").alias("cell_w"), *box))
+    points = cut_lineage(points.join(cells.select("cell", "cell_w"), "cell"))
+    few = F.col("cell_w") < min_points
+
+    # Rows within eps of the points of small cells.
+    asked = _cells_around(points.where(few).select(F.col("id").alias("guest"), F.col("x").alias("gx"), "cell"), dims)
+    near = asked.join(cells, "cell").where(_to_box(F.col("gx"), F.col("low"), F.col("high"), dims) <= reach2)
+    farthest = _squared(F.greatest(F.abs(F.col("gx")[j] - F.col("low")[j]), F.abs(F.col("gx")[j] - F.col("high")[j])) for j in range(dims))
+    near = cut_lineage(near.select("guest", "gx", "cell", "cell_w", (farthest <= limit2 * (1 - 1e-9)).alias("whole")))
+    single = near.where("NOT whole").select("guest", "gx", "cell").join(points.select("cell", "x", "w"), "cell")
+    single = single.where(_apart(F.col("gx"), F.col("x"), dims) <= limit2).select("guest", F.col("w").alias("n"))
+    counts = union_rows([near.where("whole").select("guest", F.col("cell_w").alias("n")), single]).groupBy(F.col("guest").alias("id")).agg(F.sum("n").alias("n"))
+    small = points.where(few).join(counts, "id", "left")
+    is_core = F.col("cell_w") + F.coalesce("n", F.lit(0)) >= min_points
+    small = cut_lineage(small.select("id", "x", "cell", is_core.alias("core")))
+    cores = cut_lineage(union_rows([points.where(~few).select("id", "x", "cell"), small.where("core").select("id", "x", "cell")]))
+
+    # Cells that hold core points, with the outermost in each direction.
+    ways = [v for v in product((-1, 0, 1), repeat=dims) if any(v)]
+    tips = [F.max_by("x", reduce(lambda a, b: a + b, [F.col("x")[j] * float(s) for j, s in enumerate(v) if s])) for v in ways]
+    held = cores.groupBy("cell").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), *box, F.array_distinct(F.array(*tips)).alias("tips"))
+    held = cut_lineage(held)
+    half = F.filter(F.col("_s"), lambda v: v != 0)[0] > 0
+    a = _cells_around(held.select(*[F.col(c).alias(f"{c}_a") for c in held.columns], "cell"), dims).where(half)
+    pair = a.join(held, "cell")
+    gap = _squared(F.greatest(F.col("low")[j] - F.col("high_a")[j], F.col("low_a")[j] - F.col("high")[j], F.lit(0.0)) for j in range(dims))
+    touch = F.exists("tips_a", lambda p: F.exists("tips", lambda q: _apart(p, q, dims) <= limit2))
+    pair = cut_lineage(pair.where(gap <= reach2).withColumn("touch", touch))
+    all_seen = (F.col("n_a") <= F.size("tips_a")) & (F.col("n") <= F.size("tips"))
+    undecided = pair.where(~F.col("touch") & ~all_seen)
+    keys = ["rep_a", "rep"]
+    left = undecided.select(*keys, F.col("cell_a").alias("cell"), "low", "high").join(cores, "cell")
+    left = left.where(_to_box(F.col("x"), F.col("low"), F.col("high"), dims) <= reach2).select(*keys, "id", "x")
+    right = undecided.select(*keys, "cell", "low_a", "high_a").join(cores, "cell")
+    right = right.where(_to_box(F.col("x"), F.col("low_a"), F.col("high_a"), dims) <= reach2).select(*keys, F.col("x").alias("y"))
+    parts = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))
+    left = left.join(parts, keys).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    right = right.join(parts, keys).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    met = left.join(right, [*keys, "_p"]).where(_apart(F.col("x"), F.col("y"), dims) <= limit2).select(*keys)
+    edges = union_rows([pair.where("touch").select(*keys), met]).toDF("a", "b")
+    labels = connected_components(edges, held.select(F.col("rep").alias("id")))
+    held = cut_lineage(held.join(labels.withColumnRenamed("id", "rep"), "rep").select("cell", "comp", "n", "low", "high", "tips"))
+    comps = cut_lineage(cores.join(held.select("cell", "comp"), "cell").select("id", "comp"))
+
+    # Other points of small cells take the first cluster in reach.
+    rest = small.where("NOT core").select("id", F.col("x").alias("gx"), "cell")
+    own = rest.join(held.select("cell", "comp"), "cell").select("id", "comp")
+    seen = _cells_around(rest, dims).join(held, "cell").where(_to_box(F.col("gx"), F.col("low"), F.col("high"), dims) <= reach2)
+    hit = F.exists("tips", lambda q: _apart(F.col("gx"), q, dims) <= limit2)
+    seen = cut_lineage(seen.select("id", "gx", "cell", "comp", (F.col("n") <= F.size("tips")).alias("all_seen"), hit.alias("hit")))
+    tried = seen.where("NOT hit AND NOT all_seen").select("id", "gx", "cell", "comp").join(cores.select("cell", "x"), "cell")
+    tried = tried.where(_apart(F.col("gx"), F.col("x"), dims) <= limit2).select("id", "comp")
+    border = union_rows([own, seen.where("hit").select("id", "comp"), tried]).groupBy("id").agg(F.min("comp").alias("comp"))
+    return comps, border
+
+
+def density_clusters(df: DataFrame, key: str, cols: Sequence[str], eps: float = 0.5, min_points: int = 5) -> DataFrame:
+    """Add ``cluster``: 0, 1, ... by smallest member key, or -1 for noise.
+
+    A point with at least ``min_points`` rows within ``eps`` (itself included) is a core point;
+    core points within eps share a cluster; other points join the first cluster in reach.
+    Equal points are merged first, so a mass of copies is one weighted point.
+    """
+    dims = len(cols)
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    rows = df.withColumn("_x", x)
+    points = cut_lineage(rows.groupBy(F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("id")))
+    grid = _grid_points(points, eps, dims)
+    comps, border = _block_components(points, eps, min_points, dims) if grid is None else _grid_components(grid, eps, min_points, dims)
     named = union_rows([comps, border])
     codes = label_dictionary(comps, "comp").withColumnRenamed("code", "cluster")
     labels = points.join(named, "id", "left").join(codes, "comp", "left").select(

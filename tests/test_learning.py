@@ -121,6 +121,37 @@ def test_density_clusters_equal_brute_force(spark, monkeypatch, dims, eps, hot):
     assert [r["cluster"] for r in got] == brute_dbscan(x, eps, 5).tolist()
 
 
+@pytest.mark.parametrize("dims,n,eps,min_points", [(1, 500, 0.01, 3), (2, 700, 0.1, 4), (2, 700, 0.12, 20), (2, 500, 0.3, 1), (3, 500, 0.4, 6)])
+def test_density_grid_equals_brute_force(spark, monkeypatch, dims, n, eps, min_points):
+    monkeypatch.setattr(neighbors, "BLOCK", 3)
+    monkeypatch.delattr(neighbors, "_ball_blocks")
+    points, x = cloud(spark, n, dims, 11, 0.02)
+    df = points.select("id", *[F.col("x")[j].alias(f"c{j}") for j in range(dims)])
+    got = neighbors.density_clusters(df, "id", [f"c{j}" for j in range(dims)], eps, min_points).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == brute_dbscan(x, eps, min_points).tolist()
+
+
+def test_density_clusters_of_crowded_points_do_not_meet_in_pairs(spark, monkeypatch):
+    monkeypatch.delattr(neighbors, "_ball_blocks")
+    rng = np.random.default_rng(5)
+    # Two crowded squares 0.2 apart with one point between them, a far one, and one of no place.
+    x = np.concatenate([rng.uniform(0, 1, (20_000, 2)), rng.uniform(0, 1, (20_000, 2)) + [1.2, 0], [[1.1, 0.5], [9.0, 9.0]]])
+    data = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(len(x), float("nan"), 0.0), (len(x) + 1, None, 0.0)]
+    df = spark.createDataFrame(data, "id bigint, a double, b double")
+    got = {r["id"]: r["cluster"] for r in neighbors.density_clusters(df, "id", ["a", "b"], 0.08, 5).collect()}
+    assert all(got[i] == int(i >= 20_000) for i in range(40_000))
+    assert [got[i] for i in range(40_000, 40_004)] == [-1, -1, -1, -1]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e9])
+def test_density_clusters_far_away_or_with_repeated_keys(spark, offset):
+    x = [0.0, 0.25, 0.5, 5.0, 5.25, 9.0]
+    df = spark.createDataFrame([(i // (1 if offset else 2), offset + v) for i, v in enumerate(x)], "id bigint, a double")
+    got = {r["a"] - offset: r["cluster"] for r in neighbors.density_clusters(df, "id", ["a"], 0.3, 2).collect()}
+    want = dict(zip(x, [0, 0, 0, 1, 1, -1])) if offset else None
+    assert len(got) == len(x) and (want is None or got == want)
+
+
 def test_connected_components_of_a_path(spark, rows):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a bigint, b bigint")
     nodes = spark.createDataFrame([(i,) for i in [*range(41), 100, 101, 200]], "id bigint")
