@@ -27,6 +27,8 @@ from sievework.operators.trees import Forest, TreeSpec, fit_forest
 from sievework.session import cut_lineage
 
 MAX_CLASSES = 50
+#: Beyond these rows one class after the other is fitted: each fit keeps its own copy of the rows in memory.
+PARALLEL_ROWS = 10_000_000
 
 
 def _bucket(key: str, seed: int) -> Column:
@@ -244,17 +246,24 @@ def train(
         rows = rows.withColumn("label", label)
     else:
         rows = rows.withColumn("label", F.col(target).cast("double"))
-    rows = spread(rows.select(key, *numeric, *categorical, "label"), key)
-    fit_rows, test_rows = split_rows(rows, key, test_share, seed)
+    own = model in TREES or model in VECTOR_MODELS
+    # The passes of a fit neither read the key nor take its digest again.
+    held = (_bucket(key, seed) < round(test_share * 1000)).alias("__held")
+    rows = rows.select(key, *numeric, *categorical, "label", held).repartition(F.col(key))
+    rows = cut_lineage(rows if own else rows.drop(key))
+    fit_rows, test_rows = rows.where("NOT __held").drop("__held"), rows.where("__held").drop("__held")
     stages, slots = preprocessing(fit_rows, numeric, categorical)
     trained = Trained(None, problem, slots, labels, None, numeric, target, description)
-    if model in TREES or model in VECTOR_MODELS:
+    if own:
         trained.model = Pipeline(stages=stages).fit(fit_rows)
         points = trained.model.transform(fit_rows).select(key, vector_to_array("features").alias("x"), "label")
         trained.final = fit_own(model, points, key, len(slots), len(labels) or None, seed, **params)
     else:
-        trained.model = Pipeline(stages=[*stages, estimator(model, **params)]).fit(fit_rows)
-    scored = trained.transform(test_rows).select(key, "label", "prediction")
+        last = estimator(model, **params)
+        if isinstance(last, OneVsRest) and fit_rows.count() > PARALLEL_ROWS:
+            last.setParallelism(1)
+        trained.model = Pipeline(stages=[*stages, last]).fit(fit_rows)
+    scored = trained.transform(test_rows).select("label", "prediction")
     trained.metrics = classification_metrics(scored) if problem == "classification" else regression_metrics(scored)
     return trained
 
