@@ -169,21 +169,17 @@ def blobs(spark, n=300):
     return spark.createDataFrame(data, "id bigint, a double, b double, colour string, mark string, y double")
 
 
-def test_large_sets_fit_one_class_after_the_other(spark, monkeypatch, rows):
+def test_passes_of_a_fit_read_neither_key_nor_digest(spark, monkeypatch):
     fit, seen = models.Pipeline.fit, []
 
     def spy(self, df, *args):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
-        seen.append((self.getStages()[-1].getParallelism(), "id" in df.columns, "md5" in plan))
+        seen.append(("id" in df.columns, "md5" in plan))
         return fit(self, df, *args)
 
     monkeypatch.setattr(models.Pipeline, "fit", spy)
-    df = blobs(spark)
-    small = models.train(df, "id", ["a", "b"], "colour", "svm_classifier")
-    monkeypatch.setattr(models, "PARALLEL_ROWS", 10)
-    large = models.train(df, "id", ["a", "b"], "colour", "svm_classifier")
-    assert seen == [(4, False, False), (1, False, False)]
-    assert rows(small.metrics) == rows(large.metrics)
+    trained = models.train(blobs(spark), "id", ["a", "b"], "colour", "svm_classifier")
+    assert seen == [(False, False)] and trained.metrics.first()["accuracy"] > 0.95
 
 
 @pytest.mark.parametrize("name", ["logistic_regression", "decision_tree_classifier", "random_forest_classifier", "naive_bayes", "svm_classifier"])
