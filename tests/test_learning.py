@@ -1,9 +1,12 @@
+import os
+import time
 import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sievework import session
 from sievework.operators import clustering, models, neighbors, selection, trees
 
 
@@ -416,6 +419,49 @@ def test_rows_travel_packed(spark):
     assert len({bool(v) for v in x[:, 0] <= 20.0}) == 1
 
 
+@pytest.mark.parametrize(("label", "classes"), [("k", 3), ("y", None)])
+def test_rows_go_to_a_few_trees_at_a_time(spark, label, classes, monkeypatch, tmp_path):
+    # Rows times trees are never on disk at once, nor are all parts of a large forest; scores, gains and files are the same.
+    rows = tree_rows(spark, 1500)
+    spec = trees.TreeSpec(trees=5, classes=classes, features=2, bootstrap=True, shared_bytes=0, finish_rows=1000)
+    whole = trees.fit_forest(rows, "id", spec, y=label)
+    sent, routed = [], trees._routed_blobs
+
+    def noted(data, tops, d, spec, which):
+        sent.append(list(which))
+        return routed(data, tops, d, spec, which)
+
+    monkeypatch.setattr(trees, "_routed_blobs", noted)
+    monkeypatch.setattr(trees, "ROUND_BYTES", 2 * (trees._grown_bytes(1500, 3, spec) + 1500 * (8 * 3 + 8 * (classes or 1) + 8)))
+    forest = trees.fit_forest(rows, "id", spec, y=label)
+    assert not sent
+    a, b = ({r.id: (r.prediction, *r.asDict().get("probability", [])) for r in f.transform(rows).collect()} for f in (whole, forest))
+    assert sent and max(map(len, sent)) <= 2 and sorted(sum(sent, [])) == [0, 1, 2, 3, 4]
+    assert len(a) == 1500 and all(b[i] == pytest.approx(v, abs=1e-9) for i, v in a.items())
+    assert np.allclose(forest.importance(), whole.importance())
+    forest.save(str(tmp_path))
+    again = trees.Forest.load(spark, str(tmp_path), forest.meta())
+    assert {r.id: r.prediction for r in again.transform(rows).collect()} == pytest.approx({i: v[0] for i, v in b.items()})
+    kept = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [f for f in os.listdir(kept) if f.startswith("scratch-")]
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    def held():
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllBlocks()) if b.isShuffle()}
+
+    before = held()
+    with session.shuffles_dropped(spark):
+        cut = session.cut_lineage(spark.range(5000).repartition(3, "id").groupBy("id").count())
+    for _ in range(50):
+        if not held() - before:
+            break
+        time.sleep(0.1)
+    assert not held() - before and cut.count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_bootstrap_weights_are_poisson():
     w = trees.bootstrap_weights(np.arange(200_000), 3, 42)
     assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
