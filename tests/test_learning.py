@@ -483,3 +483,29 @@ def test_every_model_is_saved_and_scored_alike(spark, name, tmp_path):
     else:
         assert sum(a[0]["probabilities"].values()) == pytest.approx(1.0)
         assert models.feature_importance(again).count() == 2
+
+
+@pytest.mark.parametrize("weights", ["uniform", "distance"])
+def test_queries_are_voted_on_in_slices(spark, monkeypatch, weights):
+    # The steps of a slice leave nothing on disk for the next one, and votes are those of one search of all.
+    donors, _ = cloud(spark, 600, 3, 1, 0.2)
+    donors = donors.union(donors.where("id < 20")).withColumn("label", (F.col("id") % 3).cast("double"))
+    queries, _ = cloud(spark, 150, 3, 2)
+    queries = queries.union(donors.where("id < 5").select(F.lit(None).cast("bigint"), "x"))
+    near = neighbors.nearest_join(queries, donors.select("id", "x"), 4)
+    want = {r["id"]: r["prediction"] for r in neighbors._votes(near, donors, "label", weights).collect()}
+    asked, search = [], neighbors._RegionIndex.candidates
+
+    def noted(self, own, keep):
+        kept = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        folder = next(f"{kept}/{f}" for f in os.listdir(kept) if f.startswith("scratch-"))
+        asked.append((own.count(), sum(f.isdigit() for f in os.listdir(folder))))
+        return search(self, own, keep)
+
+    monkeypatch.setattr(neighbors, "BLOCK", 40)
+    monkeypatch.setattr(neighbors, "SLICE_ROWS", 60)
+    monkeypatch.setattr(neighbors._RegionIndex, "candidates", noted)
+    got = neighbors.classify_nearest(donors, queries, "label", 4, weights)
+    assert {r["id"]: r["prediction"] for r in got.collect()} == want and len(want) == 151
+    assert len(asked) == 3 and sum(n for n, _ in asked) == queries.count()
+    assert {tables for _, tables in asked} == {2}
